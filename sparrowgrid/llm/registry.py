@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import language_id
+from .simhash import simhash_dedup
 from .toxicity import toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash_dedup": simhash_dedup,
         "op7_language_id": language_id,
         "op10_toxicity": toxicity,
     }
