@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe
 from .langid import language_id
 from .simhash import simhash_dedup
 from .toxicity import toxicity
@@ -13,6 +14,7 @@ from .toxicity import toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": bpe,
         "op5_simhash_dedup": simhash_dedup,
         "op7_language_id": language_id,
         "op10_toxicity": toxicity,
