@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textops as tx
+from .sampling import per_class
 
 NGRAMS = (3, 4, 5)
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -41,9 +42,10 @@ class Settings:
     buckets: int = 1 << 18
     dim: int = 8
     window: int = 4
-    per_class: int = 3000
-    max_bytes: int = 24 << 20
-    epochs: int = 36
+    per_class: int = 2500
+    max_bytes: int = 14 << 20
+    epochs: int = 8
+    batch_bytes: int = 1 << 20
     rate: float = 0.5
     rare: float = 10.0
     toxic_weight: float = 10.0
@@ -135,66 +137,84 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
         share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(s.buckets), float(np.log(share / (1 - share))), s)
-    raw, offsets = tx.buffers(pa.array(texts, pa.large_string()))
-    types: dict[int, int] = {}
-    tokens, firsts, members = [], [0], []
-    for i, j in tx.groups(offsets):
-        text, starts = tx.padded(raw, offsets, i, j)
-        begins, ends = tx.word_spans(text)
-        hashes = tx.word_hashes(text, begins, ends)
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known = len(types)
-        number = np.array([types.setdefault(h, len(types)) for h in unique.tolist()], dtype=np.int32)
-        fresh = np.full(len(begins), -1, dtype=np.int32)
-        fresh[where[number >= known]] = number[number >= known]
-        for word, bucket in _members(text, begins, ends, s.buckets):
-            new = fresh[word] >= 0
-            members.append(np.stack((fresh[word][new], bucket[new])))
-        tokens.append(number[back])
-        firsts += (tx.per_document(begins, starts)[1:] + firsts[-1]).tolist()
-    token, first = np.concatenate(tokens), np.array(firsts)
-    kind, bucket = np.concatenate(members, axis=1)
-    size = np.bincount(kind, minlength=len(types)).astype(np.float64)
-    doc, lo, hi = _windows(first, s.window)
-    y_doc = y
-    weight = np.where(y_doc > 0, s.toxic_weight * 0.5 / max(1, y_doc.sum()), 0.5 / max(1, (1 - y_doc).sum()))
+    order = np.random.default_rng(s.seed).permutation(len(texts))
+    y = y[order]
+    raw, offsets = tx.buffers(pa.array([texts[k] for k in order], pa.large_string()))
+    batches = [_Batch(raw, offsets, i, j, s) for i, j in tx.groups(offsets, s.batch_bytes)]
+    share = 0.5 / np.array([max(1.0, (1 - y).sum()), max(1.0, y.sum())]) * np.array([1.0, s.toxic_weight])
     rng = np.random.default_rng(s.seed)
-    table = rng.normal(0, 0.1, (s.buckets, s.dim))
+    table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (s.dim, 2))
     bias = np.zeros(2)
     # Adagrad whose sums begin at what ``rare`` texts would give: a member of few texts moves little.
-    rare = s.rare * weight.min() / (s.window * max(1.0, len(kind) / len(types)))
-    square = [np.full(x.shape, at * at) for x, at in ((table, rare), (soft, 1e-5), (bias, 1e-5))]
-    begin_of = np.searchsorted(doc, np.arange(len(y_doc)))
-    has = np.bincount(doc, minlength=len(y_doc)) > 0
-    clean = np.flatnonzero(y_doc[doc] == 0)  # every window of a clean text is clean
+    rare = s.rare * share.min() / (s.window * 12)
+    square, sq_soft, sq_bias = np.full(table.shape, rare * rare, np.float32), np.full(soft.shape, 1e-10), np.full(2, 1e-10)
     for epoch in range(s.epochs):
-        direction = soft[:, 1] - soft[:, 0]
-        projected = table @ direction
-        value = np.bincount(kind, weights=projected[bucket], minlength=len(types)) / size
-        sums = np.concatenate(([0.0], np.cumsum(value[token])))
-        logits = (sums[hi] - sums[lo]) / (hi - lo)
-        if epoch < s.epochs // 6:  # whole texts first, so that the windows chosen later mean something
-            at, end, who = first[:-1][has], first[1:][has], np.flatnonzero(has)
-        else:
-            order = np.lexsort((-logits, doc))
-            best = order[begin_of[has]]
-            pick = np.concatenate((best[y_doc[doc[best]] > 0], clean))
-            at, end, who = lo[pick], hi[pick], doc[pick]
-        z = (sums[end] - sums[at]) / (end - at) + bias[1] - bias[0]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        g = (p - y_doc[who]) * weight[who]
-        share = np.zeros(len(token) + 1)
-        np.add.at(share, at, g / (end - at))
-        np.add.at(share, end, -g / (end - at))
-        per_type = np.bincount(token, weights=np.cumsum(share)[:-1], minlength=len(types))
-        per_bucket = np.bincount(bucket, weights=(per_type / size)[kind], minlength=s.buckets)
-        d_soft = table.T @ per_bucket
-        grads = (np.outer(per_bucket, direction), np.stack((-d_soft, d_soft), axis=1), np.array([-g.sum(), g.sum()]))
-        for x, dx, sq in zip((table, soft, bias), grads, square, strict=True):
-            sq += dx * dx
-            x -= s.rate * dx / np.sqrt(sq)
-    return Model(table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), s)
+        for b in batches:
+            direction = soft[:, 1] - soft[:, 0]
+            z, at, end, who = b.forward((table @ direction.astype(np.float32)).astype(np.float64), y, float(bias[1] - bias[0]), epoch == 0)
+            if not len(z):
+                continue
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            g = (p - y[b.begin + who]) * share[y[b.begin + who].astype(int)]
+            hit, per_bucket = b.backward(g, at, end, s.buckets)
+            d_soft = table[hit].T @ per_bucket
+            d_soft, d_bias = np.stack((-d_soft, d_soft), axis=1), np.array([-g.sum(), g.sum()])
+            d_table = np.outer(per_bucket, direction).astype(np.float32)
+            square[hit] += d_table * d_table
+            table[hit] -= s.rate * d_table / np.sqrt(square[hit])
+            sq_soft += d_soft * d_soft
+            soft -= s.rate * d_soft / np.sqrt(sq_soft)
+            sq_bias += d_bias * d_bias
+            bias -= s.rate * d_bias / np.sqrt(sq_bias)
+    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), s)
+
+
+class _Batch:
+    """Features of a few training texts: their word types, the types' members, and the windows."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, i: int, j: int, s: Settings):
+        text, starts = tx.padded(raw, offsets, i, j)
+        begins, ends = tx.word_spans(text)
+        _, where, self.token = np.unique(tx.word_hashes(text, begins, ends), return_index=True, return_inverse=True)
+        fresh = np.full(len(begins), -1, dtype=np.int32)
+        fresh[where] = np.arange(len(where))
+        kind, bucket = [], []
+        for word, at in _members(text, begins, ends, s.buckets) if len(begins) else ():
+            new = fresh[word] >= 0
+            kind.append(fresh[word][new])
+            bucket.append(at[new])
+        self.begin, self.types, self.window = i, len(where), s.window
+        self.token = self.token.astype(np.int32)
+        self.first = tx.per_document(begins, starts)
+        self.kind, self.bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (kind, bucket))
+        self.size = np.maximum(np.bincount(self.kind, minlength=self.types), 1)
+
+    def forward(self, projected: np.ndarray, y: np.ndarray, bias: float, whole: bool) -> tuple:
+        """Logit, first word, end and text of the windows that count."""
+        value = np.bincount(self.kind, weights=projected[self.bucket], minlength=self.types) / self.size
+        sums = np.concatenate(([0.0], np.cumsum(value[self.token])))
+        if whole:  # whole texts first, so that the windows chosen later mean something
+            who = np.flatnonzero(np.diff(self.first) > 0)
+            lo, hi = self.first[who], self.first[who + 1]
+            return (sums[hi] - sums[lo]) / (hi - lo) + bias, lo, hi, who
+        doc, lo, hi = _windows(self.first, self.window)
+        z = (sums[hi] - sums[lo]) / (hi - lo) + bias
+        toxic = y[self.begin + doc] > 0
+        some = np.flatnonzero(toxic)
+        some = some[np.lexsort((-z[some], doc[some]))]
+        lead = np.concatenate(([True], doc[some][1:] != doc[some][:-1])) if len(some) else np.zeros(0, bool)
+        pick = np.concatenate((some[lead], np.flatnonzero(~toxic)))  # every window of a clean text is clean
+        return z[pick], lo[pick], hi[pick], doc[pick]
+
+    def backward(self, g: np.ndarray, at: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that the logits' gradients reach, and what reaches each."""
+        n = len(self.token) + 1
+        spread = np.bincount(at, weights=g / (end - at), minlength=n) - np.bincount(end, weights=g / (end - at), minlength=n)
+        per_type = np.bincount(self.token, weights=np.cumsum(spread)[:-1], minlength=self.types) / self.size
+        total = np.bincount(self.bucket, weights=per_type[self.kind], minlength=buckets)
+        hit = np.flatnonzero(total)
+        return hit, total[hit]
 
 
 def fold(column: str, folds: int) -> F.Column:
@@ -215,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", s.folds) != s.held_out_fold))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    some = marked.where("toxic = 1").orderBy(order).limit(s.per_class).union(marked.where("toxic = 0").orderBy(order).limit(s.per_class))
+    some = per_class(marked, "toxic", s.per_class)
     running = Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
