@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textops as tx
+from .sampling import per_class
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -196,8 +197,7 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     s = settings or Settings()
     able = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", s.folds) != s.held_out_fold))
     n = max(1, able.select("lang").distinct().count())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = able.withColumn("rank", rank).where(F.col("rank") <= max(8, s.max_docs // n)).select("doc_id").distinct()
+    some = per_class(able, "lang", max(8, s.max_docs // n)).select("doc_id").distinct()
     running = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
