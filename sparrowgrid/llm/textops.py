@@ -26,7 +26,8 @@ WORD_LUT = np.arange(256, dtype=np.uint8)
 WORD_LUT[ord("A") : ord("Z") + 1] += 32
 WORD_LUT[~_IS_WORD] = SPACE
 
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -88,8 +89,9 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, _MULT, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = _MULT) -> np.ndarray:
+    """base ** 0 .. base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out)
 
@@ -104,11 +106,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, equal for equal bytes wherever they stand."""
     n = len(text)
-    pw = powers(n)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * pw[:n], out=total[1:])
-    # Bringing each sum to the power of the text's end makes it independent of the place.
-    return mixed((total[ends] - total[begins]) * pw[n - begins])
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(n)[:n], out=total[1:])
+    # Dividing each sum by the power of its place makes it independent of the place.
+    return mixed((total[ends] - total[begins]) * powers(n, _INVERSE)[begins])
 
 
 def per_document(word_begins: np.ndarray, doc_begins: np.ndarray) -> np.ndarray:
