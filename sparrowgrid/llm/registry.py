@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe
+from .decontam import decontaminate
 from .langid import language_id
 from .simhash import simhash_dedup
 from .toxicity import toxicity
@@ -14,6 +15,7 @@ from .toxicity import toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate,
         "op3_bpe": bpe,
         "op5_simhash_dedup": simhash_dedup,
         "op7_language_id": language_id,
