@@ -8,20 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe
 from .decontam import decontaminate
+from .kdsearch import ORACLE as SEARCH_SQL
+from .kdsearch import exact_search
+from .kdshard import kd_sharding
 from .langid import language_id
 from .simhash import simhash_dedup
 from .toxicity import toxicity
+from .urlgraph import ORACLE as URL_SQL
+from .urlgraph import url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate,
         "op3_bpe": bpe,
+        "op4_exact_search": exact_search,
         "op5_simhash_dedup": simhash_dedup,
+        "op6_url_filter": url_filter,
         "op7_language_id": language_id,
+        "op8_kd_sharding": kd_sharding,
         "op10_toxicity": toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_search": SEARCH_SQL, "op6_url_filter": URL_SQL}
