@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe
 from .decontam import decontaminate
+from .htmlmain import html_extraction
 from .kdsearch import ORACLE as SEARCH_SQL
 from .kdsearch import exact_search
 from .kdshard import kd_sharding
@@ -16,17 +17,20 @@ from .simhash import simhash_dedup
 from .toxicity import toxicity
 from .urlgraph import ORACLE as URL_SQL
 from .urlgraph import url_filter
+from .warc import warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate,
+        "op2_warc_derivatives": warc_derivatives,
         "op3_bpe": bpe,
         "op4_exact_search": exact_search,
         "op5_simhash_dedup": simhash_dedup,
         "op6_url_filter": url_filter,
         "op7_language_id": language_id,
         "op8_kd_sharding": kd_sharding,
+        "op9_html_extraction": html_extraction,
         "op10_toxicity": toxicity,
     }
 
