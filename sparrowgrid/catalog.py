@@ -1,4 +1,4 @@
-"""Names of the library's queries."""
+"""Names of the library's queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import words
+
+FAMILIES = (words,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
