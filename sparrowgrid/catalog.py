@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import words
+from .plans import ordered, words
 
-FAMILIES = (words,)
+FAMILIES = (words, ordered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -107,7 +107,7 @@ _LOOKUP = f"WITH {_TRIMMED}, d AS ({t.DICTIONARY_SQL}), l AS ({t.LEARNED_SQL}),
 
 
 @query("lookup_word_best", f"""{_LOOKUP}, a AS ({_top('fl', 1).format(q='q')}), b AS (SELECT * FROM rh WHERE rk = 1),
- j AS (SELECT q.qid, q.q, a.en, a.bn, CASE WHEN strlen(q.q) >= 2 THEN coalesce(least(1.0, a.score / 1000), -1.0) ELSE -1.0 END AS ls, b.word, b.meaning, b.from_fts5,
+ j AS (SELECT q.qid, q.q, a.en, a.bn, CASE WHEN strlen(q.q) >= 2 AND a.score IS NOT NULL THEN least(1.0, a.score / 1000) ELSE -1.0 END AS ls, b.word, b.meaning, b.from_fts5,
    CASE WHEN strlen(q.q) >= 2 THEN coalesce(b.combined, -1.0) ELSE -1.0 END AS ds FROM q LEFT JOIN a USING (qid) LEFT JOIN b USING (qid))
  SELECT qid, CASE WHEN ls < 0 AND ds < 0 THEN q WHEN ls >= ds THEN en ELSE word END AS en, CASE WHEN ls < 0 AND ds < 0 THEN '' WHEN ls >= ds THEN bn ELSE meaning END AS bn,
   CASE WHEN ls < 0 AND ds < 0 THEN 'none' WHEN ls >= ds THEN 'learned' WHEN from_fts5 THEN 'db/fts5' ELSE 'db/fuzzy' END AS src FROM j""")
