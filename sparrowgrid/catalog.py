@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ordered, words
+from .plans import arrays, geometry, ordered, words
 
-FAMILIES = (words, ordered)
+FAMILIES = (words, ordered, arrays, geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
