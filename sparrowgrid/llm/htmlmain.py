@@ -184,9 +184,11 @@ class Page:
         if above:
             return above[-1]
         for k in self._ancestors(out):  # a headline beside the container belongs to it
-            if k == 0 or self.tag[k] == "body" or own[k] - own[out] != heads[k] - heads[out]:
+            more = own[k] - own[out]
+            if k == 0 or self.tag[k] == "body" or more != heads[k] - heads[out]:
                 break
-            out = k
+            if more:
+                out = k
         return out
 
     def _ancestors(self, k: int) -> Iterator[int]:
