@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import textops as tx
@@ -228,36 +229,34 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row of ``docs``, unchanged, of each class: that of the least doc_id.
 
     Of rows that repeat this doc_id one stays (the least text); rows with a null
-    doc_id stay only in a class without another doc_id, one row of it.
+    doc_id stay only in a class without another doc_id, one row for each fingerprint.
     """
     marked = durable(with_fingerprints(docs))
-    of = classes(marked, hot)
-    firsts = marked.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", "doc_id").count()
-    # A doc_id can repeat with other texts, so the fingerprint takes part in the choice.
-    lone = firsts.groupBy("doc_id").agg(F.count("*").alias("fps"), F.sum("count").alias("rows"), F.min("fp").alias("fp"))
-    clear = lone.where("rows = 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(clear, F.col("doc_id") == F.col("__id"), "left_semi")
-    rest = lone.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    of = durable(classes(marked, hot))
+    firsts = marked.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    clear = firsts.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias("__sg_id"))
+    kept = docs.join(clear, docs["doc_id"] == F.col("__sg_id"), "left_semi")
+    rest = firsts.where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__sg_id"))
     if rest.isEmpty():
         return kept
-    names = docs.columns
-    again = docs.join(rest, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    numbered = again.select("*", F.monotonically_increasing_id().alias("__row"))
-    fp = with_fingerprints_of(numbered)
-    ranked = fp.join(of.withColumnRenamed("fp", "__fp"), "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("__fp"))).orderBy("text", "__row")
-    one = ranked.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.unionByName(one.select(*names))
+    # Only rows whose id repeats, or is null, are looked at by text again.
+    again = docs.join(rest, docs["doc_id"].eqNullSafe(F.col("__sg_id")), "left_semi").withColumn("__sg_row", F.monotonically_increasing_id())
+    home = of.select(F.col("fp").alias("__sg_fp"), F.col("component_id").alias("__sg_home"))
+    ranked = with_fingerprints_of(again).join(home, "__sg_fp").where(F.col("doc_id").eqNullSafe(F.col("__sg_home")))
+    # A class of null ids only has no name of its own, so its members are kept apart by fingerprint.
+    first = Window.partitionBy("__sg_home", F.when(F.col("__sg_home").isNull(), F.col("__sg_fp"))).orderBy("text", "__sg_row")
+    one = ranked.withColumn("__sg_n", F.row_number().over(first)).where("__sg_n = 1")
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def with_fingerprints_of(rows: DataFrame) -> DataFrame:
-    """All columns of ``rows`` and __fp."""
-    schema = rows.schema.add("__fp", "long")
+    """All columns of ``rows`` and __sg_fp."""
+    schema = StructType([*rows.schema.fields, StructField("__sg_fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints(tx.text_column(b, "text")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__sg_fp"])
 
     return rows.mapInArrow(run, schema)
 

@@ -70,7 +70,7 @@ def response(target: str, payload: bytes, name: str, date: str = EPOCH, content_
     """A response record as a crawler would write it."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     return Record([
-        ("WARC-Type", "response"), ("WARC-Record-ID", identifier("response", name, target)), ("WARC-Target-URI", target), ("WARC-Date", date),
+        ("WARC-Type", "response"), ("WARC-Record-ID", identifier("response", name, target, digest(payload))), ("WARC-Target-URI", target), ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block))),
     ], block)
 
