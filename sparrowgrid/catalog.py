@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, geometry, ordered, words
+from .plans import arrays, geometry, ordered, streams, words
 
-FAMILIES = (words, ordered, arrays, geometry)
+FAMILIES = (words, ordered, arrays, geometry, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -67,8 +67,9 @@ class Contact:
     """Touch debouncer: +2 for a valid sample, -1 for an empty one, within 0..8; down from 4, up at 2 or less.
 
     Samples closer than 8 ms to the last one used are passed over. The press point is
-    the median of the first three valid samples, the mean of two, else the last one.
-    A contact held for over 5 s is let go.
+    the median of the first three valid samples, the mean of two, else the last one;
+    samples count from the last one that left the contact up. A contact held for over
+    5 s is let go.
     """
 
     POLL_MS, STUCK_MS = 8, 5000
