@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, geometry, ordered, streams, words
+from .plans import arrays, geometry, ordered, streams, vision, words
 
-FAMILIES = (words, ordered, arrays, geometry, streams)
+FAMILIES = (words, ordered, arrays, geometry, streams, vision)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

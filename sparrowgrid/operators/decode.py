@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = 0
-TRUNCATED, PUNCTUATION = 15, 16  # flag bits: any of four edges, and punctuation
+#: Flag bits: ink at one of four edges; padding cut; from a split; unrefined; punctuation.
+TRUNCATED, PAD_CLIPPED, SPLIT, UNREFINED, PUNCTUATION = 15, 16, 32, 64, 128
 
 
 def steps(logits: Column, classes: int) -> Column:

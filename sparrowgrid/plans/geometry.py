@@ -27,13 +27,13 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     place = F.row_number().over(geometry.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     raw = t.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("frame"), place.alias("box"), ((k * 37) % 400).cast("int").alias("x1"), ((k * 53) % 300).cast("int").alias("y1"), k.alias("k"))
-    b = raw.select("frame", "box", "x1", "y1", (F.col("x1") + 8 + F.col("k") % 60).cast("int").alias("x2"), (F.col("y1") + 6 + F.col("k") % 20).cast("int").alias("y2"), (F.col("k") % 3 == 0).alias("geom"), (F.col("k") % 32).cast("int").alias("flags"))
+    b = raw.select("frame", "box", "x1", "y1", (F.col("x1") + 8 + F.col("k") % 60).cast("int").alias("x2"), (F.col("y1") + 6 + F.col("k") % 20).cast("int").alias("y2"), (F.col("k") % 3 == 0).alias("geom"), (F.col("k") % 32 + F.when(F.col("k") % 5 == 0, 128).otherwise(0)).cast("int").alias("flags"))
     quad = F.array(F.col("x1") + 2, F.col("y1"), F.col("x2"), F.col("y1") + 2, F.col("x2") - 2, F.col("y2"), F.col("x1"), F.col("y2") - 2)
     return b.withColumn("quad", quad)
 
 
 _BOX = """bx AS (SELECT o_custkey AS frame, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS box, CAST((o_orderkey * 37) % 400 AS INTEGER) AS x1, CAST((o_orderkey * 53) % 300 AS INTEGER) AS y1,
- CAST((o_orderkey * 37) % 400 + 8 + o_orderkey % 60 AS INTEGER) AS x2, CAST((o_orderkey * 53) % 300 + 6 + o_orderkey % 20 AS INTEGER) AS y2, o_orderkey % 3 = 0 AS geom, CAST(o_orderkey % 32 AS INTEGER) AS flags FROM orders)"""
+ CAST((o_orderkey * 37) % 400 + 8 + o_orderkey % 60 AS INTEGER) AS x2, CAST((o_orderkey * 53) % 300 + 6 + o_orderkey % 20 AS INTEGER) AS y2, o_orderkey % 3 = 0 AS geom, CAST(o_orderkey % 32 + CASE WHEN o_orderkey % 5 = 0 THEN 128 ELSE 0 END AS INTEGER) AS flags FROM orders)"""
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,17 +164,17 @@ def wanted(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("frame", F.when(F.col("frame") % 3 == 0, "").when(F.col("frame") % 3 == 1, "3,1,1,x,99").otherwise("2,5,7").alias("list"))
 
 
-@query("box_select", f"""WITH {_BOX} SELECT frame, box, flags FROM bx WHERE (flags & 31) = 0 AND (frame % 3 = 0 OR (frame % 3 = 1 AND box IN (0, 1, 3, 99)) OR (frame % 3 = 2 AND box IN (2, 5, 7)))""")
+@query("box_select", f"""WITH {_BOX} SELECT frame, box, flags FROM bx WHERE (flags & 143) = 0 AND (frame % 3 = 0 OR (frame % 3 = 1 AND box IN (0, 1, 3, 99)) OR (frame % 3 = 2 AND box IN (2, 5, 7)))""")
 def box_select(spark: SparkSession, sf: str) -> DataFrame:
     return decode.select_boxes(boxes(spark, sf).select("frame", "box", "flags"), wanted(spark, sf))
 
 
-@query("box_counts", f"WITH {_BOX} SELECT frame, count(*) AS boxes, count(*) FILTER ((flags & 15) <> 0) AS truncated, count(*) FILTER ((flags & 16) <> 0) AS punctuation, count(*) FILTER ((flags & 31) = 0) AS recognizable FROM bx GROUP BY frame")
+@query("box_counts", f"WITH {_BOX} SELECT frame, count(*) AS boxes, count(*) FILTER ((flags & 15) <> 0) AS truncated, count(*) FILTER ((flags & 128) <> 0) AS punctuation, count(*) FILTER ((flags & 143) = 0) AS recognizable FROM bx GROUP BY frame")
 def box_counts(spark: SparkSession, sf: str) -> DataFrame:
     return decode.box_counts(boxes(spark, sf))
 
 
-@query("box_flags", f"""WITH {_BOX} SELECT frame, box, CAST((CASE WHEN x1 < 3 THEN 1 ELSE 0 END) | (CASE WHEN y1 < 3 THEN 2 ELSE 0 END) | (CASE WHEN x2 >= 407 THEN 4 ELSE 0 END) | (CASE WHEN y2 >= 307 THEN 8 ELSE 0 END) | (CASE WHEN flags % 4 BETWEEN 1 AND 2 AND (y2 - y1 + 1) * 100 < 55 * 20 THEN 16 ELSE 0 END) AS INTEGER) AS edge FROM bx""")
+@query("box_flags", f"""WITH {_BOX} SELECT frame, box, CAST((CASE WHEN x1 < 3 THEN 1 ELSE 0 END) | (CASE WHEN y1 < 3 THEN 2 ELSE 0 END) | (CASE WHEN x2 >= 407 THEN 4 ELSE 0 END) | (CASE WHEN y2 >= 307 THEN 8 ELSE 0 END) | (CASE WHEN flags % 4 BETWEEN 1 AND 2 AND (y2 - y1 + 1) * 100 < 55 * 20 THEN 128 ELSE 0 END) AS INTEGER) AS edge FROM bx""")
 def box_flags(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     edge = decode.edge_flags(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 410, 310, 3)
