@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vision
+from ..operators import lines, vision
 from . import tables as t
 
 QUERIES, ORACLES = {}, {}
@@ -17,4 +17,11 @@ def legacy_detector(spark: SparkSession, sf: str) -> DataFrame:
     return vision.detect(pages)
 
 
+def line_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages under the line-first detector."""
+    pages = vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
+    return lines.detect(pages)
+
+
 QUERIES["legacy_detector"] = legacy_detector
+QUERIES["line_detector"] = line_detector

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparrowgrid.operators import vision
+from sparrowgrid.operators import lines, vision
 
 TEXT = "the quick brown fox jumps over the lazy dog while many other words fill this page and make several lines of text to read from left to right"
 
@@ -48,3 +48,37 @@ def test_wrong_frames_are_passed_over(spark):
 
 def test_kernel_sums_to_one():
     assert vision.kernel(4096 * 5, 15).sum() == 32768 and (vision.kernel(4096, 3) == vision.kernel(4096, 3)[::-1]).all()
+
+
+def tilted(gray, degrees, size=480):
+    t, (h, w) = np.radians(degrees), gray.shape
+    out = np.full((size, size), 215, np.uint8)
+    y, x = np.mgrid[0:size, 0:size] - size // 2
+    sx, sy = np.rint(x * np.cos(t) + y * np.sin(t) + w // 2).astype(int), np.rint(-x * np.sin(t) + y * np.cos(t) + h // 2).astype(int)
+    ok = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
+    out[ok] = gray[sy[ok], sx[ok]]
+    return out
+
+
+@pytest.mark.parametrize("degrees", [0, 7, -12])
+@pytest.mark.parametrize("inverted", [False, True])
+def test_lines_of_any_angle_and_polarity(degrees, inverted):
+    gray, n = page()
+    gray = tilted(gray, degrees)
+    words, seen = lines.detect_lines(255 - gray if inverted else gray)
+    assert len(words) == n and [w["chars"] for w in words] == [len(w) for w in TEXT.split()]
+    assert {w["polarity"] for w in words} == {2 if inverted else 1} and abs(seen["angle"] - degrees) < 1
+
+
+def test_line_detector_edges(spark):
+    assert lines.detect_lines(np.full((20, 30), 200, np.uint8))[0] == []
+    h, px, _ = vision.draw("one two", 480)
+    rows = [(1, 480, h, px), (2, 480, h, px[:-1]), (3, None, h, px)]
+    got = lines.detect(spark.createDataFrame(rows, "frame long, w int, h int, pixels binary")).collect()
+    assert [(r.frame, r.chars) for r in got] == [(1, 3), (1, 3)] and len(got[0].quad) == 8
+
+
+def test_gap_threshold_matches_the_plan():
+    assert lines.gap_threshold(np.array([0.1, 0.1, 0.9]), lines.Rules()) == 0.4
+    assert lines.gap_threshold(np.array([0.1, 0.1, 0.12, 0.9, 1.0]), lines.Rules()) == pytest.approx(0.51)
+    assert lines.gap_threshold(np.array([0.5, 0.5, 0.5, 0.5]), lines.Rules()) == 0.4
