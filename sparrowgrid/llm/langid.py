@@ -42,9 +42,9 @@ _K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 @dataclass
 class Settings:
-    buckets: int = 1 << 14
+    buckets: int = 1 << 13
     sizes: tuple[int, ...] = (1, 2, 3, 4)
-    max_docs: int = 1200
+    max_docs: int = 800
     max_bytes: int = 16 << 20
     chunk: int = 240
     epochs: int = 60
