@@ -102,8 +102,10 @@ def _buckets(text: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
-    hits = np.concatenate(([0], np.cumsum(_ASCII_LETTER[raw])))
-    out = hits[offsets[1:]] > hits[offsets[:-1]]
+    out = np.zeros(len(column), dtype=bool)
+    for i, j in tx.groups(offsets, tx.GROUP_BYTES // 4):
+        hits = np.concatenate(([0], np.cumsum(_ASCII_LETTER[raw[offsets[i] : offsets[j]]], dtype=np.int32)))
+        out[i:j] = hits[offsets[i + 1 : j + 1] - offsets[i]] > hits[offsets[i:j] - offsets[i]]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[i] = _LETTER.search(column[int(i)].as_py()) is not None
     return out
