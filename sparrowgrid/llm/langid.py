@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textops as tx
-from .sampling import per_class
+from .sampling import per_class, train_in_task
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -207,10 +207,15 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
         .limit(2 * max(s.max_docs, 8 * n))  # more only if ids repeat
         .withColumn("upto", F.sum(F.octet_length("text")).over(running))
         .where(F.col("upto") <= s.max_bytes)
-        .select("doc_id", "text", "lang").collect()
+        .select("doc_id", "text", "lang")
     )
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], s)
+
+    def learn(sample: list[dict]) -> tuple:
+        sample.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+        m = train([r["text"] for r in sample], [r["lang"] for r in sample], s)
+        return m.languages, m.code, m.weights, m.bias, m.trust
+
+    return Model(*train_in_task(rows, learn), s)
 
 
 SCHEMA = T.StructType([

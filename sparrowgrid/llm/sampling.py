@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,3 +28,14 @@ def per_class(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> Da
         part = part | ((F.col(label) == F.lit(value)) & (place < int(min(1.0, 4.0 * most / n) * (1 << 30))))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(place, key))
     return rows.where(part).withColumn("__rank", rank).where(F.col("__rank") <= most).select(key, label)
+
+
+def train_in_task(rows: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
+    """What ``train`` makes of all ``rows`` (a bounded sample), in one task of an executor; the driver gets its result only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], ["model"])
+
+    made = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else train([])

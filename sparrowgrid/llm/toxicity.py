@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textops as tx
-from .sampling import per_class
+from .sampling import per_class, train_in_task
 
 NGRAMS = (3, 4, 5)
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -243,10 +243,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         .limit(4 * s.per_class)  # more only if ids repeat
         .withColumn("upto", F.sum(F.octet_length("text")).over(running))
         .where(F.col("upto") <= s.max_bytes)
-        .select("doc_id", "text", "toxic").collect()
+        .select("doc_id", "text", "toxic")
     )
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), s)
+
+    def learn(sample: list[dict]) -> tuple[np.ndarray, float]:
+        sample.sort(key=lambda r: (r["doc_id"], r["text"]))
+        model = train([r["text"] for r in sample], np.array([r["toxic"] for r in sample]), s)
+        return model.scalars, model.bias
+
+    return Model(*train_in_task(rows, learn), s)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
