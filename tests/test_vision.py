@@ -82,3 +82,31 @@ def test_gap_threshold_matches_the_plan():
     assert lines.gap_threshold(np.array([0.1, 0.1, 0.9]), lines.Rules()) == 0.4
     assert lines.gap_threshold(np.array([0.1, 0.1, 0.12, 0.9, 1.0]), lines.Rules()) == pytest.approx(0.51)
     assert lines.gap_threshold(np.array([0.5, 0.5, 0.5, 0.5]), lines.Rules()) == 0.4
+
+
+def test_recognition_counts_letters(spark):
+    from pyspark.sql import functions as F
+
+    from sparrowgrid.operators import ocr
+    from sparrowgrid.plans.panel import ink_model
+
+    h, px, _ = vision.draw("one three fifteen seventeenletters", 480)
+    frame = spark.createDataFrame([(1, 480, h, px)], "frame long, w int, h int, pixels binary")
+    boxes = vision.detect(frame).join(frame, "frame").withColumn("page_height", F.lit(9))
+    got = sorted(ocr.recognize(boxes, ink_model, ["|"] * 84).collect(), key=lambda r: r.box)
+    assert [len(r.text) for r in got if not r.fallback] == [3, 5, 7] and {r.status for r in got} == {"ok"} and got[3].fallback
+    bad = boxes.withColumn("x2", F.lit(999))
+    assert {r.status for r in ocr.recognize(bad, ink_model, ["|"] * 84).collect()} == {"ocr_error"}
+    flat = ocr.recognize(boxes, lambda b: np.zeros((len(b), 80, 85), np.int8), ["|"] * 84)
+    assert {r.status for r in flat.collect()} == {"runtime_saturated"}
+
+
+def test_resizing_and_stretching():
+    from sparrowgrid.operators import ocr
+
+    c = ocr.Contract()
+    assert ocr.resized(np.array([[0, 100], [100, 200]]), 1, 1)[0, 0] == 100
+    assert ocr.resized(np.array([[0, 100]]), 4, 1)[0].tolist() == [0, 25, 75, 100]
+    assert ocr.quantised(c)[[0, 128, 255]].tolist() == [-128, -16, 127]
+    lut, span = ocr.stretched(np.full((10, 10), 90), c)
+    assert span == 0 and (lut == ocr.quantised(c)).all()
