@@ -193,3 +193,11 @@ def ceil_div(a: Column, b: Column) -> Column:
 def round_div(a: Column, b: Column) -> Column:
     """Nearest whole quotient of non-negative numbers, halves up."""
     return F.floor((a + F.floor(b / 2)) / b)
+
+
+def blend565(under: Column, over: Column, cover: Column) -> Column:
+    """Two RGB565 colours mixed by a coverage of 0..15."""
+    a = cover * 17
+    part = lambda c, shift, most: F.shiftright(c, shift).bitwiseAND(F.lit(most))
+    mix = lambda shift, most: F.floor((part(over, shift, most) * a + part(under, shift, most) * (F.lit(255) - a)) / 255).cast("int")
+    return F.shiftleft(mix(11, 31), 11).bitwiseOR(F.shiftleft(mix(5, 63), 5)).bitwiseOR(mix(0, 31))

@@ -222,3 +222,18 @@ def stretch(v: Column, low: Column, high: Column) -> Column:
 def stretch_lut(low: Column, high: Column) -> Column:
     """The 256 entries of ``stretch``."""
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: stretch(v, low, high))
+
+
+def bilinear(frames: DataFrame, side: int, size: int) -> DataFrame:
+    """``frames`` (frame, px) of side x side pixels, sampled at size x size pixel centres in 1 / 65536, halves up."""
+    at = []
+    for d in range(size):
+        q = max(0, min((side - 1) << 16, (2 * d + 1) * side * 32768 // size - 32768))
+        at.append((d, q >> 16, min((q >> 16) + 1, side - 1), q & 0xFFFF))
+    spots = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(a, ("d", "a", "b", "w"), strict=True)]) for a in at])
+    px = lambda y, x: F.element_at("px", (y * side + x + 1).cast("int")).cast("long")
+    y, x = F.col("cy"), F.col("cx")
+    row = lambda k: px(y[k], x["a"]) * (F.lit(65536) - x["w"]) + px(y[k], x["b"]) * x["w"]
+    value = F.shiftright(row("a") * (F.lit(65536) - y["w"]) + row("b") * y["w"] + F.lit(1 << 31), 32)
+    each = frames.select("frame", "px", F.explode(spots).alias("cy")).select("frame", "px", "cy", F.explode(spots).alias("cx"))
+    return each.select("frame", y["d"].cast("int").alias("y"), x["d"].cast("int").alias("x"), value.cast("int").alias("v"))

@@ -97,3 +97,14 @@ def ndjson(rows: DataFrame, key: str, seq: str, body: Column) -> DataFrame:
     begin = head.select(key, F.lit(-1).cast("long").alias("at"), F.to_json(F.struct(F.lit("begin").alias("event"), F.col("n").alias("total"))).alias("line"))
     done = head.select(key, F.lit((1 << 62)).alias("at"), F.to_json(F.struct(F.lit("done").alias("event"), F.col("n").alias("recognized"))).alias("line"))
     return begin.unionByName(lines).unionByName(done)
+
+
+def box_line() -> Column:
+    """A box as a line of a report."""
+    return F.format_string("BOX %d x1=%d y1=%d x2=%d y2=%d flags=%d", "box", "x1", "y1", "x2", "y2", "flags")
+
+
+def read_ndjson(lines: DataFrame, schema: str = "event string, total long, box int, status string, recognized long") -> DataFrame:
+    """``lines`` (value, and what else there is) of JSON -> their fields; blank and broken lines are passed over. Works on streams too."""
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return lines.where(F.trim("value") != "").withColumn("row", row).where("row is not null").select(*[c for c in lines.columns if c != "value"], "row.*").where(" or ".join(f"{f.split(' ')[0]} is not null" for f in schema.split(", ")))

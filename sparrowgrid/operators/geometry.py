@@ -153,3 +153,10 @@ def cluster_words(clustered: DataFrame, xh: float, default: float = 0.40, low: f
     w = g.join(tau, "frame", "left").withColumn("tau", F.coalesce("tau", F.lit(default)))
     cut = F.coalesce(F.lag("gap").over(order) >= F.col("tau"), F.lit(False)).cast("int")
     return w.withColumn("__cut", cut).select("frame", "cluster", F.round("gap", 6).alias("gap"), F.round("tau", 6).alias("tau"), F.sum("__cut").over(order).cast("int").alias("word"))
+
+
+def paint_out(pixels: DataFrame, owners: DataFrame, word: int, paper: Column | int = 255) -> DataFrame:
+    """``pixels`` (frame, y, x, v, label), ``owners`` (frame, label, owner): parts of other words become paper; shared and unowned ones stay."""
+    joined = pixels.join(owners.select("frame", "label", "owner"), ["frame", "label"], "left")
+    paper = paper if isinstance(paper, Column) else F.lit(paper)
+    return joined.select("frame", "y", "x", F.when(F.col("owner") != word, paper).otherwise(F.col("v")).alias("v"))

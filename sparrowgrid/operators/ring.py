@@ -37,6 +37,13 @@ def pieces(blobs: DataFrame, size: int = 1024) -> DataFrame:
     return blobs.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(data, k * size + 1, F.lit(size)))).alias("seq", "data"))
 
 
+def stalled(chunks: DataFrame, idle_ms: int = 5000) -> DataFrame:
+    """``chunks`` (id, seq, ms, status) -> transfers that paused for over ``idle_ms`` before their end, and the piece they waited for."""
+    order = Window.partitionBy("id").orderBy("seq")
+    gap = chunks.withColumn("waited", F.col("ms") - F.lag("ms").over(order)).where(F.col("waited") > idle_ms)
+    return gap.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("waited", "seq").alias("waited"))
+
+
 def assemble(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     """``chunks`` (id, seq, status, data) and ``expected`` (id, size) -> id, received, chunks, complete, error.
 

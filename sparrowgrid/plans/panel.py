@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lookup, ocr, panel, vision
+from ..functions import text as tf
+from ..operators import arrays, decode, geometry, lookup, ocr, panel, ring, vision
 from . import geometry as g
 from . import ordered as o
 from . import tables as t
@@ -126,6 +127,51 @@ def import_json(spark: SparkSession, sf: str) -> DataFrame:
     return wd.import_outcome_counts(spark, sf).select(F.to_json(F.struct("received", "added", "in_dictionary", "already_learned", "rejected", "no_room")).alias("json"))
 
 
+_MIX = "(((t >> {k}) & {m}) * (n * 17) + ((u >> {k}) & {m}) * (255 - n * 17)) // 255"
+
+
+@query("blend_pixels", f"""WITH px AS ({t.PIXELS_SQL}), c AS (SELECT frame, y, x, v * 251 % 65536 AS u, (255 - v) * 197 % 65536 AS t, v % 16 AS n FROM px)
+ SELECT frame, y, x, CAST((({_MIX.format(k=11, m=31)}) << 11) | (({_MIX.format(k=5, m=63)}) << 5) | ({_MIX.format(k=0, m=31)}) AS INTEGER) AS colour FROM c""")
+def blend_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("v")
+    return t.pixels(spark, sf).select("frame", "y", "x", tf.blend565(v * 251 % 65536, (F.lit(255) - v) * 197 % 65536, v % 16).alias("colour"))
+
+
+@query("box_report", f"WITH {g._BOX} SELECT frame, box, 'BOX ' || box || ' x1=' || x1 || ' y1=' || y1 || ' x2=' || x2 || ' y2=' || y2 || ' flags=' || flags AS line FROM bx")
+def box_report(spark: SparkSession, sf: str) -> DataFrame:
+    return g.boxes(spark, sf).select("frame", "box", decode.box_line().alias("line"))
+
+
+@query("read_ndjson", f"WITH {g._BOX}, n AS (SELECT frame, count(*) AS n FROM bx GROUP BY frame) SELECT frame, 'begin' AS event, n AS total, CAST(NULL AS INTEGER) AS box, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS recognized FROM n UNION ALL SELECT frame, NULL, NULL, box, CASE WHEN flags = 7 THEN 'ocr_error' ELSE 'ok' END, NULL FROM bx UNION ALL SELECT frame, 'done', NULL, NULL, NULL, n FROM n")
+def read_ndjson(spark: SparkSession, sf: str) -> DataFrame:
+    lines = g.recognize_ndjson(spark, sf).select("frame", F.explode(F.array(F.col("line"), F.lit(" "), F.lit("{broken"))).alias("value"))
+    return decode.read_ndjson(lines)
+
+
+@query("paint_out", f"""WITH px AS ({t.PIXELS_SQL}) SELECT frame, y, x, CASE WHEN (y * 8 + x) % 5 <> 0 AND (y * 8 + x) % 5 % 3 <> 1 THEN 255 ELSE v END AS v FROM px""")
+def paint_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels 0..4 by place; label 0 is shared, the others belong to word label % 3; all but word 1 is painted out."""
+    px = t.pixels(spark, sf).withColumn("label", ((F.col("y") * 8 + F.col("x")) % 5).cast("int"))
+    owners = px.select("frame", "label").distinct().where("label <> 0").withColumn("owner", F.col("label") % 3)
+    return geometry.paint_out(px, owners, 1)
+
+
+@query("stalled_uploads", """WITH c AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id * 70 AS ms FROM events), w AS (SELECT *, ms - lag(ms) OVER (PARTITION BY id ORDER BY seq) AS waited FROM c)
+ SELECT id, min(seq) AS seq, arg_min(waited, seq) AS waited FROM w WHERE waited > 5000 GROUP BY id""")
+def stalled_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    e = t.table(spark, sf, "events")
+    seq = F.row_number().over(o.ordered.Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    return ring.stalled(e.select(F.col("user_id").alias("id"), seq.alias("seq"), (F.col("event_id") * 70).alias("ms"), F.lit("WRITE").alias("status")))
+
+
+@query("bilinear_sample", f"""WITH px AS MATERIALIZED ({t.PIXELS_SQL}), d AS (SELECT unnest(range(0, 12)) AS d), k AS (SELECT d, greatest(0, least(7 << 16, (2 * d + 1) * 8 * 32768 // 12 - 32768)) AS q FROM d),
+ c AS (SELECT d, q >> 16 AS a, least((q >> 16) + 1, 7) AS b, q & 65535 AS w FROM k)
+ SELECT p.frame, CAST(cy.d AS INTEGER) AS y, CAST(cx.d AS INTEGER) AS x, CAST(((p.v * (65536 - cx.w) + q.v * cx.w) * (65536 - cy.w) + (r.v * (65536 - cx.w) + s.v * cx.w) * cy.w + 2147483648) >> 32 AS INTEGER) AS v
+ FROM c cy, c cx JOIN px p ON p.y = cy.a AND p.x = cx.a JOIN px q ON q.frame = p.frame AND q.y = cy.a AND q.x = cx.b JOIN px r ON r.frame = p.frame AND r.y = cy.b AND r.x = cx.a JOIN px s ON s.frame = p.frame AND s.y = cy.b AND s.x = cx.b""")
+def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.bilinear(t.frames(spark, sf), t.SIDE, 12)
+
+
 def ink_model(batch: np.ndarray) -> np.ndarray:
     """A stand-in for a recogniser: class 1 where a column group holds ink, else the blank."""
     groups = batch.reshape(len(batch), 48, 80, 4)
