@@ -133,7 +133,13 @@ def split_fields(line: Column, most: int = 4) -> Column:
             .otherwise(state(out, F.concat(cur, p["c"]), quoted, F.lit(False)))
         )
 
-    return F.aggregate(pairs, start, step, lambda s: F.transform(F.array_append(s["out"], s["cur"]), trim_space))
+    folded = F.aggregate(pairs, start, step, lambda s: F.array_append(s["out"], s["cur"]))
+    cut = lambda pattern: F.split(line, pattern, most)
+    last = F.slice(cut("\t"), 1, most - 1), F.slice(cut(","), 1, most - 1)
+    short = [F.when(F.size(cut(p)) == most, F.concat(own, F.array(F.lit("")))).otherwise(cut(p)) for p, own in zip(("\t", ","), last, strict=True)]
+    # Only lines with quotes need the fold; the rest are cut at their separators.
+    fields = F.when(tsv, short[0]).when(~F.contains(line, F.lit('"')), short[1]).otherwise(folded)
+    return F.transform(fields, trim_space)
 
 
 def import_pair(fields: Column) -> tuple[Column, Column]:

@@ -6,9 +6,14 @@ one device's rows, so the work is spread over devices; nothing is ordered global
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -54,13 +59,29 @@ def page(items: DataFrame, budget: int, band_height: int, row_height: int, top:
     return fit.withColumn("__stray", last & F.col("band")).where("not __stray").drop("__stray")
 
 
-def fold_rows(rows: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
-    """Runs ``step`` (a function from a device's ordered pandas rows to result rows) for each device."""
+def fold_rows(rows: DataFrame, order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple], schema: str) -> DataFrame:
+    """Folds each device's rows in order: ``start`` gives its state, ``step`` takes state and row to a result row.
+
+    ``rows`` has the device as its first column. Rows stream through sorted, so a task
+    holds one batch and one device's state, however many rows the device has.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    types = [f.dataType for f in StructType.fromDDL(schema).fields]
+    key = rows.columns[0]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current, begun = None, None, False
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or r[0] != current:
+                    state, current, begun = start(), r[0], True
+                out.append(step(state, r))
+            values = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, to_arrow_type(t)) for v, t in zip(values, types, strict=True)], names)
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 class Contact:
@@ -116,14 +137,13 @@ class Contact:
 def debounce(samples: DataFrame) -> DataFrame:
     """``samples`` (key, seq, ms, valid, x, y) -> key, seq, state, down, conf, press_x, press_y; passed-over samples have a null state."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, out = Contact(), []
-        for r in pdf.itertuples():
-            state = c.sample(int(r.ms), bool(r.valid), int(r.x), int(r.y))
-            out.append((r.key, r.seq, state, c.down, c.conf, c.press_x, c.press_y))
-        return pd.DataFrame(out, columns=["key", "seq", "state", "down", "conf", "press_x", "press_y"])
+    def step(c: Contact, r: tuple) -> tuple:
+        key, seq, ms, valid, x, y = r
+        state = c.sample(ms, valid, x, y)
+        return key, seq, state, c.down, c.conf, c.press_x, c.press_y
 
-    return fold_rows(samples, "key", ["ms", "seq"], step, "key long, seq long, state string, down boolean, conf int, press_x int, press_y int")
+    rows = samples.select("key", "seq", "ms", "valid", "x", "y")
+    return fold_rows(rows, ["ms", "seq"], Contact, step, "key long, seq long, state string, down boolean, conf int, press_x int, press_y int")
 
 
 def taps(rows: DataFrame, window_ms: int = 400, reach: int = 50) -> DataFrame:
@@ -185,14 +205,11 @@ def type_query(keys: DataFrame, most: int = 24) -> DataFrame:
 def throttle(rows: DataFrame, period_ms: int = 1000) -> DataFrame:
     """``rows`` (key, seq, ms, q): searches that a live search runs: changed text, at least a second after the last run."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last, ran = [], None, None
-        for r in pdf.itertuples():
-            go = r.q != last and (ran is None or r.ms - ran >= period_ms)
-            if go:
-                last, ran = r.q, r.ms
-            out.append((r.key, r.seq, bool(go)))
-        return pd.DataFrame(out, columns=["key", "seq", "ran"])
-
-    return fold_rows(rows, "key", ["ms", "seq"], step, "key long, seq long, ran boolean")
+    def step(state: dict, r: tuple) -> tuple:
+        key, seq, ms, q = r
+        go = q != state["q"] and (state["ms"] is None or ms - state["ms"] >= period_ms)
+        if go:
+            state |= {"q": q, "ms": ms}
+        return key, seq, go
 
+    return fold_rows(rows.select("key", "seq", "ms", "q"), ["ms", "seq"], lambda: {"q": None, "ms": None}, step, "key long, seq long, ran boolean")
