@@ -32,3 +32,19 @@ def test_filtering_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, toxic int, held_out boolean"
+    rows = [(i, f"some plain words of text number {i} and more of them here", "en", "s", 1, 1, 1, 1, True) for i in range(6)]
+    rows += [rows[0], rows[1], (None,) * 9, (7, None, None, None, None, None, None, None, None), (8, "", "en", "s", 0, 1, 1, 1, True), (9, "!!!", "en", "s", 0, 1, 1, 1, True), (10, "word " * 20_000, "fr", "s", 0, 1, 1, 1, True)]
+    docs = spark.createDataFrame(rows, schema)
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        ids[name] = sorted((r.doc_id for r in out.collect()), key=str)
+    assert ids["toxicity"] == ids["decontamination"] == sorted((r[0] for r in rows), key=str)
+    assert ids["language_id"] == sorted([0, 0, 1, 1, 2, 3, 4, 5, 10], key=str)
+    assert ids["near_duplicates"].count(0) == 1 and ids["near_duplicates"].count(1) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
