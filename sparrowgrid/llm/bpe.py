@@ -183,7 +183,7 @@ def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.nda
 class Encoder:
     """Encodes texts; holds at most about ``cache`` words between groups."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 200_000):
         self.v, self.most = vocabulary, cache
         self.known: dict[str, tuple[str, int, str]] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             raw, offsets = _as_string(b)
             n, ids, decoded = [], [], []
-            for i, j in tx.groups(offsets, 3 << 20):
+            for i, j in tx.groups(offsets, 2 << 20):
                 whole = raw[offsets[i] : offsets[j]].tobytes()
                 texts = [whole[offsets[d] - offsets[i] : offsets[d + 1] - offsets[i]].decode() for d in range(i, j)]
                 for count, x, y in encoder.encode(texts):

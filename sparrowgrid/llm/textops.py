@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 SPACE = 0x20
 
 _IS_WORD = np.zeros(256, dtype=bool)
