@@ -6,7 +6,7 @@ their columns unchanged: a stage drops rows, it never edits them.
 
 * toxicity: drops rows scored 0.5 or more by the model trained on ``labels``.
 * language_id: drops rows without a letter, for which no language can be told.
-* near_duplicates: keeps the row of least doc_id of each SimHash class.
+* near_duplicates: keeps the row of least doc_id of each class of near copies (similarity 0.8 over five-word shingles).
 * decontamination: drops rows that hold an item of ``benchmark``.
 * bpe: token count and digests of the encoded and decoded text of every row left.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowgrid.llm import bpe, decontam, langid, simhash, toxicity
+from sparrowgrid.llm import bpe, decontam, langid, nearcopies, toxicity
 from sparrowgrid.llm.components import durable
 
 
@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return nearcopies.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ a null component_id. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -212,7 +212,11 @@ def _spread(members: DataFrame) -> DataFrame:
 def classes(marked: DataFrame, hot: int = HOT) -> DataFrame:
     """``marked`` (doc_id, fp) -> (fp, component_id): the least doc_id that links lead to."""
     least = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = connected(links(least.select("fp"), hot)).withColumnRenamed("node", "fp")
+    return named(least, connected(links(least.select("fp"), hot)).withColumnRenamed("node", "fp"))
+
+
+def named(least: DataFrame, root: DataFrame) -> DataFrame:
+    """``least`` (fp, least) and ``root`` (fp, root) of linked ones -> (fp, component_id)."""
     joined = least.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNull().alias("alone"))
     first = joined.where("not alone").groupBy("root").agg(F.min("least").alias("component_id"))
     return joined.join(first, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -232,7 +236,11 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     doc_id stay only in a class without another doc_id, one row for each fingerprint.
     """
     marked = durable(with_fingerprints(docs))
-    of = durable(classes(marked, hot))
+    return one_of_each(docs, marked, durable(classes(marked, hot)), with_fingerprints_of)
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, of: DataFrame, again_marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep_first`` for rows ``marked`` (doc_id, fp) in classes ``of`` (fp, component_id); ``again_marked`` adds __sg_fp to rows."""
     firsts = marked.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     clear = firsts.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias("__sg_id"))
     kept = docs.join(clear, docs["doc_id"] == F.col("__sg_id"), "left_semi")
@@ -242,20 +250,20 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # Only rows whose id repeats, or is null, are looked at by text again.
     again = docs.join(rest, docs["doc_id"].eqNullSafe(F.col("__sg_id")), "left_semi").withColumn("__sg_row", F.monotonically_increasing_id())
     home = of.select(F.col("fp").alias("__sg_fp"), F.col("component_id").alias("__sg_home"))
-    ranked = with_fingerprints_of(again).join(home, "__sg_fp").where(F.col("doc_id").eqNullSafe(F.col("__sg_home")))
+    ranked = again_marked(again).join(home, "__sg_fp").where(F.col("doc_id").eqNullSafe(F.col("__sg_home")))
     # A class of null ids only has no name of its own, so its members are kept apart by fingerprint.
     first = Window.partitionBy("__sg_home", F.when(F.col("__sg_home").isNull(), F.col("__sg_fp"))).orderBy("text", "__sg_row")
     one = ranked.withColumn("__sg_n", F.row_number().over(first)).where("__sg_n = 1")
     return kept.unionByName(one.select(*docs.columns))
 
 
-def with_fingerprints_of(rows: DataFrame) -> DataFrame:
+def with_fingerprints_of(rows: DataFrame, mark: Callable[[pa.Array], np.ndarray] = fingerprints) -> DataFrame:
     """All columns of ``rows`` and __sg_fp."""
     schema = StructType([*rows.schema.fields, StructField("__sg_fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(tx.text_column(b, "text")).view(np.int64)
+            fp = mark(tx.text_column(b, "text")).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__sg_fp"])
 
     return rows.mapInArrow(run, schema)
