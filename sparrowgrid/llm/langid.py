@@ -28,10 +28,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import textops as tx
-from .sampling import per_class, train_in_task
+from .sampling import per_class, train_in_task, within_bytes
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -200,15 +199,12 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     able = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", s.folds) != s.held_out_fold))
     n = max(1, able.select("lang").distinct().count())
     some = per_class(able, "lang", max(8, s.max_docs // n)).select("doc_id").distinct()
-    running = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
         .join(F.broadcast(some), "doc_id")
         .limit(2 * max(s.max_docs, 8 * n))  # more only if ids repeat
-        .withColumn("upto", F.sum(F.octet_length("text")).over(running))
-        .where(F.col("upto") <= s.max_bytes)
-        .select("doc_id", "text", "lang")
     )
+    rows = within_bytes(rows, "lang", s.max_bytes)
 
     def learn(sample: list[dict]) -> tuple:
         sample.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))

@@ -30,6 +30,19 @@ def per_class(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> Da
     return rows.where(part).withColumn("__rank", rank).where(F.col("__rank") <= most).select(key, label)
 
 
+def within_bytes(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """``rows`` (doc_id, text and ``label``, a bounded sample) whose texts sum to at most ``most`` bytes.
+
+    All of them if they fit. Otherwise each class has an equal share and gives its
+    shortest texts, so that a text longer than that costs no place but its own.
+    """
+    size = F.octet_length("text")
+    whole = Window.partitionBy()
+    running = Window.partitionBy(label).orderBy(size, F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("__all", F.sum(size).over(whole)).withColumn("__classes", F.size(F.collect_set(label).over(whole)))
+    return summed.withColumn("__upto", F.sum(size).over(running)).where((F.col("__all") <= most) | (F.col("__upto") * F.col("__classes") <= most)).select("doc_id", "text", label)
+
+
 def train_in_task(rows: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
     """What ``train`` makes of all ``rows`` (a bounded sample), in one task of an executor; the driver gets its result only."""
 

@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import textops as tx
-from .sampling import per_class, train_in_task
+from .sampling import per_class, train_in_task, within_bytes
 
 NGRAMS = (3, 4, 5)
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -229,22 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     labels without a text are left out.
     """
     s = settings or Settings()
-    order = F.xxhash64("doc_id")
     marked = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", s.folds) != s.held_out_fold))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     some = per_class(marked, "toxic", s.per_class)
-    running = Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
         .join(F.broadcast(some), "doc_id")
         .limit(4 * s.per_class)  # more only if ids repeat
-        .withColumn("upto", F.sum(F.octet_length("text")).over(running))
-        .where(F.col("upto") <= s.max_bytes)
-        .select("doc_id", "text", "toxic")
     )
+    rows = within_bytes(rows, "toxic", s.max_bytes)
 
     def learn(sample: list[dict]) -> tuple[np.ndarray, float]:
         sample.sort(key=lambda r: (r["doc_id"], r["text"]))
