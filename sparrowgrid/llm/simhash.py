@@ -241,7 +241,9 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, marked: DataFrame, of: DataFrame, again_marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``keep_first`` for rows ``marked`` (doc_id, fp) in classes ``of`` (fp, component_id); ``again_marked`` adds __sg_fp to rows."""
-    firsts = marked.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    heads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads")
+    firsts = marked.join(of, "fp").groupBy("doc_id").agg(F.count("*").alias("count"), heads).where("heads")
+    # A repeated id may head one class and lie in another, so an id is clear only if it has one row in all.
     clear = firsts.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias("__sg_id"))
     kept = docs.join(clear, docs["doc_id"] == F.col("__sg_id"), "left_semi")
     rest = firsts.where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__sg_id"))
