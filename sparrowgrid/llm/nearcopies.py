@@ -7,9 +7,10 @@ one less often. Every candidate is then held against the shingles themselves,
 so nothing below 0.8 is linked. A class is a connected part of the links.
 
 Equal texts (in lower case, blanks run together) are one node before anything is
-shuffled by band. In a bucket every member first meets the least one only; those
-this does not connect meet all members. So a large group of near copies costs
-links in proportion to its size.
+shuffled by band. In a bucket every member first meets one head only, in two
+turns; those this does not connect to most of the bucket meet all members of
+other parts. A group whose members are all similar so costs links in proportion
+to its size; members that share a band and are not similar cost a pair each.
 
 Edge cases: null, empty and blank texts are copies of each other and of nothing
 else; fewer than five words make one shingle; rows with a null doc_id are treated
@@ -30,7 +31,7 @@ from . import simhash
 from . import textops as tx
 from .components import connected, durable
 
-SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
+SHINGLE, SEED, BANDS, ROWS, TURNS = 5, 42, 24, 5, 2
 #: Least similarity, as shared over all shingles.
 SHARED, ALL = 4, 5
 
@@ -112,7 +113,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "fp long, shingles binary")
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: copy keys, distinct) whose texts share enough shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,6 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep[r] = ALL * shared >= SHARED * (len(both) - shared)
             yield tx.keep_rows(b.select(["a", "b"]), keep)
 
-    sets = durable(shingle_sets(docs, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
@@ -135,19 +135,20 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def links(bands: DataFrame, docs: DataFrame) -> DataFrame:
     """``bands`` (fp, bands; fp distinct) -> edges (a, b) that join all candidates found similar."""
     dealt = bands.select(F.explode("bands").alias("key"), "fp").distinct()
-    heads = dealt.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    members = durable(dealt.join(heads, "key"))
-    star = durable(members.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
-    if star.isEmpty():
-        return star
-    near = durable(similar(star, docs))
-    root = durable(connected(near))
-    of_fp, of_head = root.select(F.col("node").alias("fp"), F.col("root").alias("r")), root.select(F.col("node").alias("head"), F.col("root").alias("h"))
-    known = members.join(of_fp, "fp", "left").join(of_head, "head", "left").select("key", "fp", "head", F.coalesce("r", "fp").alias("r"), F.coalesce("h", "head").alias("h"))
-    apart = known.where("r <> h").select("key", F.col("fp").alias("u"), F.col("r").alias("ur"))
-    pairs = apart.join(known.select("key", "fp", "r"), "key").where("ur <> r").select(F.least("u", "fp").alias("a"), F.greatest("u", "fp").alias("b")).distinct()
-    more = durable(pairs.join(star, ["a", "b"], "left_anti"))
-    return near if more.isEmpty() else near.union(similar(more, docs))
+    members = durable(dealt.join(dealt.groupBy("key").count().where("count > 1").select("key"), "key"))
+    sets = durable(shingle_sets(docs, members.select("fp").distinct()))
+    known, found = members.withColumn("r", F.col("fp")), members.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    for turn in range(TURNS):
+        # A head by hash of its bucket: a group that fills many buckets meets as many heads.
+        heads = known.groupBy("key").agg(F.min_by(F.struct("fp", "r"), F.xxhash64("fp", "key", F.lit(turn))).alias("head"))
+        star = known.join(heads, "key").where("r <> head.r").select(F.least("fp", "head.fp").alias("a"), F.greatest("fp", "head.fp").alias("b")).distinct()
+        found = durable(found.union(similar(star, sets)))
+        root = connected(found).withColumnRenamed("root", "to").withColumnRenamed("node", "fp")
+        known = durable(members.join(root, "fp", "left").select("key", "fp", F.coalesce("to", "fp").alias("r")))
+    heads = known.groupBy("key").agg(F.mode("r").alias("h"))
+    apart = known.join(heads, "key").where("r <> h").select("key", F.col("fp").alias("u"), F.col("r").alias("ur"))
+    pairs = apart.join(known, "key").where("ur <> r").select(F.least("u", "fp").alias("a"), F.greatest("u", "fp").alias("b")).distinct()
+    return found.union(similar(durable(pairs), sets))
 
 
 def classes(marked: DataFrame, docs: DataFrame) -> DataFrame:
