@@ -51,10 +51,9 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list
     return [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of whole texts."""
+def hashed(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group of texts: the rows that have a shingle, where each begins, and the hashes of all their shingles."""
     raw, offsets = tx.buffers(column)
-    out = np.zeros(len(column), dtype=np.uint64)
     for i, j in tx.groups(offsets):
         whole = raw[offsets[i] : offsets[j]].tobytes()
         hashes, count = [], np.zeros(j - i, dtype=np.int64)
@@ -62,18 +61,28 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
             h = shingle_hashes(whole[offsets[d] - offsets[i] : offsets[d + 1] - offsets[i]], shingle, seed)
             count[d - i] = len(h)
             hashes += h
-        if not hashes:
-            continue
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        has = np.flatnonzero(count)
-        first = np.cumsum(count[has]) - count[has]
-        # sums of up to 255 rows fit a byte, so eight counters are added at once
-        pieces = -(-count[has] // 255)
-        at = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        small = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8).reshape(-1, 64)
-        total = np.add.reduceat(small.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-        set_bits = (2 * total > count[has][:, None]).astype(np.uint8)
-        out[i + has] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        if hashes:
+            has = np.flatnonzero(count)
+            yield i + has, np.cumsum(count[has]) - count[has], np.array(hashes, dtype=np.uint64)
+
+
+def majority(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The bits that over half the hashes of each text have; a text's hashes begin at ``first``."""
+    count = np.diff(np.append(first, len(hashes)))
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    # sums of up to 255 rows fit a byte, so eight counters are added at once
+    pieces = -(-count // 255)
+    at = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    small = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8).reshape(-1, 64)
+    total = np.add.reduceat(small.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
+    return np.packbits((2 * total > count[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of whole texts."""
+    out = np.zeros(len(column), dtype=np.uint64)
+    for rows, first, hashes in hashed(column, shingle, seed):
+        out[rows] = majority(first, hashes)
     return out
 
 
