@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .sampling import opened, shared
 
 #: White space of the file's patterns (Unicode's White_Space), which has no U+001C to U+001F.
 BLANKS = r"\t-\r \x85\xa0  -     　"
@@ -261,10 +262,10 @@ def _as_string(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; ``path``: the vocabulary file, read on the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    sent = shared(docs, Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(opened(sent))
         for b in batches:
             raw, offsets = _as_string(b)
             n, ids, decoded = [], [], []
@@ -283,10 +284,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every row: the operator's real output."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    sent = shared(docs, Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(opened(sent))
         for b in batches:
             got = list(encoder.encode(tx.text_column(b, "text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())], ["doc_id", "ids", "decoded"])

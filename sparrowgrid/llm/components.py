@@ -13,6 +13,7 @@ unique by key, which adaptive execution can split on the other.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; a temporary one only where none is set (tests)."""
+    """A checkpoint in the folder that the cluster names. Where none is named, a temporary folder serves a local session; elsewhere that is an error."""
     sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

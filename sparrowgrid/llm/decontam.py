@@ -16,12 +16,17 @@ words: the question (all but the last sentence) and the answer (the last sentenc
 of a single sentence, its last third) must both overlap with the passage, each
 measured by the longest common subsequence.
 
-The index is sent to the tasks in shards of at most about ``shard_bytes`` of item
-text, whatever the benchmark's size; statistics cover the whole benchmark.
+The index is built on the driver in shards of about ``shard_bytes`` of item text (a
+longer item is a shard of its own) and sent to the tasks; documents are scanned once
+for every ``scan_bytes`` of shards, so a benchmark below that takes one scan, and a
+larger one never more memory. Statistics cover the whole benchmark.
+
+Words end at blanks and punctuation; letters of scripts without blanks are words.
 
 Edge cases: null or wordless texts match nothing; null or wordless items are never
-matched; repeated items with one id and text count once; repeated documents are
-reported each; empty tables give no rows.
+matched; items with a null id are searched like others and reported under it;
+repeated items with one id and text count once; repeated documents are reported
+each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .sampling import opened, shared
 
 
 @dataclass
@@ -47,11 +53,12 @@ class Settings:
     block: int = 2
     slight: float = 0.25  # share of an item that terms of little weight may have together
     shard_bytes: int = 2 << 20
+    scan_bytes: int = 16 << 20
 
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     question: list[int]
     answer: list[int]
 
@@ -89,7 +96,7 @@ class Index:
 def hashed_words(text: str) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     padded, _ = tx.padded(raw, np.array([0, len(raw)]), 0, 1)
-    return tx.word_hashes(padded, *tx.word_spans(padded))
+    return tx.word_hashes(padded, *tx.token_spans(padded))
 
 
 _SENTENCE = re.compile(r"[.?!\n]+\s+")
@@ -217,7 +224,7 @@ def leaks_of(column: pa.Array, indexes: list[Index]) -> Iterator[tuple[int, int,
     raw, offsets = tx.buffers(column)
     for i, j in tx.groups(offsets):
         text, starts = tx.padded(raw, offsets, i, j)
-        begins, ends = tx.word_spans(text)
+        begins, ends = tx.token_spans(text)
         if not len(begins):
             continue
         hashes = tx.word_hashes(text, begins, ends)
@@ -233,7 +240,7 @@ def leaks_of(column: pa.Array, indexes: list[Index]) -> Iterator[tuple[int, int,
                         new = (score, q, a, int(at - first[doc]))
                         if best.get((doc, item.item_id), (-1.0,))[:3] < new[:3]:
                             best[doc, item.item_id] = new
-        for (doc, item_id), x in sorted(best.items()):
+        for (doc, item_id), x in sorted(best.items(), key=lambda e: (e[0][0], e[0][1] is None, e[0][1] or 0)):
             yield (i + doc, item_id, *x)
 
 
@@ -284,7 +291,7 @@ def _passages(hashes: np.ndarray, first: np.ndarray, ix: Index) -> Iterator[tupl
 def shards(benchmark: DataFrame, settings: Settings | None = None) -> Iterator[list[Index]]:
     """The benchmark's index, in parts of bounded size."""
     s = settings or Settings()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // s.shard_bytes))
 
@@ -303,7 +310,7 @@ def shards(benchmark: DataFrame, settings: Settings | None = None) -> Iterator[l
     counted = found.where("words = 0").groupBy("term").count()
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if not rows:
             continue
         own = part.select("text").mapInArrow(words, "term long, words long").where("words = 0").select("term").distinct() if n > 1 else None
@@ -311,18 +318,32 @@ def shards(benchmark: DataFrame, settings: Settings | None = None) -> Iterator[l
         yield build(rows, df, stats[0], stats[1], s)
 
 
+def scans(benchmark: DataFrame, settings: Settings | None = None) -> Iterator[list[Index]]:
+    """The shards' indexes, as many at once as one scan of the documents serves."""
+    s = settings or Settings()
+    held: list[Index] = []
+    for n, indexes in enumerate(shards(benchmark, s), 1):
+        held += indexes
+        if n % max(1, s.scan_bytes // s.shard_bytes) == 0:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """A row for each document row and item that it holds."""
     out = None
-    for indexes in shards(benchmark, settings):
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+    for indexes in scans(benchmark, settings):
+        sent = shared(docs, indexes)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = opened(sent)
             for b in batches:
-                rows = list(leaks_of(tx.text_column(b, "text"), shared.value))
+                rows = list(leaks_of(tx.text_column(b, "text"), own))
                 of = pa.array([r[0] for r in rows], pa.int64())
                 numbers = [pa.array([round(r[c], 6) for r in rows], pa.float64()) for c in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array([r[1] for r in rows], pa.int64()), *numbers, pa.array([r[5] for r in rows], pa.int64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -334,13 +355,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no item of the benchmark."""
-    for indexes in shards(benchmark, settings):
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+    for indexes in scans(benchmark, settings):
+        sent = shared(docs, indexes)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = opened(sent)
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
-                keep[[r[0] for r in leaks_of(tx.text_column(b, "text"), shared.value)]] = False
+                keep[[r[0] for r in leaks_of(tx.text_column(b, "text"), own)]] = False
                 yield tx.keep_rows(b, keep)
 
         docs = docs.mapInArrow(run, docs.schema)

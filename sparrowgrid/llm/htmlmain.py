@@ -10,10 +10,16 @@ path. A page that lacks this path, or has no text under it, yields its own choic
 
 Boilerplate is what its tag, role, class or id calls a menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comment; hidden elements too.
+A class counts if all its parts are such names or words of place (``site-header``,
+``comment-list``), so ``has-sidebar`` and ``social-science`` do not. A header inside
+an article belongs to it. Where boilerplate has an article, a main or a top heading
+inside and most of the page's text, or where nothing else has text, it is taken for
+the page's frame (a form around the whole page) and forgiven.
 
 Blocks keep page order and are joined by a line feed; character references are
 decoded, white space (no-break spaces included) becomes one blank, <br> is a blank.
-Nothing else is dropped and nothing is cut off.
+Nothing else is dropped and nothing is cut off. Reading takes time in proportion to
+the page, whatever its markup: tags whose quotes never end are read without them.
 
 Edge cases: a null or empty page has an empty text; a null url, or one without a
 host, shares the votes of the empty host; unclosed and stray tags are mended as
@@ -23,6 +29,7 @@ browsers do for paragraphs, list items and table parts; repeated rows each vote.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,78 +59,144 @@ BOILERPLATE_NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply "
     "replies discussion respond pagination pager toolbar widget widgets form search paywall disclaimer copyright".split()
 )
+#: Words of place and kind that may stand beside such a name in a class or id.
+BESIDE_NAMES = frozenset(
+    "site page main global top bottom left right primary secondary wrapper wrap container box area section block inner outer list item items bar button buttons "
+    "link links icons icon content slot unit google user reader the sticky fixed mobile desktop left-hand right-hand col column group panel message posts".split()
+)
 #: An open element of the first name ends where one of the others begins.
 ENDED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
 }
-SCOPE = frozenset("ul ol dl table select menu article section main div body td".split())
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|title|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup.
+RAW = frozenset("script style noscript template textarea svg math title iframe".split())
+FRAME = 0.5
+
+#: A tag whose quoted values hold no angle brackets; others are read by ``_end_of_tag``.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*)>""")
+_TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STEP = re.compile(r"""[^"'>]*""")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closes, attributes) of every tag; comments, declarations and raw elements have an empty name. Linear in the source."""
+    at, n, quoted = 0, len(source), True
+    while (begin := source.find("<", at)) >= 0:
+        m = _PLAIN_TAG.match(source, begin)
+        if m is None:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                at = n if end < 0 else end + 3
+                yield begin, at, "", False, ""
+                continue
+            if source.startswith(("<!", "<?"), begin):
+                end = source.find(">", begin)
+                at = n if end < 0 else end + 1
+                yield begin, at, "", False, ""
+                continue
+            if (named := _TAG_NAME.match(source, begin)) is None:
+                at = begin + 1
+                continue
+            end = _end_of_tag(source, named.end()) if quoted else -1
+            if end < 0:  # a quote that never ends: from here on quotes mean nothing
+                quoted, end = False, source.find(">", begin)
+            at = n if end < 0 else end + 1
+            closes, name, attributes = source[begin + 1] == "/", named[1].lower(), source[named.end() : at - 1]
+        else:
+            at, closes, name, attributes = m.end(), m[1] == "/", m[2].lower(), m[3]
+        if name in RAW and not closes and not (name in ("svg", "math") and attributes.endswith("/")):
+            ended = _ENDS[name].search(source, at)
+            at = ended.end() if ended else n
+            yield begin, at, "", False, ""
+        else:
+            yield begin, at, name, closes, attributes
+
+
+def _end_of_tag(source: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at ``at``, quoted values skipped; -1 if it does not."""
+    while (at := _STEP.match(source, at).end()) < len(source) and source[at] != ">":
+        at = source.find(source[at], at + 1) + 1
+        if not at:
+            return -1
+    return at if at < len(source) else -1
+
+
+def step_of(name: str, attributes: str) -> str:
+    """An element's part of a path: its name and its classes, digits as "#"."""
+    out = name
+    for a in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
+        if a[1].lower() == "class":
+            out += "".join("." + c for c in sorted(_DIGITS.sub("#", (a[2] or a[3] or a[4] or "").replace("/", "_")).split()))
+    return out
+
+
+def _called_boilerplate(value: str) -> bool:
+    """Whether one of the names in a class or id is boilerplate's."""
+    for token in value.split():
+        parts = [x.lower() for x in _NAME.findall(token)]
+        if any(x in BOILERPLATE_NAMES for x in parts) and all(x in BOILERPLATE_NAMES or x in BESIDE_NAMES for x in parts):
+            return True
+    return False
+
+
 class Page:
     """Blocks of text, each with its element, whether it is boilerplate, and its length in links."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.path, self.noise = [""], [-1], [""], [False]
+        self.tag, self.parent, self.step, self.path_key = [""], [-1], [""], [hash(())]
+        self.own_noise, self.noise = [False], [False]
         self.blocks: list[tuple[str, int, int]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._read(source)
+        self._settle_noise()
 
     def _read(self, source: str) -> None:
-        stack, inline, links, at = [0], [], 0, 0
-        skipped = 0  # depth of open elements whose text is none
-        for m in _TAG.finditer(source):
-            if m.start() > at and not skipped:
-                self._text(source[at : m.start()], links)
-            at = m.end()
-            name = m[3]
-            if name is None:
+        stack, open_, at = [0], Counter(), 0
+        inline: list[str] = []
+        held = Counter()
+        for begin, end, name, closes, attributes in tags(source):
+            if begin > at and not held["skipped"]:
+                self._text(source[at:begin], held["a"])
+            at = end
+            if not name:
                 continue
-            name = name.lower()
-            if not m[2]:
+            if not closes:
                 if name == "br":
                     self._parts.append(" ")
                 elif name in BLOCK:
                     self._flush(stack[-1])
-                    inline, links = [], 0
-                    self._close_implied(stack, name)
+                    inline, held = [], Counter()
+                    self._close_implied(stack, open_, name)
                     if name not in VOID:
-                        stack.append(self._open(stack[-1], name, m[4]))
-                elif name in SKIPPED and name not in ("script", "style") and not m[4].rstrip().endswith("/"):
-                    skipped += 1
-                    inline.append(name)
-                elif name not in VOID:
-                    if name == "a":
-                        links += 1
+                        stack.append(self._open(stack[-1], name, attributes))
+                        open_[name] += 1
+                elif name not in VOID and not (name in SKIPPED and attributes.rstrip().endswith("/")):
+                    held[name] += 1
+                    held["skipped"] += name in SKIPPED
                     inline.append(name)
-                continue
-            if name in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        self._flush(stack[-1])
-                        del stack[k:]
-                        inline, links, skipped = [], 0, 0
-                        break
-            elif name in inline:
-                while inline:
+            elif name in BLOCK:
+                if open_[name]:
+                    self._flush(stack[-1])
+                    inline, held = [], Counter()
+                    while (last := self.tag[stack.pop()]) != name:
+                        open_[last] -= 1
+                    open_[name] -= 1
+            elif held[name]:
+                while True:
                     last = inline.pop()
-                    links -= last == "a"
-                    skipped -= last in SKIPPED
+                    held[last] -= 1
+                    held["skipped"] -= last in SKIPPED
                     if last == name:
                         break
-        if at < len(source) and not skipped:
-            self._text(source[at:], links)
+        if at < len(source) and not held["skipped"]:
+            self._text(source[at:], held["a"])
         self._flush(stack[-1])
 
     def _text(self, raw: str, links: int) -> None:
@@ -139,34 +212,59 @@ class Page:
                 self.blocks.append((text, element, self._linked))
             self._parts, self._linked = [], 0
 
-    def _close_implied(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = self.tag[stack[k]]
-            if open_ == "p" or name in ENDED_BY.get(open_, ()):
-                del stack[k:]
-                return
-            if open_ in SCOPE:
-                return
+    def _close_implied(self, stack: list[int], open_: Counter, name: str) -> None:
+        while (tag := self.tag[stack[-1]]) == "p" or name in ENDED_BY.get(tag, ()):
+            open_[tag] -= 1
+            stack.pop()
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
-        noise, step = self.noise[parent] or name in BOILERPLATE_TAGS, name
+        noise, step = name in BOILERPLATE_TAGS, name
         if "=" in attributes or "hidden" in attributes:
+            step = step_of(name, attributes)
             for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    if key == "class":
-                        step += "".join("." + c for c in sorted(_DIGITS.sub("#", value).split()))
-                    noise = noise or (name not in ("body", "html", "article", "main") and any(x.lower() in BOILERPLATE_NAMES for x in _NAME.findall(value)))
+                    noise = noise or (name not in ("article", "main") and _called_boilerplate(value))
                 elif key == "role":
                     noise = noise or value.lower() in BOILERPLATE_ROLES
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
                     noise = True
         self.tag.append(name)
         self.parent.append(parent)
-        self.path.append(f"{self.path[parent]}/{step}" if name not in ("html",) else self.path[parent])
-        self.noise.append(noise)
+        self.step.append(step if name != "html" else "")
+        self.path_key.append(self.path_key[parent] if name == "html" else hash((self.path_key[parent], step)))
+        self.own_noise.append(noise and name not in ("html", "body"))
         return len(self.tag) - 1
 
+    def _settle_noise(self) -> None:
+        """Which elements are boilerplate, all told."""
+        n = len(self.tag)
+        size, frames, inside = [0] * n, [False] * n, [False] * n  # inside: in an article
+        for text, element, _ in self.blocks:
+            size[element] += len(text)
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            frames[self.parent[k]] |= frames[k] or self.tag[k] in ("article", "main", "h1")
+        for k in range(1, n):
+            inside[k] = inside[self.parent[k]] or self.tag[k] == "article"
+        clean = [0] * n
+        forgiven = lambda k: (frames[k] and size[k] >= FRAME * size[0]) or (self.tag[k] == "header" and inside[k])
+        self.own_noise = [own and not forgiven(k) for k, own in enumerate(self.own_noise)]
+        self.noise = list(self.own_noise)
+        for k in range(1, n):
+            self.noise[k] = self.noise[k] or self.noise[self.parent[k]]
+        for text, element, _ in self.blocks:
+            clean[0] += 0 if self.noise[element] else len(text)
+        if size[0] and not clean[0]:  # all is boilerplate: a form or a notice that has the most of it frames the page
+            for k in range(1, n):
+                own = self.own_noise[k] and not (self.tag[k] not in ("nav", "menu", "footer") and size[k] >= FRAME * size[0])
+                self.noise[k] = own or self.noise[self.parent[k]]
+
+    def path_of(self, k: int) -> str:
+        """The generalised path of an element."""
+        steps = [self.step[x] for x in (k, *self._ancestors(k)) if x > 0 and self.step[x]]
+        return "".join("/" + x for x in reversed(steps))
+
     def best(self) -> int:
         """The deepest container that covers enough of the text, or the article around it; 0 (the whole page) if none does."""
         own, heads = [0] * len(self.tag), [0] * len(self.tag)
@@ -205,7 +303,10 @@ class Page:
 
     def main_text(self, path: str | None) -> str:
         """The text under ``path``, or under the page's own choice."""
-        wanted = {k for k in range(1, len(self.path)) if self.path[k] == path} if path else set()
+        key = self.path_key[0]
+        for step in path.split("/")[1:] if path else ():
+            key = hash((key, step))
+        wanted = {k for k in range(1, len(self.tag)) if self.path_key[k] == key} if path else set()
         return (self.under(wanted) if wanted else "") or self.under({self.best()})
 
     def visible_text(self) -> str:
@@ -221,7 +322,7 @@ def vote(pages: DataFrame) -> DataFrame:
             paths = []
             for source in b.column(1).to_pylist():
                 page = Page(source or "")
-                paths.append(page.path[page.best()] or None)
+                paths.append(page.path_of(page.best()) or None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
     votes = pages.select(parts(F.col("url"))[0].alias("host"), "html").mapInArrow(run, "host string, path string")
@@ -229,10 +330,11 @@ def vote(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host").agg(F.max_by("path", F.struct("count", F.length("path"), "path")).alias("path"))
 
 
-def extract(pages: DataFrame, most_hosts: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     winners = durable(vote(pages))
-    if winners.limit(most_hosts + 1).count() <= most_hosts:  # else pages are dealt by host, and adaptive execution splits large ones
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 16), F.lit(0))).first()[0]
+    if size <= most_bytes:  # else pages are dealt by host, and adaptive execution splits large ones
         winners = F.broadcast(winners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

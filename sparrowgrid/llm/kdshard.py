@@ -9,14 +9,15 @@ All nodes of a level are measured together in a few distributed passes: boxes,
 then histograms of 4,096 bins over the chosen dimension, refined around the cut.
 The driver sees sums by node and bin only, at most 40 times 4,096 of them. Equal
 texts have equal metadata and stay in one shard, unless so many of them share a cut
-that the sizes would differ by more than ``slack`` of a shard: then doc_id decides.
+that the sizes would differ by more than ``slack`` of a shard: then doc_id decides,
+and between rows that repeat text and doc_id the row's number (fixed by a checkpoint).
 
-Slots are counted in parts of bounded size (a shard and a hash of doc_id), so no
-task holds a shard.
+Slots are counted in parts of bounded size (a shard and a hash of the row's number),
+so no task holds a shard.
 
 Edge cases: a null text counts as empty (size 16, CRC 0); rows with a null doc_id
-stand first in order; rows that repeat text and doc_id stay together; an empty
-table gives no rows; with fewer rows than shards some shards are empty.
+stand first in order; rows that repeat text and doc_id, or lack one, are parted like
+any others; an empty table gives no rows; with fewer rows than shards some shards are empty.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql.window import Window
 
 from .components import durable
 
-DIMENSIONS = ("crc", "size", "chars")
+DIMENSIONS = ("size", "chars", "crc")
+#: What parts rows of equal metadata; the row's number comes last, so that no two rows are inseparable.
+TIES = ("ident", "row")
 BINS = 4096
 OVERHEAD = 16
 
@@ -79,7 +82,7 @@ def _leaves(node: Node) -> list[Node]:
 
 
 def build(meta: DataFrame, shards: int, slack: float = 0.01, tolerance: float = 0.0005) -> tuple[Node, int]:
-    """The tree over ``meta`` (doc_id, size, chars, crc, ident) and the number of rows."""
+    """The tree over ``meta`` (doc_id, size, chars, crc, ident, row) and the number of rows."""
     root = Node(shards, 0)
     spread, rows, target = {}, 0, 0.0
     while True:
@@ -92,8 +95,7 @@ def build(meta: DataFrame, shards: int, slack: float = 0.01, tolerance: float =
         boxes = {
             r["node"]: r for r in placed.groupBy("node").agg(
                 F.count("*").alias("n"), F.sum("size").alias("bytes"),
-                *[f(d).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))],
-                F.min("ident").alias("lo_ident"), F.max("ident").alias("hi_ident"),
+                *[f(d).alias(f"{name}_{d}") for d in (*DIMENSIONS, *TIES) for name, f in (("lo", F.min), ("hi", F.max))],
             ).collect()
         }
         if not spread:
@@ -110,7 +112,7 @@ def build(meta: DataFrame, shards: int, slack: float = 0.01, tolerance: float =
                 continue
             widest = max(DIMENSIONS, key=lambda d: (b[f"hi_{d}"] - b[f"lo_{d}"]) / spread[d])
             n.dim = widest
-            order = [widest, *(d for d in DIMENSIONS if d != widest), "ident"]
+            order = [widest, *(d for d in DIMENSIONS if d != widest), *TIES]
             todo[n.number] = {"node": n, "order": order, "at": 0, "fixed": [], "lo": b[f"lo_{widest}"], "hi": b[f"hi_{widest}"], "below": 0, "want": b["bytes"] * (n.shards // 2) / n.shards, "box": b}
         while todo:
             _refine(placed, todo, target * slack, target * tolerance)
@@ -144,7 +146,7 @@ def _refine(placed: DataFrame, todo: dict[int, dict], slack: float, tolerance: f
         before = int(ends[k]) - weight
         lo = t["lo"] + bin_number * t["width"]
         hi = min(t["hi"], lo + t["width"] - 1)
-        last = column == "ident"
+        last = column == TIES[-1]
         # settled if the bin is light, or if it is one value of all metadata and may stay whole
         whole = t["width"] == 1 and (last or (t["at"] == len(DIMENSIONS) - 1 and weight <= slack))
         if weight <= tolerance or whole:
@@ -162,18 +164,18 @@ def _refine(placed: DataFrame, todo: dict[int, dict], slack: float, tolerance: f
 
 def shard_documents(docs: DataFrame, shards: int = 40, part_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
-    meta = durable(metadata(docs).withColumn("ident", _ident()))
+    meta = durable(metadata(docs).withColumn("ident", _ident()).withColumn("row", F.monotonically_increasing_id()))
     root, rows = build(meta, shards)
     parts = max(1, -(-rows // (shards * part_rows)))
-    placed = meta.withColumn("shard", _place(root, lambda n: n.first).cast("int")).withColumn("part", F.pmod(F.xxhash64("ident"), F.lit(parts)))
+    placed = meta.withColumn("shard", _place(root, lambda n: n.first).cast("int")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "part").orderBy("ident", "crc", "size")
-    numbered = placed.withColumn("row", F.row_number().over(inside) - 1).join(offsets, ["shard", "part"])
+    inside = Window.partitionBy("shard", "part").orderBy("ident", "crc", "size", "row")
+    numbered = placed.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["shard", "part"])
     return numbered.select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("offset") + F.col("row")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("offset") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -13,8 +13,9 @@ more get random splits with pairwise distances checked.
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no
 labelled rows every text is ``und``; with one language only, that is predicted.
 Null languages are not learned. Texts are read whole. The training rows are a
-sample of at most ``max_docs`` rows (equal shares per language, ordered by a hash
-of doc_id) and ``max_bytes`` of text.
+sample of at most ``max_docs`` rows (equal shares per language, by the order of a
+hash of doc_id) and ``max_bytes`` of text (see ``sampling.within_bytes``: a long
+text costs its own place only, and every language keeps some).
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .sampling import per_class, train_in_task, within_bytes
+from .sampling import counts_of, least_of_each, opened, share_of, shared, texts_of, train_in_task, within_bytes
 
 UND = "und"
+#: Loss of a codeword whose every bit is a toss-up.
+TOSS_UP = float(np.log(2))
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
@@ -118,18 +121,26 @@ def margins(column: pa.Array, model: Model) -> np.ndarray:
     # n-grams of different sizes at the same byte are added before the sum over the text
     for i, j in tx.groups(offsets, tx.GROUP_BYTES // 4):
         text, starts = tx.padded(raw, offsets, i, j)
-        acc = np.zeros((len(text), bits), dtype=np.float32)
-        for bucket, _ in _buckets(text, model.settings):
-            acc[: len(bucket)] += model.weights[bucket]
+        acc = np.zeros((starts[-1], bits), dtype=np.float32)  # the last blank begins no text
+        for bucket, n in _buckets(text, model.settings):
+            part = model.weights[bucket[: len(acc)]]
+            across = (starts[1:, None] - np.arange(1, n - 1)).ravel()  # n-grams that would reach into the next text
+            part[across[(across >= 0) & (across < len(part))]] = 0
+            acc[: len(bucket)] += part
         sums = np.add.reduceat(acc, starts[:-1], axis=0, dtype=np.float64)
         out[i:j] += sums / (len(model.settings.sizes) * np.diff(starts))[:, None]
     return out
 
 
+def losses(margin: np.ndarray, model: Model) -> np.ndarray:
+    """Loss of each text (row) under each codeword."""
+    loss = np.logaddexp(0.0, -margin[:, None, :] * model.code[None, :, :])
+    return (loss * model.trust).sum(axis=2) / model.trust.sum()
+
+
 def decode(margin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the nearest codeword, its score, and the lead over the second."""
-    loss = np.logaddexp(0.0, -margin[:, None, :] * model.code[None, :, :])
-    loss = (loss * model.trust).sum(axis=2) / model.trust.sum()
+    loss = losses(margin, model)
     rating = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
     rating /= rating.sum(axis=1, keepdims=True)
     order = np.sort(rating, axis=1)
@@ -169,8 +180,8 @@ def train(texts: list[str], langs: list[str], settings: Settings | None = None)
     for r in range(len(rows)):
         text, starts = tx.padded(raw, offsets, r, r + 1)
         for bucket, _ in _buckets(text, s):
-            x[r] += np.bincount(bucket, minlength=s.buckets)
-        x[r] /= len(s.sizes) * len(text)
+            x[r] += np.bincount(bucket[: len(text) - 1], minlength=s.buckets)  # the blank at the end belongs to the next text
+        x[r] /= len(s.sizes) * (len(text) - 1)
     target = code[np.array(y)]
     count = np.bincount(y, minlength=len(languages))
     weight = (1.0 / count[np.array(y)] / len(languages))[:, None].astype(np.float32)
@@ -196,22 +207,17 @@ def fold(column: str, folds: int) -> F.Column:
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     """Trains on a bounded sample of the rows outside the held-out fold that name a language."""
     s = settings or Settings()
-    able = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", s.folds) != s.held_out_fold))
-    n = max(1, able.select("lang").distinct().count())
-    some = per_class(able, "lang", max(8, s.max_docs // n)).select("doc_id").distinct()
-    rows = (
-        docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .join(F.broadcast(some), "doc_id")
-        .limit(2 * max(s.max_docs, 8 * n))  # more only if ids repeat
-    )
-    rows = within_bytes(rows, "lang", s.max_bytes)
+    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", s.folds) != s.held_out_fold)).select("doc_id", "text", "lang")
+    counts = counts_of(able, "lang")
+    most = max(8, s.max_docs // max(1, len(counts)))
+    chosen = within_bytes(least_of_each(share_of(able, "lang", counts, most), "lang", most), s.max_bytes)
 
     def learn(sample: list[dict]) -> tuple:
-        sample.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
-        m = train([r["text"] for r in sample], [r["lang"] for r in sample], s)
+        sample.sort(key=lambda r: (r["doc_id"], r["text"], r["label"]))
+        m = train([r["text"] for r in sample], [r["label"] for r in sample], s)
         return m.languages, m.code, m.weights, m.bias, m.trust
 
-    return Model(*train_in_task(rows, learn), s)
+    return Model(*train_in_task(texts_of(docs, chosen), learn), s)
 
 
 SCHEMA = T.StructType([
@@ -223,25 +229,40 @@ SCHEMA = T.StructType([
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of every row."""
     s = model.settings
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = opened(sent)
         for b in batches:
-            lang, score, unsure = predict(tx.text_column(b, "text"), shared.value)
+            lang, score, unsure = predict(tx.text_column(b, "text"), own)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], SCHEMA.names)
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", s.folds) == s.held_out_fold).alias("held_out"), "text")
     return some.mapInArrow(run, SCHEMA)
 
 
+def identified(column: pa.Array, model: Model) -> np.ndarray:
+    """Whether each text has a letter and a codeword that is nearer than a toss-up of all bits."""
+    raw, offsets = tx.buffers(column)
+    ok = has_letter(raw, offsets, column)
+    if len(model.languages) > 1:
+        ok &= losses(margins(column, model), model).min(axis=1) <= TOSS_UP
+    return ok
+
+
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a letter and so a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, unchanged, whose text is of a language: it has a letter, and the decoder does not reject it.
+
+    The decoder rejects a text whose nearest codeword has a greater loss than a
+    toss-up of every bit would have: its bits contradict all codewords. Without a
+    model of two languages at least, the letter alone decides.
+    """
+    sent = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = opened(sent)
         for b in batches:
-            lang, _, _ = predict(tx.text_column(b, "text"), shared.value)
-            yield tx.keep_rows(b, np.array([x != UND for x in lang], dtype=bool))
+            yield tx.keep_rows(b, identified(tx.text_column(b, "text"), own))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -89,6 +89,28 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
 
 
+def token_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_spans``, and general punctuation and no-break blanks part words too; letters of scripts without blanks (U+3000 to U+9FFF) are a word each."""
+    solid = text != SPACE
+    for lead, second, length in ((0xE2, (0x80,), 3), (0xC2, (0xA0, 0xAB, 0xBB), 2)):
+        at = np.flatnonzero((text[:-1] == lead) & np.isin(text[1:], second))
+        for k in range(length):
+            solid[at + k] = False
+    lone = np.flatnonzero((text >= 0xE3) & (text <= 0xE9))
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    if len(lone):
+        start[lone] = True
+        after = lone + 3
+        start[after[after < len(text)]] |= solid[after[after < len(text)]]
+    edge = start.copy()
+    edge[1:] |= solid[:-1] & ~solid[1:]  # a word ends where none stands, or where the next begins
+    edge[0] = False
+    begins = np.flatnonzero(start)
+    ends = np.flatnonzero(edge[1:] & solid[:-1]) + 1
+    return begins, ends
+
+
 def powers(n: int, base: np.uint64 = _MULT) -> np.ndarray:
     """base ** 0 .. base ** n, modulo 2 ** 64."""
     out = np.full(n + 1, base, dtype=np.uint64)

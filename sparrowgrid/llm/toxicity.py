@@ -1,6 +1,6 @@
 """Toxicity: averaged subword embeddings under a linear softmax.
 
-A word is the bag of its character n-grams (3 to 5 bytes, its edges marked) and
+A word is the bag of its character n-grams (3 to 5 code points, its edges marked) and
 of itself; every member has a row in one hashed embedding table. The vectors of a
 word's members are averaged to the word, those of a window's words to the window,
 and a linear softmax over two classes reads the window. Embeddings and softmax
@@ -14,8 +14,9 @@ counts, at any length.
 Edge cases: a null or empty text, or one without words, gets the score of the
 empty bag (the softmax of the bias alone); repeated rows are scored alike; with
 no labelled rows at all, or with one class only, the model is the class share.
-The training rows are a sample bounded by ``per_class`` rows and ``max_bytes``
-of text, taken in the order of a hash of doc_id.
+The training rows are a sample bounded by ``per_class`` rows, in the order of a
+hash of doc_id, and ``max_bytes`` of text (see ``sampling.within_bytes``: a long
+text costs its own place only, and both classes keep some).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .sampling import per_class, train_in_task, within_bytes
+from .sampling import counts_of, least_of_each, opened, share_of, shared, texts_of, train_in_task, within_bytes
 
 NGRAMS = (3, 4, 5)
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -67,13 +68,11 @@ class Model:
 
 def _members(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word, bucket) of all members of all words, one n-gram size at a time."""
-    word_of = np.zeros(len(text), dtype=np.int32)
-    word_of[begins] = 1
-    word_of = np.cumsum(word_of, dtype=np.int32) - 1
-    solid = text != tx.SPACE
-    wide = text.astype(np.uint32)
+    wide = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)  # characters
+    solid = wide != tx.SPACE
+    word_of = np.cumsum(np.diff(solid.astype(np.int8), prepend=0) == 1, dtype=np.int32) - 1
     for n in NGRAMS:
-        m = len(text) - n + 1
+        m = len(wide) - n + 1
         if m <= 0:
             continue
         ok = solid[1 : 1 + m].copy()
@@ -233,31 +232,27 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", s.folds) != s.held_out_fold))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    some = per_class(marked, "toxic", s.per_class)
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(F.broadcast(some), "doc_id")
-        .limit(4 * s.per_class)  # more only if ids repeat
-    )
-    rows = within_bytes(rows, "toxic", s.max_bytes)
+    some = share_of(marked, "toxic", counts_of(marked, "toxic"), s.per_class)  # a bounded number of ids, so it may be sent to all tasks
+    chosen = within_bytes(least_of_each(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "toxic", s.per_class), s.max_bytes)
 
     def learn(sample: list[dict]) -> tuple[np.ndarray, float]:
         sample.sort(key=lambda r: (r["doc_id"], r["text"]))
-        model = train([r["text"] for r in sample], np.array([r["toxic"] for r in sample]), s)
+        model = train([r["text"] for r in sample], np.array([r["label"] for r in sample]), s)
         return model.scalars, model.bias
 
-    return Model(*train_in_task(rows, learn), s)
+    return Model(*train_in_task(texts_of(docs, chosen), learn), s)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     s = model.settings
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = opened(sent)
         for b in batches:
-            p = scores(tx.text_column(b, "text"), shared.value)
+            p = scores(tx.text_column(b, "text"), own)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", s.folds) == s.held_out_fold).alias("held_out"), "text")
@@ -266,11 +261,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score is below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = opened(sent)
         for b in batches:
-            yield tx.keep_rows(b, scores(tx.text_column(b, "text"), shared.value) < threshold)
+            yield tx.keep_rows(b, scores(tx.text_column(b, "text"), own) < threshold)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -3,16 +3,21 @@
 Pages that a rule decides make their hosts seeds: a host's trust seed is the share
 of its pages that rules allow, its distrust seed the share that rules block. Trust
 runs along links (personalised PageRank: a host passes its trust on in equal parts
-to the hosts that it links to), distrust runs against them (a host that links to
-distrusted hosts takes part of theirs). A host is blocked if its distrust is at
-least ``threshold`` and greater than its trust; a page without a rule gets its
-host's verdict. Everything is DataFrame operations; host edges are summed before
-they are shuffled, so a host with a third of all pages is no large group.
+to all hosts that it links to, whether they have pages here or not), distrust runs
+against them (a host that links to distrusted hosts takes part of theirs). Values
+are personalised PageRank over (1 - damping), times the sum of the seeds: on this
+scale a host that no link reaches has its own seed share, and what links bring is
+added. Both propagations run until no value changes by over ``tolerance``.
+
+A host is blocked if its distrust is at least ``threshold`` and greater than its
+trust; a page without a rule gets its host's verdict. Everything is DataFrame
+operations; host edges are summed before they are shuffled, so a host with a third
+of all pages is no large group.
 
 Edge cases: a null url, or one without "://", has an empty host and path and no
-rule; an empty host is neither seed nor node, and such pages are allowed. Links to
-the own host do not count. Repeated rows are judged alike and count as pages.
-Without links the seeds alone decide. Empty tables give no rows.
+rule; an empty host is neither seed nor node, and such pages are allowed. As nodes,
+hosts stand without user info and port. Links to the own host do not count.
+Repeated rows are judged alike and count as pages. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +29,11 @@ from .components import durable
 
 #: The rules of the query (verdict, host and path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, TOLERANCE, ROUNDS, THRESHOLD = 0.85, 1e-6, 120, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""<a\s[^>]*href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+LINK = r"""<a(?:rea)?\s[^>]*href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: User info and port, which no node's name holds.
+BESIDE_HOST = r"^[^@]*@|:\d*$"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -47,46 +54,53 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
+def node_of(host: Column) -> Column:
+    return F.regexp_replace(F.translate(host, UPPER, LOWER), BESIDE_HOST, "")
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): distinct links between different hosts."""
-    found = pages.where("host <> '' and html is not null").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit("(?i)" + LINK), 1)).alias("dst"))
-    return found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").distinct()
+    """(src, dst): distinct links between different nodes, of pages with node and html."""
+    found = pages.where("node <> '' and html is not null").select(F.col("node").alias("src"), F.explode(F.regexp_extract_all("html", F.lit("(?i)" + LINK), 1)).alias("dst"))
+    return found.select("src", node_of(F.col("dst")).alias("dst")).where("src <> dst and dst <> ''").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``seeds`` (host, seed) and ``edges`` (src, dst, both known hosts) -> (host, value) after ``rounds`` rounds."""
-    weighted = durable(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", (F.lit(damping) / F.col("out")).alias("share")))
-    value = seeds.select("host", F.col("seed").alias("value"))
+def propagate(seeds: DataFrame, shares: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """``seeds`` (node, seed) and ``shares`` (src, dst, share: of what src has, both seeds' nodes) -> (node, value), until no value changes by over ``tolerance``."""
+    value = seeds.select("node", F.col("seed").alias("value"))
+    checked = value
     for k in range(rounds):
-        came = value.join(weighted, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("value") * F.col("share")).alias("came"))
-        value = seeds.join(came, F.col("host") == F.col("dst"), "left").select("host", (F.col("seed") + F.coalesce("came", F.lit(0.0))).alias("value"))
-        if k % 4 == 3:
+        came = value.join(shares, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(damping * F.col("value") * F.col("share")).alias("came"))
+        value = seeds.join(came, F.col("node") == F.col("dst"), "left").select("node", (F.col("seed") + F.coalesce("came", F.lit(0.0))).alias("value"))
+        if k % 4 == 0:  # the lineage is cut and the change measured every fourth round
             value = durable(value)
+            change = value.join(checked.withColumnRenamed("value", "before"), "node").agg(F.max(F.abs(F.col("value") - F.col("before")))).first()[0]
+            if change is None or change <= tolerance:
+                break
+            checked = value
     return value
 
 
+def host_values(marked: DataFrame) -> DataFrame:
+    """``marked`` (node, html, by_rule) -> (node, trust, distrust) of every node with a page."""
+    share = lambda what: (F.count(F.when(F.col("by_rule") == what, 1)) / F.count("*")).alias(what)
+    nodes = durable(marked.where("node <> ''").groupBy("node").agg(share("allow"), share("block")))
+    links = durable(host_links(marked))
+    known = nodes.select(F.col("node").alias("dst"))
+    ahead = durable(links.join(links.groupBy("src").agg((1 / F.count("*")).alias("share")), "src").join(known, "dst", "left_semi").select("src", "dst", "share"))
+    back = durable(ahead.join(ahead.groupBy("dst").agg((1 / F.count("*")).alias("part")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("part").alias("share")))
+    trust = propagate(nodes.select("node", F.col("allow").alias("seed")), ahead)
+    distrust = propagate(nodes.select("node", F.col("block").alias("seed")), back)
+    return trust.withColumnRenamed("value", "trust").join(distrust.withColumnRenamed("value", "distrust"), "node")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     host, path = parts(F.col("url"))
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
     rule, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    marked = split.select("page_id", "host", "path", "html", rule.alias("rule"), verdict.alias("by_rule"))
-    hosts = durable(
-        marked.where("host <> ''").groupBy("host").agg(
-            (F.count(F.when(F.col("by_rule") == "allow", 1)) / F.count("*")).alias("trust"), (F.count(F.when(F.col("by_rule") == "block", 1)) / F.count("*")).alias("distrust")
-        )
-    )
-    links = host_links(marked)
-    known = hosts.select(F.col("host").alias("dst"))
-    links = durable(links.join(known, "dst", "left_semi"))
-    if links.isEmpty():
-        values = hosts
-    else:
-        trust = propagate(hosts.select("host", F.col("trust").alias("seed")), links)
-        distrust = propagate(hosts.select("host", F.col("distrust").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        values = trust.withColumnRenamed("value", "trust").join(distrust.withColumnRenamed("value", "distrust"), "host")
-    bad = values.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_host"))
-    out = marked.join(bad, "host", "left")
+    marked = split.select("page_id", "host", "path", "html", node_of(F.col("host")).alias("node"), rule.alias("rule"), verdict.alias("by_rule"))
+    bad = host_values(marked).where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("node", F.lit("block").alias("by_host"))
+    out = marked.join(bad, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 
@@ -104,30 +118,30 @@ def _oracle() -> str:
         )
         return f"CASE{whens} END"
 
-    rounds = []
+    rounds, most = [], 80  # 0.85 ** 80 of a value is left out
     for name, seed, link in (("t", "trust", "w"), ("d", "distrust", "b")):
-        rounds.append(f"{name}0 AS MATERIALIZED (SELECT host, {seed} AS v FROM hosts)")
+        rounds.append(f"{name}0 AS MATERIALIZED (SELECT node, {seed} AS v FROM hosts)")
         rounds += [
-            f"{name}{k + 1} AS MATERIALIZED (SELECT h.host, h.{seed} + coalesce(sum(p.v * e.share), 0) AS v FROM hosts h"
-            f" LEFT JOIN {link} e ON e.dst = h.host LEFT JOIN {name}{k} p ON p.host = e.src GROUP BY h.host, h.{seed})"
-            for k in range(ROUNDS)
+            f"{name}{k + 1} AS MATERIALIZED (SELECT h.node, h.{seed} + coalesce(sum(p.v * e.share), 0) AS v FROM hosts h"
+            f" LEFT JOIN {link} e ON e.dst = h.node LEFT JOIN {name}{k} p ON p.node = e.src GROUP BY h.node, h.{seed})"
+            for k in range(most)
         ]
     pattern = LINK.replace("'", "''")
     return f"""
 WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-m AS MATERIALIZED (SELECT page_id, host, path, html, {case(1)} AS rule, {case(0)} AS by_rule FROM s),
-hosts AS MATERIALIZED (SELECT host, count(*) FILTER (by_rule = 'allow') / count(*) AS trust, count(*) FILTER (by_rule = 'block') / count(*) AS distrust
-  FROM m WHERE host <> '' GROUP BY host),
+m AS MATERIALIZED (SELECT page_id, host, regexp_replace(host, '{BESIDE_HOST}', '', 'g') AS node, path, html, {case(1)} AS rule, {case(0)} AS by_rule FROM s),
+hosts AS MATERIALIZED (SELECT node, count(*) FILTER (by_rule = 'allow') / count(*) AS trust, count(*) FILTER (by_rule = 'block') / count(*) AS distrust
+  FROM m WHERE node <> '' GROUP BY node),
 l AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
-  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{pattern}', 1, 'i')), '{UPPER}', '{LOWER}') AS dst FROM m WHERE host <> '')
-  WHERE src <> dst AND dst IN (SELECT host FROM hosts)),
-w AS (SELECT src, dst, {DAMPING} / count(*) OVER (PARTITION BY src) AS share FROM l),
-b AS (SELECT dst AS src, src AS dst, {DAMPING} / count(*) OVER (PARTITION BY dst) AS share FROM l),
+  SELECT node AS src, regexp_replace(translate(unnest(regexp_extract_all(html, '{pattern}', 1, 'i')), '{UPPER}', '{LOWER}'), '{BESIDE_HOST}', '', 'g') AS dst FROM m WHERE node <> '')
+  WHERE src <> dst AND dst <> ''),
+w AS MATERIALIZED (SELECT * FROM (SELECT src, dst, {DAMPING} / count(*) OVER (PARTITION BY src) AS share FROM l) WHERE dst IN (SELECT node FROM hosts)),
+b AS MATERIALIZED (SELECT dst AS src, src AS dst, {DAMPING} / count(*) OVER (PARTITION BY dst) AS share FROM w),
 {", ".join(rounds)},
-bad AS (SELECT host FROM t{ROUNDS} JOIN d{ROUNDS} USING (host) WHERE d{ROUNDS}.v >= {THRESHOLD} AND d{ROUNDS}.v > t{ROUNDS}.v)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
+bad AS (SELECT node FROM t{most} JOIN d{most} USING (node) WHERE d{most}.v >= {THRESHOLD} AND d{most}.v > t{most}.v)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
 """
 
 

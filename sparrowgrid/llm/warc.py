@@ -10,10 +10,13 @@ Digests are SHA-1 in base 32, as crawlers write them. HTTP bodies in chunks or
 compressed by gzip or deflate are decoded first; the text's encoding is that of the
 HTTP header, else of a <meta> tag, else UTF-8, with replacement of what is invalid.
 Content that is neither HTML nor text has a metadata record only. A declared payload
-digest that does not fit is kept and marked ``digest-mismatch``.
+digest that does not fit is kept and marked ``digest-mismatch``. A body that would
+grow beyond ``MOST_BODY`` when decompressed stays as it came.
 
 Edge cases: a null html is an empty payload (an empty conversion), a null url an
-empty target; repeated rows give repeated records; an empty table gives no rows.
+empty target; repeated rows give repeated records of one id (the same response);
+a record without an id is named by its target, date and block; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*\slang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\s", re.I)
+MOST_BODY = 256 << 20
 
 
 @dataclass
@@ -100,24 +104,38 @@ def records(stream: io.BufferedIOBase | bytes) -> Iterator[Record]:
         yield own
 
 
-def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and decoded body of an HTTP response."""
-    head, found, body = block.partition(b"\r\n\r\n")
-    if not found:
-        head, _, body = block.partition(b"\n\n")
-    lines = head.decode("latin-1").splitlines() or [""]
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
+    """Status line, headers, body as it came, and decoded body of an HTTP response."""
+    ends = [(at, len(end)) for end in (b"\r\n\r\n", b"\n\n") if (at := block.find(end)) >= 0]
+    at, gap = min(ends, default=(len(block), 0))
+    raw = block[at + gap :]
+    lines = block[:at].decode("latin-1").splitlines() or [""]
     headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
     named = {k.lower(): v.lower() for k, v in headers}
+    body = raw
     try:
         if "chunked" in named.get("transfer-encoding", ""):
             body = _unchunked(body)
         if "gzip" in (coding := named.get("content-encoding", "")):
-            body = gzip.decompress(body)
+            body = _inflated(body, 31)
         elif "deflate" in coding:
-            body = zlib.decompress(body) if body[:1] == b"\x78" else zlib.decompress(body, -15)
-    except (OSError, EOFError, ValueError, zlib.error):
+            body = _inflated(body, 15 if body[:1] == b"\x78" else -15)
+    except (ValueError, zlib.error):
         pass  # what cannot be decoded stays as it came
-    return lines[0], headers, body
+    return lines[0], headers, raw, body
+
+
+def _inflated(body: bytes, wbits: int) -> bytes:
+    """All members of a compressed body; ValueError if they are cut off or hold more than MOST_BODY."""
+    out, room = [], MOST_BODY
+    while body:
+        member = zlib.decompressobj(wbits)
+        out.append(member.decompress(body, room + 1))
+        room -= len(out[-1])
+        if room < 0 or not member.eof:
+            raise ValueError("cut off or too long")
+        body = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
 
 
 def _unchunked(body: bytes) -> bytes:
@@ -141,10 +159,9 @@ def _text(content_type: str, body: bytes) -> str:
 
 def derive(source: Record) -> list[Record]:
     """The metadata record of a response, and its conversion record if it holds HTML or text."""
-    status, headers, body = http_parts(source.block)
+    status, headers, raw, body = http_parts(source.block)
     named = {k.lower(): v for k, v in headers}
     kind = named.get("content-type", "").split(";")[0].strip().lower()
-    raw = source.block.partition(b"\r\n\r\n")[2]
     declared = source.get("WARC-Payload-Digest")
     fields = [("source-" + k.lower(), v) for k, v in source.headers] + [("http-status", status)] + [("http-" + k.lower(), v) for k, v in headers]
     if declared and declared not in (digest(raw), digest(body)):
@@ -155,14 +172,14 @@ def derive(source: Record) -> list[Record]:
         text = Page(markup).visible_text()
         if m := _TITLE.search(markup):
             fields.append(("title", " ".join(unescape(m[1]).split())))
-        if m := _LANG.search(markup[:2048]):
+        if m := _LANG.search(markup):
             fields.append(("language", m[1]))
         fields.append(("outlinks", str(len(_LINK.findall(markup)))))
     elif kind.startswith("text/"):
         text = _text(named.get("content-type", ""), body)
     if text is not None:
         fields.append(("text-characters", str(len(text))))
-    own = source.get("WARC-Record-ID")
+    own = source.get("WARC-Record-ID") or identifier("nameless", source.get("WARC-Target-URI"), source.get("WARC-Date"), digest(source.block))
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {_line(v)}\r\n" for k, v in fields).encode())]
     if text is not None:
         made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
@@ -208,20 +225,47 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(made: DataFrame, path: str) -> None:
-    """Writes derivative records as gzipped WARC files, one for each partition."""
+    """Writes derivative records as gzipped WARC files, one for each partition; a file is one gzip member."""
     made.select(F.concat("header", F.lit("\r\n"), "block")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+#: What stands between records.
+BETWEEN = b"\r\n\r\nWARC/"
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers (map) and block (binary) of every record of the WARC files at ``path``; a task holds one file at a time."""
+    """headers (map) and block (binary) of every record of the WARC files at ``path``, plain or gzipped.
+
+    Files are read as lines that end where a record does, so a task holds one record
+    at a time. A block that holds such an end itself is put together again by its
+    declared length, as far as its split goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = b""
         for b in batches:
-            for content in b.column(0):
-                for r in records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([r.headers], pa.map_(pa.string(), pa.string())), pa.array([r.block], pa.binary())], ["headers", "block"])
+            for piece in b.column(0):
+                held, done = _gathered(held, piece.as_py())
+                yield from map(_row, done)
+        if held:
+            yield from map(_row, records(held))
+
+    pieces = spark.read.option("lineSep", BETWEEN.decode()).text(path).select(F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(run, "headers map<string,string>, block binary")
+
+
+def _gathered(held: bytes, piece: bytes) -> tuple[bytes, list[Record]]:
+    """What is still open after ``piece``, and the records that end with it."""
+    whole = held + BETWEEN + piece if held else b"WARC/" + piece.removeprefix(b"WARC/")
+    own = next(records(whole), None)
+    size = own.get("Content-Length", "0") if own else "0"
+    if own is None or (size.isdigit() and len(own.block) < int(size)):
+        return (whole, []) if own else (b"", [])
+    return b"", [own]
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
+def _row(r: Record) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.headers], pa.map_(pa.string(), pa.string())), pa.array([r.block], pa.binary())], ["headers", "block"])
 
 
 def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxicity, language, fingerprints, leaks, tokens, shards: edge cases, and brute force where there is one."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparrowgrid.llm import bpe, decontam, kdshard, langid, simhash, textops, toxicity
 
@@ -118,6 +120,35 @@ def test_languages_are_told_apart(language_model):
     assert np.mean([n == k for n, (_, k) in zip(names, texts)]) > 0.97 and ((score >= 0) & (score <= 1)).all()
 
 
+def test_decoding_matches_a_plain_loop(language_model):
+    model, vocab = language_model
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(v.split()) for _ in range(rng.randint(1, 30))) for v in vocab.values() for _ in range(10)] + ["zz qq", "x"]
+    names, score, unsure = langid.predict(pa.array(texts), model)
+    s = model.settings
+    for text, name, p, u in zip(texts, names, score, unsure):
+        raw = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
+        margin = model.bias.copy()
+        for grams, _ in langid._buckets(raw, s):
+            for g in grams[: len(raw) - 1].tolist():
+                margin += model.weights[g] / (len(s.sizes) * (len(raw) - 1))
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margin, word)) / model.trust.sum() for word in model.code]
+        rating = [math.exp(-4 * (x - min(loss))) for x in loss]
+        rating = sorted((r / sum(rating) for r in rating), reverse=True)
+        assert name == model.languages[loss.index(min(loss))] and p == pytest.approx(rating[0], abs=1e-3) and (u == (rating[0] - rating[1] < s.margin) or abs(rating[0] - rating[1] - s.margin) < 1e-3)
+
+
+def test_the_decoder_rejects_what_is_no_language(language_model):
+    model, vocab = language_model
+    rng = random.Random(15)
+    good = [" ".join(rng.choice(v.split()) for _ in range(40)) for v in vocab.values() for _ in range(10)]
+    assert langid.identified(pa.array(good), model).all()
+    assert not langid.identified(pa.array(["12 34", ""]), model).any()
+    word = model.code[0] * np.array([-1.0, *[1.0] * (model.code.shape[1] - 1)])
+    far = langid.Model(model.languages, np.stack([model.code[0], word]), np.zeros_like(model.weights), np.where(model.code[0] == word, -9.0, 9.0) * model.code[0], model.trust, model.settings)
+    assert not langid.identified(pa.array(["good text"]), far).any()
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 9, 20])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
@@ -263,6 +294,26 @@ def test_common_subsequence():
     assert decontam.common([1, 1, 1], [1, 2, 1]) == 2 and decontam.common([1], []) == 0
 
 
+def test_items_without_id_and_without_blanks(spark):
+    items = [(None, "an item that has no id of its own at all, but words. And an answer too."), (5, "これは試験の問題の文章です。答えはここにあります。")]
+    docs = [(1, "before " * 80 + items[0][1] + " after"), (2, "長い文の中に" + items[1][1] + "とあった"), (3, "別の文章である")]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, None), (2, 5)}
+
+
+def test_words_end_at_punctuation_of_any_kind():
+    for text, words in (("a\u2014b c\u00a0d", ["a", "b", "c", "d"]), ("ab 日本x é", ["ab", "日", "本", "x", "é"]), ("日", ["日"]), ("", [])):
+        raw, _ = textops.padded(*textops.buffers(pa.array([text])), 0, 1)
+        assert [bytes(raw[a:b]).decode() for a, b in zip(*textops.token_spans(raw))] == words
+
+
+def test_one_scan_serves_several_shards(spark):
+    _, table = benchmark(spark)
+    assert len(list(decontam.shards(table, decontam.Settings(shard_bytes=600)))) > 3
+    assert len(list(decontam.scans(table, decontam.Settings(shard_bytes=600)))) == 1
+    assert len(list(decontam.scans(table, decontam.Settings(shard_bytes=600, scan_bytes=1200)))) > 1
+
+
 def test_leak_edges(spark, odd, none):
     _, table = benchmark(spark)
     assert decontam.find_leaks(odd, table).count() == 0
@@ -342,10 +393,46 @@ def test_shards_are_even_and_keep_equal_texts(spark):
     assert max(size.values()) / (sum(size.values()) / 8) < 1.05 and min(size.values()) / (sum(size.values()) / 8) > 0.95
 
 
+def sorted_tree(rows, shards, first=0):
+    """The tree by sorting: (size, chars, crc, id) rows; the widest dimension is cut where the left has its share of the bytes."""
+    if shards == 1:
+        return {r[3]: first for r in rows}
+    spread = {d: max(1, max(r[d] for r in sorted_tree.all) - min(r[d] for r in sorted_tree.all)) for d in range(3)}
+    widest = max(range(3), key=lambda d: (max(r[d] for r in rows) - min(r[d] for r in rows)) / spread[d])
+    order = sorted(rows, key=lambda r: (r[widest], *(r[d] for d in range(3) if d != widest), r[3]))
+    half, total = shards // 2, sum(r[0] for r in rows)
+    want, ends = total * half / shards, []
+    for r in order:
+        ends.append((ends[-1] if ends else 0) + r[0])
+    k = next(i for i, e in enumerate(ends) if e >= want)
+    n = k + 1 if abs(ends[k] - want) <= abs(ends[k] - order[k][0] - want) else k
+    return sorted_tree(order[:n], half, first) | sorted_tree(order[n:], shards - half, first + half)
+
+
+def test_forty_shards_match_a_tree_made_by_sorting(spark):
+    rng = random.Random(13)
+    docs = [(i, english(rng, rng.randint(1, 300)) + "é" * rng.randint(0, 40)) for i in range(1200)]
+    sorted_tree.all = [(len(t.encode()) + 16, len(t), zlib.crc32(t.encode()), i) for i, t in docs]
+    meta = kdshard.metadata(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("ident", kdshard._ident()).withColumn("row", F.monotonically_increasing_id())
+    root, _ = kdshard.build(meta, 40, tolerance=0)
+    got = {r.doc_id: r.shard for r in meta.withColumn("shard", kdshard._place(root, lambda n: n.first)).collect()}
+    assert got == sorted_tree(sorted_tree.all, 40)
+
+
+def test_repeated_rows_and_null_ids_are_parted(spark):
+    docs = [(7, "a text that repeats")] * 1500 + [(None, f"null id {i % 3}") for i in range(200)] + [(i, f"other {i}") for i in range(300)]
+    got = kdshard.shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r.size
+    check_shards(docs, got)
+    assert len(size) == 40 and max(size.values()) - min(size.values()) < 160
+
+
 def test_the_tree_splits_at_weighted_medians(spark):
     """Against sorting: a power of two of shards over rows of one size is cut along medians."""
     docs = [(i, f"{i:05d}") for i in range(256)]
-    meta = kdshard.metadata(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("ident", kdshard._ident())
+    meta = kdshard.metadata(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("ident", kdshard._ident()).withColumn("row", F.monotonically_increasing_id())
     root, n = kdshard.build(meta, 2, tolerance=0)
     crc = sorted(zlib.crc32(t.encode()) for _, t in docs)
     (name, cut), *_ = root.cut

@@ -1,9 +1,13 @@
 """Pages, vectors and the pipeline."""
 
+import base64
 import collections
 import gzip
+import hashlib
 import math
 import random
+import time
+import uuid
 
 import duckdb
 import pandas as pd
@@ -61,14 +65,29 @@ def test_propagation_matches_a_plain_loop(spark):
     hosts = [f"h{i}" for i in range(12)]
     seeds = {h: rng.random() for h in hosts}
     edges = sorted({(a, b) for a in hosts for b in rng.sample(hosts, 3) if a != b})
-    got = {r.host: r.value for r in urlgraph.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string"), 6).collect()}
     out = collections.Counter(a for a, _ in edges)
+    shares = spark.createDataFrame([(a, b, 1 / out[a]) for a, b in edges], "src string, dst string, share double")
+    got = {r.node: r.value for r in urlgraph.propagate(spark.createDataFrame(list(seeds.items()), "node string, seed double"), shares, tolerance=1e-9).collect()}
     value = dict(seeds)
-    for _ in range(6):
+    for _ in range(300):
         value = {h: seeds[h] + 0.85 * sum(value[a] / out[a] for a, b in edges if b == h) for h in hosts}
     assert got == pytest.approx(value)
 
 
+def test_a_link_alone_decides(spark):
+    """The pages of ``near`` and ``far`` differ in one link only: near's leads to a blocked host, half of far's to an unknown one."""
+    rows = [(1, "http://bad.com/en/1", "<p>x"), (2, "http://near.example/1", "<a href='//bad.com:80/'>"), (3, "http://far.example/1", "<a href='//elsewhere.example/'>")]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "allow")}
+    # Trust that mostly leaves for hosts without pages does not save a host: true out-degrees.
+    rows += [(4, "http://good.net/de/1", "<a href='//near.example/'>" + "".join(f"<a href='//u{i}.example/'>" for i in range(19))), (5, "http://good.net/de/2", "")]
+    got = {r.page_id: r.verdict for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "block"
+    rows[3] = (4, "http://good.net/de/1", "<a href='//near.example/'>")
+    got = {r.page_id: r.verdict for r in urlgraph.judge(spark.createDataFrame([*rows, (6, "http://bad.com/fr", "")], "page_id long, url string, html string")).collect()}
+    assert got[2] == "allow"
+
+
 # main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -90,13 +109,60 @@ def test_hosts_vote_and_odd_pages_follow(spark, none):
     odd = '<body><div id="x"><div class="post-9 entry"><p>short</p></div><div class="unknown"><p>' + "noise words " * 40 + "</p></div></div>"
     rows = [(k, f"http://h.example.com/{k}", PAGE.format(k=k)) for k in range(5)] + [(9, "http://h.example.com/9", odd), (10, "http://other.com/", odd), (11, None, None), (12, "http://h.example.com/12", ""), (None, "http://h.example.com/1", PAGE.format(k=1))]
     frame = spark.createDataFrame([(*r, "h", 1, "t", 1, 1) for r in rows], SCHEMA)
-    for most in (100, 0):
+    for most in (1 << 20, 0):
         got = {r.page_id: r for r in htmlmain.extract(frame, most).collect()}
         assert all(got[k].text == TEXT.format(k=k) and got[k].n_chars == len(TEXT.format(k=k)) for k in range(5))
         assert got[9].text == "short" and "noise" in got[10].text and got[11].text == got[12].text == "" and got[None].text == TEXT.format(k=1)
     assert htmlmain.extract(none).count() == 0
 
 
+FRAMED = "<h1>The head</h1><p>" + "some long text of the page " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><nav><a href=/>Menu</a></nav><article>{}</article></body>',
+    '<div class="has-sidebar"><article>{}</article></div>',
+    '<body><div class="post social-science">{}</div><div class="social">Share this</div></body>',
+    '<form action="x"><div class="topbar">Bar</div><article>{}</article></form>',
+    '<form><div>{}</div></form>',
+    '<div id="page-header"><p>Bar</p></div><div><article><header>{}</header></article></div>',
+    '<article>{}</article><div class="sidebar-left">Side</div><div class="siteFooter">Foot</div><section id="comments"><p>Me too</p></section>',
+    '<article>{}<a href="x>y">',
+    "<div title='a > b'><article>{}</article></div>",
+])
+def test_ordinary_frames_keep_the_article(page):
+    text = " ".join(["some long text of the page"] * 20)
+    assert htmlmain.Page(page.format(FRAMED)).main_text(None) == "The head\n" + text
+
+
+def test_a_page_of_boilerplate_only_still_has_its_text():
+    assert htmlmain.Page('<div class="notice"><p>All there is to say</p></div>').main_text(None) == "All there is to say"
+
+
+@pytest.mark.parametrize("piece", ['<div class="', "<div>", "<b>", "<blockquote>", "<!", "<!--", "<p", "<a href='", "<script>", "</div>", "<svg><", "<p>x</i></section>", "<li><p>", '"<a b="'])
+def test_reading_is_linear(piece):
+    """Markup that never ends, and deep nests: a megabyte each."""
+    source = "<b>" * 1000 + "<div>" * 1000 + piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    htmlmain.Page(source).main_text(None)
+    assert time.process_time() - began < 8
+
+
+def test_votes_match_a_counter(spark):
+    rng = random.Random(5)
+    shapes = ['<div class="a-{}"><p>{}</p></div><p>x</p>', '<main><section class="b"><p>{1}</p></section></main>', "<article><p>{1}</p></article>"]
+    rows = []
+    for k in range(120):
+        rows.append((k, f"http://h{rng.randrange(5)}.com/{k}", rng.choice(shapes).format(k, "word " * rng.randint(5, 30))))
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, html in rows:
+        page = htmlmain.Page(html)
+        votes[url.split("/")[2]][page.path_of(page.best())] += 1
+    want = {h: max(c, key=lambda p: (c[p], len(p), p)) for h, c in votes.items()}
+    got = {r.host: r.path for r in htmlmain.vote(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 # warc
 
 
@@ -135,6 +201,47 @@ def test_bodies_are_decoded_and_other_content_has_metadata_only():
     assert warc.derive(warc.response("u", b"a < b", "1", content_type="text/plain"))[1].block == b"a < b"
 
 
+def test_heads_of_bare_line_feeds_and_long_bodies():
+    body = gzip.compress(b"<p>x</p>") + gzip.compress(b"<p>y</p>")
+    block = b"HTTP/1.1 200 OK\nContent-Type: text/html\nContent-Encoding: gzip\n\n" + body
+    meta, conversion = warc.derive(warc.Record([("WARC-Payload-Digest", warc.digest(body))], block))
+    assert conversion.block == b"x\ny" and b"digest-mismatch" not in meta.block
+    other = warc.derive(warc.Record([], block + b"z"))[0]
+    assert meta.get("WARC-Refers-To") != other.get("WARC-Refers-To") and meta.get("WARC-Record-ID") != other.get("WARC-Record-ID")
+    assert warc.http_parts(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + body[:-9])[3] == body[:-9]
+    late = warc.derive(warc.response("u", b"<!--" + b"x" * 5000 + b"--><html lang=fr><p>a", "1"))[0]
+    assert b"language: fr" in late.block
+
+
+def test_blocks_that_hold_what_parts_records(spark, tmp_path):
+    payloads = [b"a" + warc.BETWEEN + b"1.1\r\n\r\nb", b"", warc.BETWEEN * 3, b"\xff\x00\r\n\r\n", "é".encode() * 50_000]
+    made = [warc.response(f"u{k}", p, str(k)) for k, p in enumerate(payloads)]
+    plain = b"".join(r.to_bytes() for r in made)
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r.to_bytes()) for r in made))
+    for name in ("a.warc", "b.warc.gz"):
+        got = sorted(bytes(r.block) for r in warc.read_warc(spark, str(tmp_path / name)).collect())
+        assert got == sorted(r.block for r in made) == sorted(r.block for r in warc.records((tmp_path / name).read_bytes()))
+
+
+def test_derivatives_are_those_built_by_hand(spark):
+    """Against blocks written independently of ``derive``."""
+    rows = [(1, "http://a/1", "<html lang='de'><head><title>A &amp; B</title></head><body><p>One</p><p>Two <a href=x>l</a>"), (2, None, None)]
+    got = {(r.page_id, r.warc_type): r.block for r in warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page_id, url, html in rows:
+        payload = (html or "").encode()
+        sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        name = uuid.uuid5(uuid.NAMESPACE_URL, "|".join(["response", str(page_id), url or "", sha(payload)]))
+        text = "One\nTwo l" if html else ""
+        lines = ["source-warc-type: response", f"source-warc-record-id: <urn:uuid:{name}>", f"source-warc-target-uri: {url or ''}", "source-warc-date: 1970-01-01T00:00:00Z",
+                 "source-content-type: application/http; msgtype=response", f"source-warc-payload-digest: {sha(payload)}", f"source-warc-block-digest: {sha(http)}", f"source-content-length: {len(http)}",
+                 "http-status: HTTP/1.1 200 OK", "http-content-type: text/html; charset=utf-8", f"http-content-length: {len(payload)}"]
+        lines += ["title: A & B", "language: de"] if html else []
+        lines += [f"outlinks: {int(bool(html))}", f"text-characters: {len(text)}"]
+        assert got[page_id, "conversion"] == text and got[page_id, "metadata"] == "".join(x + "\r\n" for x in lines)
+
+
 # vectors
 
 

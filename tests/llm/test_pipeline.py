@@ -6,7 +6,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from sparrowgrid.llm import bpe, decontam, langid, toxicity  # noqa: E402
 
-from .test_nearcopies import brute_kept  # noqa: E402
+from test_nearcopies import brute_kept  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,11 +1,18 @@
 """Learning samples with one text longer than their bound."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import langid, toxicity
+from sparrowgrid.llm import langid, textops, toxicity
 
 WORDS = {0: "the and of with from this", 1: "le la les avec pour dans"}
 
@@ -29,3 +36,75 @@ def test_one_long_text_costs_only_its_own_place(spark, most):
     assert all(r.lang_pred == r.lang for r in got)
     t = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), toxicity.Settings(max_bytes=most))
     assert t.scalars.any()
+
+
+@pytest.mark.parametrize("long", ["first", "middle", "class"])
+def test_no_class_is_lost_to_long_texts(spark, long):
+    """The first row in hash order, one in the middle, or every text of a class is longer than the bound."""
+    most = 20_000
+    rows = sample(spark, 30).collect()
+    over = {rows[0].doc_id} if long == "first" else {rows[20].doc_id} if long == "middle" else {r.doc_id for r in rows if r.toxic == 1}
+    data = spark.createDataFrame([(r.doc_id, (r.text + " ") * (most // len(r.text) + 2) if r.doc_id in over else r.text, r.lang, r.toxic) for r in rows], "doc_id long, text string, lang string, toxic int")
+    m = langid.fit(data, langid.Settings(max_bytes=most))
+    assert m.languages == ["en", "fr"]
+    got = langid.identify(data, m).select("doc_id", "lang_pred").join(data, "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    t = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), toxicity.Settings(max_bytes=most))
+    scored = toxicity.score_documents(data, t).join(data.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in scored) > 0.9 * len(scored)
+
+
+def test_training_matches_a_plain_loop():
+    """One epoch over whole texts, against gradients summed text by text and member by member."""
+    s = toxicity.Settings(buckets=1 << 8, dim=3, epochs=1)
+    texts, y = ["bad word", "good word here", "bad bad", "fine", "so good"], np.array([1, 0, 1, 0, 0])
+    got = toxicity.train(texts, y, s)
+    order = np.random.default_rng(s.seed).permutation(len(texts))
+    rng = np.random.default_rng(s.seed)
+    table, soft, bias = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32), rng.normal(0, 0.5, (s.dim, 2)), np.zeros(2)
+    share = 0.5 / np.array([3.0, 2.0]) * np.array([1.0, s.toxic_weight])
+    rare = s.rare * share.min() / (s.window * 12)
+    d_table, d_soft, d_bias = np.zeros(table.shape), np.zeros(2 * s.dim).reshape(s.dim, 2), np.zeros(2)
+    direction = soft[:, 1] - soft[:, 0]
+    for k in order:
+        padded, _ = textops.padded(*textops.buffers(pa.array([texts[k]])), 0, 1)
+        begins, ends = textops.word_spans(padded)
+        bag = [[] for _ in begins]
+        for word, bucket in toxicity._members(padded, begins, ends, s.buckets):
+            for w, b in zip(word, bucket):
+                bag[w].append(b)
+        mean = np.mean([np.mean([table[b] for b in own], axis=0) for own in bag], axis=0)
+        g = (1 / (1 + np.exp(-mean @ direction)) - y[k]) * share[y[k]]
+        for own in bag:
+            for b in own:
+                d_table[b] += g / len(bag) / len(own) * direction
+        d_soft += np.outer(mean, [-g, g])
+        d_bias += [-g, g]
+    hit = d_table.any(axis=1)
+    table[hit] -= (s.rate * d_table / np.sqrt(rare * rare + d_table**2)).astype(np.float32)[hit]
+    soft -= s.rate * d_soft / np.sqrt(1e-10 + d_soft**2)
+    bias -= s.rate * d_bias / np.sqrt(1e-10 + d_bias**2)
+    assert got.scalars == pytest.approx(table @ (soft[:, 1] - soft[:, 0]), abs=1e-3) and got.bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Executors of another folder, with the libraries but without the package."""
+    code = """
+import sys, os
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", "").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+from sparrowgrid.llm import bpe, decontam, langid, simhash, toxicity
+rows = [(i, ("the and of " if i % 2 else "le la les ") * 9 + ("stupid" if i % 5 == 2 else "good"), "en" if i % 2 else "fr", int(i % 5 == 2)) for i in range(60)]
+docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+assert langid.identify(docs, langid.fit(docs)).where("lang_pred <> 'und'").count() == 60
+assert toxicity.score_documents(docs, toxicity.fit(docs, docs)).count() == 60
+assert decontam.find_leaks(docs, spark.createDataFrame([(1, "the and of the and of the and of the and of")], "item_id long, text string")).count() > 0
+assert bpe.encode_documents(docs, bpe.vocabulary_path()).count() == 60 and simhash.near_duplicates(docs).count() == 60
+print("DONE")
+"""
+    root = str(Path(toxicity.__file__).parents[2])
+    (tmp_path / "code.py").write_text(code)
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(Path(pyspark.__file__).parent)}
+    done = subprocess.run([sys.executable, str(tmp_path / "code.py"), root, str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert done.stdout.endswith("DONE\n"), done.stderr[-3000:]
