@@ -5,8 +5,8 @@ kept, and returns a DataFrame. All but the last return rows of ``documents`` wit
 their columns unchanged: a stage drops rows, it never edits them.
 
 * toxicity: drops rows scored 0.5 or more by the model trained on ``labels``.
-* language_id: drops rows without a letter, for which no language can be told.
-* near_duplicates: keeps the row of least doc_id of each class of near copies (similarity 0.8 over five-word shingles).
+* language_id: drops rows without a letter, and those whose bits contradict every language's codeword.
+* near_duplicates: keeps the row of least doc_id of each class of near copies: SimHash links of five-word shingles, widened to similarity 0.8 and checked exactly.
 * decontamination: drops rows that hold an item of ``benchmark``.
 * bpe: token count and digests of the encoded and decoded text of every row left.
 """
