@@ -6,7 +6,8 @@ exploded pixels (frame, y, x, v) where sums run over neighbours or frames.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,15 +123,59 @@ def quadratic_fit(points: DataFrame, by: list[str]) -> DataFrame:
     return sums.where(det != 0).select(*by, F.round("m", 6).alias("m"), F.round(a, 5).alias("a"), F.round(b, 5).alias("b"), F.round(c, 5).alias("c"))
 
 
-def neighbours(pixels: DataFrame, radius: int, side: int, agg: Column, name: str) -> DataFrame:
-    """An aggregate over the square around each pixel, borders replicated; ``agg`` reads column v."""
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    clamp = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(side - 1))
-    frame = pixels.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y") * side + F.col("x"), "v"))).alias("m"))  # side * side values
-    at = frame.select("frame", "m", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("i"))
-    spot = at.select("frame", F.floor(F.col("i") / side).cast("int").alias("y"), (F.col("i") % side).cast("int").alias("x"), "m")
-    around = F.flatten(F.transform(offsets, lambda dy: F.transform(offsets, lambda dx: F.element_at("m", clamp(F.col("y") + dy) * side + clamp(F.col("x") + dx)))))
-    return spot.select("frame", "y", "x", F.transform(around, lambda v: v).alias("a")).select("frame", "y", "x", agg.alias(name))
+def over_frames(frames: DataFrame, shape: tuple[int, int], schema: str, f: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], most: int = 1 << 20) -> DataFrame:
+    """``f`` of frame numbers and of (n, height, width) pixels gives the columns of ``schema``; no shuffle, about ``most`` pixels at once. Frames of another size have no rows."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    h, w = shape
+    step = max(1, most // (h * w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                pixels = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in f(part.column(0).to_numpy(), pixels)], names)
+
+    some = frames.where(F.size("px") == h * w).select(F.col("frame").cast("long").alias("frame"), F.transform("px", lambda v: v.cast("int")).alias("px"))
+    return some.mapInArrow(run, schema)
+
+
+def _by_pixel(frame: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """frame, y, x and values of every pixel."""
+    n, h, w = values[0].shape
+    y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
+    return [np.repeat(frame, h * w), np.tile(y, n), np.tile(x, n), *(v.reshape(-1) for v in values)]
+
+
+def _bordered(pixels: np.ndarray, radius: int) -> np.ndarray:
+    return np.pad(pixels, ((0, 0), (radius, radius), (radius, radius)), mode="edge")
+
+
+def box_sums(frames: DataFrame, shape: tuple[int, int], radius: int) -> DataFrame:
+    """frame, y, x, total: the sum over the square around each pixel, borders replicated; by running sums, whatever the radius."""
+
+    def f(frame: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+        c = np.pad(_bordered(pixels.astype(np.int64), radius).cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        k = 2 * radius + 1
+        return _by_pixel(frame, c[:, k:, k:] - c[:, :-k, k:] - c[:, k:, :-k] + c[:, :-k, :-k])
+
+    return over_frames(frames, shape, "frame long, y int, x int, total long", f)
+
+
+def extremes(frames: DataFrame, shape: tuple[int, int], radius: int) -> DataFrame:
+    """frame, y, x, least, most over the square around each pixel, borders replicated; rows first, then columns."""
+
+    def f(frame: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for how in (np.minimum, np.maximum):
+            v = _bordered(pixels.astype(np.int32), radius)
+            for axis in (1, 2):
+                n = v.shape[axis] - 2 * radius
+                v = reduce(how, [np.take(v, range(d, d + n), axis) for d in range(2 * radius + 1)])
+            out.append(v)
+        return _by_pixel(frame, *out)
+
+    return over_frames(frames, shape, "frame long, y int, x int, least int, most int", f)
 
 
 def binned(pixels: DataFrame, factor: int) -> DataFrame:
@@ -147,13 +192,23 @@ def rotated_crop(pixels: DataFrame, side: int, crop: int) -> DataFrame:
     return inside.select("frame", (F.col("y") - margin).cast("int").alias("y"), (F.col("x") - margin).cast("int").alias("x"), "v")
 
 
-def sharpness(points: DataFrame, angles: list[float]) -> DataFrame:
-    """``points`` (frame, x, y) -> (frame, angle, sharpness): the sum of squared counts of the projection onto the normal."""
-    a = F.explode(F.array(*map(F.lit, map(float, angles))))
-    turned = points.select("frame", "x", "y", a.alias("angle")).withColumn("p", -F.col("x") * F.sin(F.radians("angle")) + F.col("y") * F.cos(F.radians("angle")))
-    least = F.min("p").over(Window.partitionBy("frame", "angle"))
-    bins = turned.withColumn("bin", F.floor(F.round(F.col("p") - least, 6))).groupBy("frame", "angle", "bin").agg(F.count("*").alias("n"))
-    return bins.groupBy("frame", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("sharpness"))
+def sharpness(frames: DataFrame, shape: tuple[int, int], least: int, angles: list[float]) -> DataFrame:
+    """frame, angle, sharpness: the sum of squared counts of the pixels of at least ``least``, projected onto the normal; frames without one have no rows."""
+
+    def f(frame: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+        at, y, x = np.nonzero(pixels >= least)
+        rows: list[np.ndarray] = []
+        has, first = np.unique(at, return_index=True)
+        for angle in angles if len(has) else ():
+            t = np.radians(angle)
+            p = -x * np.sin(t) + y * np.cos(t)
+            bins = np.floor(np.round(p - np.minimum.reduceat(p, first)[np.searchsorted(has, at)], 6)).astype(np.int64)
+            key, n = np.unique(at * (bins.max() + 1) + bins, return_counts=True)
+            rows.append(np.bincount(key // (bins.max() + 1), weights=n * n, minlength=len(frame))[has].astype(np.int64))
+        angle = np.repeat(np.array(angles, dtype=float), len(has)) if rows else np.zeros(0)
+        return [np.tile(frame[has], len(rows)), angle, np.concatenate(rows) if rows else np.zeros(0, np.int64)]
+
+    return over_frames(frames, shape, "frame long, angle double, sharpness long", f)
 
 
 def best_angle(rated: DataFrame, larger: bool) -> DataFrame:
@@ -224,16 +279,19 @@ def stretch_lut(low: Column, high: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: stretch(v, low, high))
 
 
-def bilinear(frames: DataFrame, side: int, size: int) -> DataFrame:
-    """``frames`` (frame, px) of side x side pixels, sampled at size x size pixel centres in 1 / 65536, halves up."""
-    at = []
-    for d in range(size):
-        q = max(0, min((side - 1) << 16, (2 * d + 1) * side * 32768 // size - 32768))
-        at.append((d, q >> 16, min((q >> 16) + 1, side - 1), q & 0xFFFF))
-    spots = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(a, ("d", "a", "b", "w"), strict=True)]) for a in at])
-    px = lambda y, x: F.element_at("px", (y * side + x + 1).cast("int")).cast("long")
-    y, x = F.col("cy"), F.col("cx")
-    row = lambda k: px(y[k], x["a"]) * (F.lit(65536) - x["w"]) + px(y[k], x["b"]) * x["w"]
-    value = F.shiftright(row("a") * (F.lit(65536) - y["w"]) + row("b") * y["w"] + F.lit(1 << 31), 32)
-    each = frames.select("frame", "px", F.explode(spots).alias("cy")).select("frame", "px", "cy", F.explode(spots).alias("cx"))
-    return each.select("frame", y["d"].cast("int").alias("y"), x["d"].cast("int").alias("x"), value.cast("int").alias("v"))
+def bilinear(frames: DataFrame, shape: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """frame, y, x, v: frames sampled at ``size`` pixel centres in 1 / 65536, halves up."""
+
+    def places(n: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = np.clip((2 * np.arange(n, dtype=np.int64) + 1) * of * 32768 // n - 32768, 0, (of - 1) << 16)
+        return q >> 16, np.minimum((q >> 16) + 1, of - 1), q & 0xFFFF
+
+    (ya, yb, yw), (xa, xb, xw) = places(size[0], shape[0]), places(size[1], shape[1])
+
+    def f(frame: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+        px = pixels.astype(np.int64)
+        across = px[:, :, xa] * (65536 - xw) + px[:, :, xb] * xw
+        value = across[:, ya] * (65536 - yw)[:, None] + across[:, yb] * yw[:, None]
+        return _by_pixel(frame, (value + (1 << 31) >> 32).astype(np.int32))
+
+    return over_frames(frames, shape, "frame long, y int, x int, v int", f)

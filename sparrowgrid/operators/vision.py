@@ -271,51 +271,80 @@ def _read(boxes: list[dict], height: int) -> list[dict]:
     return sorted(boxes, key=lambda b: (b["line"], b["ink_x1"]))
 
 
-SCHEMA = "frame long, box int, line int, " + ", ".join(f"{n} int" for n in BOX)
+SCHEMA = "frame long, page int, box int, line int, " + ", ".join(f"{n} int" for n in BOX)
 
 
 def detect(frames: DataFrame, config: Config | None = None, most_w: int = 480, most_h: int = 640) -> DataFrame:
-    """``frames`` (frame, w, h, pixels binary) -> boxes; frames whose size is out of range or does not fit their pixels have none."""
+    """``frames`` (frame, page, w, h, pixels binary) -> boxes; frames whose size is out of range or does not fit their pixels have none. Without a page column it is page 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["frame", "box", "line", *BOX]
+        names = ["frame", "page", "box", "line", *BOX]
         for b in batches:
             rows = []
-            for frame, w, h, px in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for frame, page, w, h, px in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if px is None or not w or not h or not (0 < w <= most_w and 0 < h <= most_h) or len(px) != w * h:
                     continue
                 found, _ = detect_words(np.frombuffer(px, dtype=np.uint8).reshape(h, w), config)
-                rows += [(frame, k, x["line"], *(x[n] for n in BOX)) for k, x in enumerate(found)]
+                rows += [(frame, page, k, x["line"], *(x[n] for n in BOX)) for k, x in enumerate(found)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if n == "frame" else pa.int32()) for n, v in zip(names, columns, strict=True)], names)
 
-    return frames.select(F.col("frame").cast("long").alias("frame"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "pixels").mapInArrow(run, SCHEMA)
+    page = F.col("page") if "page" in frames.columns else F.lit(0)
+    return frames.select(F.col("frame").cast("long").alias("frame"), page.cast("int").alias("page"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "pixels").mapInArrow(run, SCHEMA)
+
+
+LINES, LETTERS = 24, 40
 
 
 def drawn(texts: DataFrame, width: int = 480) -> DataFrame:
-    """(frame, w, h, pixels, words): texts (frame, text) as pages of dark blocks, one for each letter; for tests."""
+    """(frame, page, w, h, pixels, words): whole texts (frame, text) as pages of dark blocks, one for each letter; for tests.
+
+    A text takes as many pages as it needs (one if it is empty); a word of more than
+    LETTERS letters is drawn as several, which ``words`` counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["frame", "page", "w", "h", "pixels", "words"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         for b in batches:
-            rows = [(k, width, *draw(t or "", width)) for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["frame", "w", "h", "pixels", "words"])
-
-    return texts.mapInArrow(run, "frame long, w int, h int, pixels binary, words int")
+            for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows: list[tuple] = []
+                for n, page in enumerate(pages_of(t or "", width)):
+                    rows.append((k, n, width, *page))
+                    if len(rows) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return texts.mapInArrow(run, "frame long, page int, w int, h int, pixels binary, words int")
+
+
+def pages_of(text: str, width: int) -> Iterator[tuple[int, bytes, int]]:
+    """Height, pixels and number of words of each page: 9 x 6 blocks two pixels apart, words ten apart, lines 26 apart."""
+    lines: list[list[tuple[int, int]]] = [[]]
+    at, most = 12, min(LETTERS, (width - 24) // 8)
+    for word in (w[k : k + most] for w in text.split() for k in range(0, len(w), most)):
+        if at + 8 * len(word) > width - 12:
+            at = 12
+            lines.append([])
+        if len(lines) > LINES:
+            yield _painted(lines[:LINES], width)
+            lines = [[]]
+        lines[-1].append((at, len(word)))
+        at += 8 * len(word) + 10
+    yield _painted(lines, width)
+
+
+def _painted(lines: list[list[tuple[int, int]]], width: int) -> tuple[int, bytes, int]:
+    height = 26 * (len(lines) - 1) + 40
+    page = np.full((height, width), 215, dtype=np.uint8)
+    for n, words in enumerate(lines):
+        for at, letters in words:
+            for k in range(letters):
+                page[14 + 26 * n : 23 + 26 * n, at + 8 * k : at + 8 * k + 6] = 40
+    return height, page.tobytes(), sum(map(len, lines))
 
 
 def draw(text: str, width: int) -> tuple[int, bytes, int]:
-    """Height, pixels and number of words of a page: 9 x 6 blocks two pixels apart, words ten apart, lines 26 apart."""
-    at, line, spots, words = 12, 0, [], text.split()
-    for word in words:
-        long = 8 * min(len(word), 40)
-        if at + long > width - 12:
-            at, line = 12, line + 1
-        spots += [(14 + 26 * line, at + 8 * k) for k in range(min(len(word), 40))]
-        at += long + 10
-    height = min(640, 26 * line + 40)
-    page = np.full((height, width), 215, dtype=np.uint8)
-    for y, x in spots:
-        page[y : y + 9, x : x + 6] = 40
-    return height, page.tobytes(), len(words)
+    """The first page of a text."""
+    return next(pages_of(text, width))

@@ -99,13 +99,12 @@ def _around(agg: str, name: str, radius: int) -> str:
 
 @query("box_sum", _around("CAST(sum(n.v) AS BIGINT)", "total", 1))
 def box_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.neighbours(t.pixels(spark, sf), 1, t.SIDE, F.aggregate("a", F.lit(0).cast("long"), lambda s, v: s + v), "total")
+    return arrays.box_sums(t.frames(spark, sf), (t.SIDE, t.SIDE), 1)
 
 
 @query("minmax_filter", _around("min(n.v) AS least, max(n.v)", "most", 1))
 def minmax_filter(spark: SparkSession, sf: str) -> DataFrame:
-    both = arrays.neighbours(t.pixels(spark, sf), 1, t.SIDE, F.struct(F.array_min("a").alias("least"), F.array_max("a").alias("most")), "m")
-    return both.select("frame", "y", "x", "m.least", "m.most")
+    return arrays.extremes(t.frames(spark, sf), (t.SIDE, t.SIDE), 1)
 
 
 @query("downscale_area", f"{_PX} SELECT frame, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(sum(v) // count(*) AS INTEGER) AS area FROM px GROUP BY frame, y // 2, x // 2")
@@ -136,7 +135,7 @@ _SHARP = f"""{_PX}, g AS (SELECT unnest({_ANGLES}) :: DOUBLE AS angle), p AS (SE
 
 
 def _sharp(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.sharpness(t.pixels(spark, sf).where("v >= 140"), _ANGLES)
+    return arrays.sharpness(t.frames(spark, sf), (t.SIDE, t.SIDE), 140, _ANGLES)
 
 
 @query("projection_sharpness", f"{_SHARP} SELECT * FROM s")

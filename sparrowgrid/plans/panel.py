@@ -169,7 +169,7 @@ def stalled_uploads(spark: SparkSession, sf: str) -> DataFrame:
  SELECT p.frame, CAST(cy.d AS INTEGER) AS y, CAST(cx.d AS INTEGER) AS x, CAST(((p.v * (65536 - cx.w) + q.v * cx.w) * (65536 - cy.w) + (r.v * (65536 - cx.w) + s.v * cx.w) * cy.w + 2147483648) >> 32 AS INTEGER) AS v
  FROM c cy, c cx JOIN px p ON p.y = cy.a AND p.x = cx.a JOIN px q ON q.frame = p.frame AND q.y = cy.a AND q.x = cx.b JOIN px r ON r.frame = p.frame AND r.y = cy.b AND r.x = cx.a JOIN px s ON s.frame = p.frame AND s.y = cy.b AND s.x = cx.b""")
 def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.bilinear(t.frames(spark, sf), t.SIDE, 12)
+    return arrays.bilinear(t.frames(spark, sf), (t.SIDE, t.SIDE), (12, 12))
 
 
 def ink_model(batch: np.ndarray) -> np.ndarray:
@@ -187,4 +187,4 @@ def ocr_recognize(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes of drawn pages through crop, stand-in model and decoder; tests count the letters."""
     pages = vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
     boxes = vision.detect(pages).where("(flags & 143) = 0")
-    return ocr.recognize(boxes.join(pages.select("frame", "w", "h", "pixels"), "frame").withColumn("page_height", F.lit(9)), ink_model, ["|"] * 84)
+    return ocr.recognize(boxes.join(pages.select("frame", "page", "w", "h", "pixels"), ["frame", "page"]).withColumn("page_height", F.lit(9)), ink_model, ["|"] * 84)

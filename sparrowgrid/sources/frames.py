@@ -29,8 +29,7 @@ def frame_error(w: Column, h: Column, size: Column, crc: Column, real: Column) -
 
 def pixel_array(pixels: Column) -> Column:
     """Bytes as an array of 0..255."""
-    text = F.hex(pixels)
-    return F.transform(F.sequence(F.lit(0), F.octet_length(pixels) - 1), lambda k: F.conv(F.substring(text, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.regexp_extract_all(F.hex(pixels), F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def photos(spark: SparkSession, path: str) -> DataFrame:
@@ -84,9 +83,7 @@ def install(staged: DataFrame, size: int, crc: int) -> DataFrame:
 
 def hex_dump(pixels: Column, columns: int) -> Column:
     """Lines of hexadecimal, ``columns`` bytes each."""
-    text = F.hex(pixels)
-    lines = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(pixels) / columns).cast("int") - 1, F.lit(0))), lambda k: F.substring(text, k * columns * 2 + 1, F.lit(columns * 2)))
-    return F.array_join(lines, "\n")
+    return F.array_join(F.regexp_extract_all(F.hex(pixels), F.lit(f".{{1,{2 * columns}}}"), 0), "\n")
 
 
 def bmp(pixels565: Column, width: int, height: int) -> Column:
