@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from . import textops as tx
-from .components import connected, durable
+from .components import connected, durable, small_batches
 
 SHINGLE, SEED, BANDS, ROWS, BLOCK = 5, 42, 24, 5, 256
 #: Least similarity, as shared over all shingles.
@@ -205,5 +205,7 @@ def classes(marked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, unchanged, of each class, chosen as by ``simhash.keep_first``."""
-    marked = durable(marks(docs))
-    return simhash.one_of_each(docs, marked.select("doc_id", "fp"), durable(classes(marked, docs)), with_copy_keys)
+    with small_batches(docs.sparkSession):
+        marked = durable(marks(docs))
+        of = durable(classes(marked, docs))
+    return simhash.one_of_each(docs, marked.select("doc_id", "fp"), of, with_copy_keys)
