@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
-from ..operators import arrays, decode, geometry, lookup, ocr, panel, ring, vision
+from ..operators import arrays, decode, geometry, lookup, panel, ring
 from . import geometry as g
 from . import ordered as o
 from . import tables as t
@@ -171,20 +170,3 @@ def stalled_uploads(spark: SparkSession, sf: str) -> DataFrame:
 def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.bilinear(t.frames(spark, sf), (t.SIDE, t.SIDE), (12, 12))
 
-
-def ink_model(batch: np.ndarray) -> np.ndarray:
-    """A stand-in for a recogniser: class 1 where a column group holds ink, else the blank."""
-    groups = batch.reshape(len(batch), 48, 80, 4)
-    ink = (groups < 0).any(axis=(1, 3))
-    out = np.full((len(batch), 80, 85), -100, dtype=np.int8)
-    out[..., 0] = np.where(ink, -50, 50)
-    out[..., 1] = np.where(ink, 50, -50)
-    return out
-
-
-@query("ocr_recognize", None)
-def ocr_recognize(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes of drawn pages through crop, stand-in model and decoder; tests count the letters."""
-    pages = vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
-    boxes = vision.detect(pages).where("(flags & 143) = 0")
-    return ocr.recognize(boxes.join(pages.select("frame", "page", "w", "h", "pixels"), ["frame", "page"]).withColumn("page_height", F.lit(9)), ink_model, ["|"] * 84)

@@ -1,27 +1,115 @@
-"""Detection on drawn pages; SQL cannot express it, so tests count the words."""
+"""Detection and recognition on drawn pages; SQL knows the words that were drawn."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import lines, vision
+from ..operators import lines, lookup, ocr, ordered, vision
 from . import tables as t
 
 QUERIES, ORACLES = {}, {}
 
 
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item, whole, on as many pages as it takes."""
+    return vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
+
+
+@query("legacy_detector", None)
 def legacy_detector(spark: SparkSession, sf: str) -> DataFrame:
-    """Word boxes of every benchmark item, drawn as a page."""
-    pages = vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
-    return vision.detect(pages)
+    """Word boxes of every drawn page."""
+    return vision.detect(pages(spark, sf))
 
 
+@query("line_detector", None)
 def line_detector(spark: SparkSession, sf: str) -> DataFrame:
     """The same pages under the line-first detector."""
-    pages = vision.drawn(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("frame"), "text"))
-    return lines.detect(pages)
+    return lines.detect(pages(spark, sf))
+
+
+#: The words of every item in order, those of over 40 letters in pieces.
+_WORDS = f"""wd AS (SELECT item_id AS frame, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS ws FROM benchmark)),
+ pc AS (SELECT frame, i, k, length(substr(w, CAST(k * {vision.LETTERS} + 1 AS BIGINT), {vision.LETTERS})) AS chars FROM (SELECT frame, i, w, unnest(range(0, (length(w) + {vision.LETTERS - 1}) // {vision.LETTERS})) AS k FROM wd)),
+ ws AS (SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY i, k) AS INTEGER) AS n, CAST(chars AS INTEGER) AS chars FROM pc)"""
+
+
+@query("legacy_words", f"WITH {_WORDS} SELECT * FROM ws")
+def legacy_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters of each word found, in the detector's reading order."""
+    return legacy_detector(spark, sf).select("frame", F.row_number().over(Window.partitionBy("frame").orderBy("page", "box")).alias("n"), "chars")
+
+
+@query("line_words", f"WITH {_WORDS} SELECT * FROM ws")
+def line_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the line-first detector, ordered by where the words stand."""
+    return line_detector(spark, sf).select("frame", F.row_number().over(Window.partitionBy("frame").orderBy("page", "ink_y1", "ink_x1")).alias("n"), "chars")
+
+
+@query("detectors_agree", f"WITH {_WORDS} SELECT frame, count(*) AS words, CAST(sum(chars) AS BIGINT) AS letters, 0 :: BIGINT AS different FROM ws GROUP BY frame")
+def detectors_agree(spark: SparkSession, sf: str) -> DataFrame:
+    """The detectors are interchangeable: boxes of ink that only one of them finds, by item."""
+    ink = ["frame", "page", "ink_x1", "ink_y1", "ink_x2", "ink_y2", "chars"]
+    both = legacy_detector(spark, sf).select(*ink, F.lit(1).alias("a")).join(line_detector(spark, sf).select(*ink, F.lit(1).alias("b")), ink, "full_outer")
+    return both.groupBy("frame").agg(F.count("a").alias("words"), F.sum(F.when(F.col("a") == 1, F.col("chars"))).cast("long").alias("letters"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("different"))
+
+
+#: Letters that a page's scale leaves room for; longer words are read at a smaller one. Two letters fall into one column group of the stand-in.
+READABLE = 10
+
+
+def ink_model(batch: np.ndarray) -> np.ndarray:
+    """A stand-in for a recogniser: class 1 where a column group holds ink, else the blank."""
+    groups = batch.reshape(len(batch), 48, 80, 4)
+    ink = (groups < 0).any(axis=(1, 3))
+    out = np.full((len(batch), 80, 85), -100, dtype=np.int8)
+    out[..., 0] = np.where(ink, -50, 50)
+    out[..., 1] = np.where(ink, 50, -50)
+    return out
+
+
+def read_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of drawn pages through crop, stand-in model and decoder: an "a" for each letter."""
+    drawn = pages(spark, sf)
+    boxes = vision.detect(drawn).where("(flags & 143) = 0")
+    read = ocr.recognize(boxes.join(drawn.select("frame", "page", "w", "h", "pixels"), ["frame", "page"]).withColumn("page_height", F.lit(9)), ink_model, ["a"] * 84)
+    return read.withColumn("n", F.row_number().over(Window.partitionBy("frame").orderBy("page", "box")))
+
+
+@query("ocr_recognize", None)
+def ocr_recognize(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pages(spark, sf).drop("n")
+
+
+@query("ocr_letters", f"WITH {_WORDS} SELECT frame, n, repeat('a', CASE WHEN chars = 2 THEN 1 ELSE chars END) AS text, 'ok' AS status, false AS fallback FROM ws WHERE chars <= {READABLE}")
+def ocr_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """What was read at the page's own scale."""
+    return read_pages(spark, sf).where("not fallback").select("frame", "n", "text", "status", "fallback")
 
 
-QUERIES["legacy_detector"] = legacy_detector
-QUERIES["line_detector"] = line_detector
+@query("capture_to_history", f"""WITH {_WORDS}, r AS (SELECT frame AS key, n, chars FROM ws WHERE chars <= {READABLE}),
+ i AS (SELECT key, n, chars, sum(CASE WHEN before = chars THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY n) AS island FROM (SELECT *, lag(chars) OVER (PARTITION BY key ORDER BY n) AS before FROM r WHERE chars > 2)),
+ h AS (SELECT key, min(n) AS seq, any_value(chars) AS chars, island FROM i GROUP BY key, island),
+ k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY island DESC) AS back FROM h)
+ SELECT key, CAST(seq AS INTEGER) AS seq, repeat('a', chars) AS en, chars || ' letters' AS bn, 'learned' AS src, CAST(row_number() OVER (PARTITION BY key ORDER BY island) AS INTEGER) AS pos FROM k WHERE back <= 48""")
+def capture_to_history(spark: SparkSession, sf: str) -> DataFrame:
+    """From frames to boxes, texts, answers and each item's history, as one plan. The store knows words of three letters and more."""
+    read = read_pages(spark, sf).where("not fallback").select("frame", "n", "text")
+    store = spark.range(3, READABLE + 1).select(F.col("id").alias("seq"), F.expr("repeat('a', int(id))").alias("en"), F.concat(F.col("id").cast("string"), F.lit(" letters")).alias("bn"))
+    asked = read.select("text").distinct().select(F.col("text").alias("qid"), F.col("text").alias("q"))
+    none = spark.createDataFrame([], "no long, word string, meaning string")
+    answers = lookup.lookup_word(asked, store, none).where("src <> 'none'")
+    pushes = read.join(answers, read["text"] == answers["qid"]).select(F.col("frame").alias("key"), F.col("n").alias("seq"), "en", "bn", F.col("text").alias("ocr"), "src", F.lit("").alias("day"))
+    return ordered.history(pushes).select("key", "seq", "en", "bn", "src", "pos")

@@ -88,7 +88,7 @@ def test_recognition_counts_letters(spark):
     from pyspark.sql import functions as F
 
     from sparrowgrid.operators import ocr
-    from sparrowgrid.plans.panel import ink_model
+    from sparrowgrid.plans.vision import ink_model
 
     h, px, _ = vision.draw("one three fifteen seventeenletters", 480)
     frame = spark.createDataFrame([(1, 480, h, px)], "frame long, w int, h int, pixels binary")
