@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
+from .lookup import bounded
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -32,14 +33,16 @@ def route(rows: DataFrame, learned: DataFrame, dictionary: DataFrame, capacity:
     """
     word = tf.ascii_lower(F.col("en"))
     ok = tf.valid_headword(F.col("en")) & tf.has_bengali(F.col("bn"))
-    known = learned.select(F.col("en").alias("word")).distinct().withColumn("__l", F.lit(True))
-    listed = dictionary.select(tf.ascii_lower(F.col("word")).alias("word")).distinct().withColumn("__d", F.lit(True))
+    known = bounded(learned.select(F.col("en").alias("word")).distinct().withColumn("__l", F.lit(True)))
+    listed = bounded(dictionary.select(tf.ascii_lower(F.col("word")).alias("word")).distinct().withColumn("__d", F.lit(True)))
     seen = rows.withColumn("word", F.when(ok, word)).join(known, "word", "left").join(listed, "word", "left")
+    # Lines are parsed once: both readers below share this exchange, so they ask for the same columns. Rejected lines have no word and are dealt by their order.
+    dealt = seen.repartition(F.coalesce("word", F.col("ord").cast("string")))
     new = F.col("word").isNotNull() & F.col("__l").isNull() & F.col("__d").isNull()
-    first = seen.where(new).groupBy("word").agg(F.min("ord").alias("__first"))
+    first = dealt.groupBy(F.when(new, F.col("word")).alias("word")).agg(F.min(F.struct("ord", "en", "bn", "__l", "__d")).alias("f")).where("word is not null").select("word", F.col("f.ord").alias("__first"))
     room = max(0, capacity - learned.count())
     last = first.orderBy("__first").limit(room).agg(F.coalesce(F.max("__first"), F.lit(-(1 << 62))).alias("__last"))  # one row
-    out = seen.join(first, "word", "left").join(F.broadcast(last), F.lit(True))
+    out = dealt.join(first, "word", "left").join(F.broadcast(last), F.lit(True))
     outcome = (
         F.when(F.col("word").isNull(), "rejected").when(F.col("__l"), "already_learned").when(F.col("__d"), "in_dictionary")
         .when(F.col("__first") > F.col("__last"), "no_room").when(F.col("ord") == F.col("__first"), "added").otherwise("already_learned")

@@ -13,23 +13,53 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tf
 
-STORE_ROWS = 200_000
+STORE_ROWS, STORE_BYTES, SCAN_ROWS = 200_000, 32 << 20, 2_000
 
 
-def bounded(store: DataFrame, rows: int = STORE_ROWS) -> DataFrame:
-    """The store marked for broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(store) if store.limit(rows + 1).count() <= rows else store
+def bounded(store: DataFrame, rows: int = STORE_ROWS, size: int = STORE_BYTES) -> DataFrame:
+    """The store marked for broadcast if it has at most ``rows`` rows and ``size`` bytes of text, else as it is."""
+    return F.broadcast(store) if is_bounded(store, rows, size) else store
+
+
+def is_bounded(store: DataFrame, rows: int = STORE_ROWS, size: int = STORE_BYTES) -> bool:
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in store.dtypes if kind == "string"]
+    total = sum(texts, F.lit(16 * len(store.columns)))
+    n, held = store.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
+def scored_words(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """``queries`` (ql) and ``words`` (en), both distinct -> (ql, en, score) of all pairs that score above zero.
+
+    Bounded words are scanned by each query in its task. More of them are met by keys:
+    a word in the query's beginning, the query anywhere in the word, or at most two
+    edits between them; every way to score has one of these.
+    """
+    pairs = queries.join(F.broadcast(words), F.lit(True)) if is_bounded(words, SCAN_ROWS) else meetings(queries, words)
+    return pairs.withColumn("score", tf.learned_score(F.col("ql"), F.col("en"))).where("score > 0")
 
 
 def scan_learned(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """Every query with every learned word that scores above zero."""
+    """Every query with every learned row that scores above zero; the score is computed once for each pair of words."""
     q = queries.select("qid", tf.ascii_lower(F.col("q")).alias("ql"))
-    pairs = q.join(bounded(store.select("seq", "en", "bn")), F.lit(True))
-    return pairs.withColumn("score", tf.learned_score(F.col("ql"), F.col("en"))).where("score > 0").select("qid", "seq", "en", "bn", "score")
+    rated = scored_words(q.select("ql").distinct(), store.select("en").distinct())
+    return q.join(rated, "ql").join(bounded(store.select("seq", "en", "bn")), "en").select("qid", "seq", "en", "bn", "score")
+
+
+def meetings(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """``queries`` (ql) and ``words`` (en), both distinct -> pairs of which one begins with or holds the other, or that are two edits apart at most."""
+    spans = lambda c, first: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(c, F.lit(1), n) if first else n)
+    heads = queries.select("ql", F.explode(F.array_distinct(spans("ql", True))).alias("en"))
+    holds = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("en") + 1), lambda at: F.transform(F.sequence(F.lit(0), F.length("en") - at + 1), lambda n: F.substring("en", at, n)))))
+    inside = words.select("en", F.explode(holds).alias("ql"))
+    near = close_words(queries.select(F.col("ql").alias("a")), words.select(F.col("en").alias("b"))).select(F.col("a").alias("ql"), F.col("b").alias("en"))
+    return heads.join(words, "en").select("ql", "en").union(inside.join(queries, "ql").select("ql", "en")).union(near).distinct()
 
 
 def top_learned(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
-    """The k best learned words of each query; equal scores keep the store's order."""
+    """The k best learned rows of each query; equal scores keep the store's order, so no word needs more than its first k rows."""
+    own = Window.partitionBy("en").orderBy("seq")
+    store = store.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= k).drop("__n")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "seq")
     return scan_learned(queries, store).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
@@ -55,8 +85,19 @@ def fts_bm25(queries: DataFrame, dictionary: DataFrame, k1: float = 1.2, b: floa
 
 
 def fuzzy_scan(queries: DataFrame, dictionary: DataFrame, floor: float = 0.5, most: int = 50) -> DataFrame:
-    """(qid, no, fuzzy): dictionary words at least ``floor`` similar, at most ``most`` for each query."""
-    pairs = queries.select("qid", tf.ascii_lower(F.col("q")).alias("ql")).join(bounded(dictionary.select("no", "word")), F.lit(True))
+    """(qid, no, fuzzy): dictionary words at least ``floor`` similar, at most ``most`` for each query.
+
+    A scan, as the name says: each query meets every word of a bounded dictionary, in
+    its own task. Words of half their letters have no key in common, so a larger
+    dictionary is refused rather than multiplied with all queries by a shuffle.
+    """
+    words = dictionary.select("no", "word")
+    if not is_bounded(words):
+        raise ValueError(f"a fuzzy scan takes a dictionary of at most {STORE_ROWS} rows and {STORE_BYTES} bytes")
+    # Lengths alone rule most words out before any distance is computed.
+    q = queries.select("qid", tf.ascii_lower(F.col("q")).alias("ql"))
+    longer, shorter = F.greatest(F.octet_length("ql"), F.octet_length("word")), F.least(F.octet_length("ql"), F.octet_length("word"))
+    pairs = q.join(F.broadcast(words), shorter >= longer * floor - 1e-9)
     kept = pairs.withColumn("fuzzy", tf.similarity(F.col("ql"), tf.ascii_lower(F.col("word")))).where(F.col("fuzzy") >= floor)
     order = Window.partitionBy("qid").orderBy(F.desc("fuzzy"), "no")
     return kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("qid", "no", "fuzzy")
@@ -71,7 +112,7 @@ def hybrid(queries: DataFrame, dictionary: DataFrame, floor: float = 0.5, most:
     """
     both = fts_bm25(queries, dictionary).join(fuzzy_scan(queries, dictionary, floor, most), ["qid", "no"], "full_outer")
     q = queries.select("qid", tf.ascii_lower(F.col("q")).alias("ql"))
-    rows = both.join(F.broadcast(dictionary.select("no", "word", "meaning")) if dictionary.limit(STORE_ROWS + 1).count() <= STORE_ROWS else dictionary, "no").join(q, "qid")
+    rows = both.join(bounded(dictionary.select("no", "word", "meaning")), "no").join(q, "qid")
     similar = F.coalesce("fuzzy", tf.similarity(F.col("ql"), tf.ascii_lower(F.col("word"))))
     score = F.coalesce("bm25", F.lit(0.0))
     exact = F.col("ql") == tf.ascii_lower(F.col("word"))
@@ -176,5 +217,5 @@ def close_words(left: DataFrame, right: DataFrame) -> DataFrame:
     keys_b.append(F.when(lb < 3, F.concat(F.lit("short"), lb.cast("string"))))
     a = left.select("a", F.explode(F.array_distinct(F.array_compact(F.array(*keys_a)))).alias("key"))
     b = right.select("b", F.explode(F.array_distinct(F.array_compact(F.array(*keys_b)))).alias("key"))
-    near = a.join(b, "key").select("a", "b", F.levenshtein("a", "b", 2).alias("distance")).where("distance >= 0")
-    return near.distinct()
+    met = a.join(b, "key").select("a", "b").distinct()  # pairs that meet in several keys are measured once
+    return met.select("a", "b", F.levenshtein("a", "b", 2).alias("distance")).where("distance >= 0")

@@ -113,7 +113,7 @@ _ROW = """'{"en":"' || word || '","bn":"' || meaning || '","src":"' || CASE WHEN
 
 @query("search_json", f"{wd._SEARCH} SELECT qid, '[' || string_agg({_ROW}, ',' ORDER BY rk) || ']' AS json FROM rh WHERE rk <= 10 GROUP BY qid")
 def search_json(spark: SparkSession, sf: str) -> DataFrame:
-    r = lookup.ranked_hybrid(t.queries(spark), t.dictionary(spark, sf)).where("rk <= 10")
+    r = lookup.ranked_hybrid(t.queries(spark, sf), t.dictionary(spark, sf)).where("rk <= 10")
     via = F.when(F.col("from_fts5"), "FTS5+BM25").otherwise("FUZZY-SCAN")
     src = F.when(F.col("from_fts5"), "db/fts5").otherwise("db/fuzzy")
     row = panel.search_row(F.col("word"), F.col("meaning"), src, via, F.col("fuzzy"), F.col("bm25"), F.col("combined"))

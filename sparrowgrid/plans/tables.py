@@ -10,17 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Typed words with slips, blanks, capitals and marks.
 QUERY_WORDS = [
     "red widget", "red widgt", "old", "blu bolt", "gear", "zzz", "hot plate", "cold rods", "small rin", "new gizmo?", "x", "RED RING", "large anvils", "anvil hot", "",
     "--blue plate!", "rod", "cold gizmo", "smal bolt", "hot",
 ]
 
 
-def queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUERY_WORDS)), "qid int, q string")
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, q): the typed words, below zero, and every distinct word of all conversations by where it first stands."""
+    typed = spark.createDataFrame([(i - len(QUERY_WORDS), q) for i, q in enumerate(QUERY_WORDS)], "qid long, q string")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("i", "q"))
+    place = F.col("conv_id") * (1 << 28) + F.col("turn") * (1 << 20) + F.col("i")
+    return typed.union(said.groupBy("q").agg(F.min(place).alias("qid")).select("qid", "q"))
 
 
-QUERIES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERY_WORDS)) + ") AS t(qid, q)"
+QUERIES_SQL = (
+    "SELECT CAST(qid AS BIGINT) AS qid, q FROM (VALUES " + ", ".join(f"({i - len(QUERY_WORDS)}, '{q}')" for i, q in enumerate(QUERY_WORDS)) + ") AS t(qid, q) UNION ALL "
+    f"SELECT min(conv_id * {1 << 28} + turn * {1 << 20} + i - 1) AS qid, q FROM (SELECT conv_id, turn, unnest(ws) AS q, generate_subscripts(ws, 1) AS i "
+    "FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations)) GROUP BY q"
+)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,18 +41,20 @@ DICTIONARY_SQL = "SELECT p_name AS word, min(p_partkey) AS no, arg_min(p_type, p
 
 
 def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size % 7 = 0").select(F.col("p_partkey").alias("seq"), F.lower("p_name").alias("en"), F.col("p_type").alias("bn"))
+    """Every part as a learned row; words repeat, as in a store that is only appended to."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.lower("p_name").alias("en"), F.col("p_type").alias("bn"))
 
 
-LEARNED_SQL = "SELECT p_partkey AS seq, lower(p_name) AS en, p_type AS bn FROM part WHERE p_size % 7 = 0"
+LEARNED_SQL = "SELECT p_partkey AS seq, lower(p_name) AS en, p_type AS bn FROM part"
 
 
 def few_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store without most of the dictionary's words."""
-    return learned(spark, sf_dir).where(F.col("en").rlike("^(red|old|hot)"))
+    """A store of every part's word once, most of them other than the dictionary's: those not of three colours and ages have "set" added."""
+    en = F.when(F.col("en").rlike("^(red|old|hot)"), F.col("en")).otherwise(F.concat("en", F.lit(" set")))
+    return learned(spark, sf_dir).groupBy(en.alias("en")).agg(F.min("seq").alias("seq"), F.min_by("bn", "seq").alias("bn")).select("seq", "en", "bn")
 
 
-FEW_LEARNED_SQL = f"SELECT * FROM ({LEARNED_SQL}) WHERE regexp_matches(en, '^(red|old|hot)')"
+FEW_LEARNED_SQL = f"SELECT min(seq) AS seq, w AS en, arg_min(bn, seq) AS bn FROM (SELECT seq, bn, CASE WHEN regexp_matches(en, '^(red|old|hot)') THEN en ELSE en || ' set' END AS w FROM ({LEARNED_SQL})) GROUP BY w"
 
 GLOSS, GLOSS2 = "শব্দ", "দুই"
 

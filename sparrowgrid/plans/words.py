@@ -27,10 +27,11 @@ _SCORE = """CASE WHEN ql = en THEN 1000 WHEN starts_with(en, ql) THEN 700 - (str
 _WITH = f"WITH q AS ({t.QUERIES_SQL}), d AS ({t.DICTIONARY_SQL}), l AS ({t.LEARNED_SQL}), fl AS ({t.FEW_LEARNED_SQL})"
 
 
-@query("score_table", f"{_WITH} SELECT qid, word AS en, CAST({_SCORE} AS INTEGER) AS score FROM (SELECT qid, lower(q) AS ql, word, lower(word) AS en FROM q, d)")
+@query("score_table", f"{_WITH} SELECT qid, word AS en, CAST({_SCORE} AS INTEGER) AS score FROM (SELECT qid, lower(q) AS ql, word, lower(word) AS en FROM q, d) WHERE score > 0")
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = t.queries(spark).join(lookup.bounded(t.dictionary(spark, sf)), F.lit(True))
-    return pairs.select("qid", F.col("word").alias("en"), tf.match_score(tf.ascii_lower(F.col("q")), tf.ascii_lower(F.col("word"))).cast("int").alias("score"))
+    d = t.dictionary(spark, sf).select(F.col("no").alias("seq"), F.col("word").alias("en"), F.lit("").alias("bn"))
+    pairs = t.queries(spark, sf).join(lookup.bounded(d), F.lit(True))
+    return pairs.select("qid", "en", tf.match_score(tf.ascii_lower(F.col("q")), tf.ascii_lower(F.col("en"))).cast("int").alias("score")).where("score > 0")
 
 
 def _top(store: str, k: int) -> str:
@@ -40,7 +41,12 @@ def _top(store: str, k: int) -> str:
 
 @query("learned_topk", f"{_WITH} SELECT qid, CAST(rk AS INTEGER) AS rk, en, bn, CAST(score AS INTEGER) AS score FROM ({_top('l', 6).format(q='q')})")
 def learned_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.top_learned(t.queries(spark), t.learned(spark, sf), 6).select("qid", "rk", "en", "bn", F.col("score").cast("int").alias("score"))
+    return lookup.top_learned(t.queries(spark, sf), t.learned(spark, sf), 6).select("qid", "rk", "en", "bn", F.col("score").cast("int").alias("score"))
+
+
+@query("learned_top8", f"{_WITH} SELECT qid, CAST(rk AS INTEGER) AS rk, en, bn, CAST(score AS INTEGER) AS score FROM ({_top('fl', 8).format(q='q')})")
+def learned_top8(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.top_learned(t.queries(spark, sf), t.few_learned(spark, sf), 8).select("qid", "rk", "en", "bn", F.col("score").cast("int").alias("score"))
 
 
 @query("learned_exact_lookup", f"""{_WITH} SELECT word, no, EXISTS (SELECT 1 FROM fl WHERE fl.en = lower(word)) AS is_learned,
@@ -82,24 +88,24 @@ _SEARCH = f"{_WITH}, {_FTS}, {_FUZZY}, {_HYBRID}"
 
 @query("fts_bm25", f"{_WITH}, {_FTS} SELECT qid, no, round(bm25, 6) AS bm25 FROM fts")
 def fts_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.fts_bm25(t.queries(spark), t.dictionary(spark, sf)).select("qid", "no", F.round("bm25", 6).alias("bm25"))
+    return lookup.fts_bm25(t.queries(spark, sf), t.dictionary(spark, sf)).select("qid", "no", F.round("bm25", 6).alias("bm25"))
 
 
 @query("fuzzy_scan", f"{_WITH}, {_FUZZY} SELECT qid, no, round(fuzzy, 6) AS fuzzy FROM fz")
 def fuzzy_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.fuzzy_scan(t.queries(spark), t.dictionary(spark, sf)).select("qid", "no", F.round("fuzzy", 6).alias("fuzzy"))
+    return lookup.fuzzy_scan(t.queries(spark, sf), t.dictionary(spark, sf)).select("qid", "no", F.round("fuzzy", 6).alias("fuzzy"))
 
 
 @query("hybrid_full_outer", f"{_SEARCH} SELECT qid, no, word, meaning, bm25, fuzzy, combined, from_fts5, CAST(rk AS INTEGER) AS rk FROM rh")
 def hybrid_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.ranked_hybrid(t.queries(spark), t.dictionary(spark, sf))
+    return lookup.ranked_hybrid(t.queries(spark, sf), t.dictionary(spark, sf))
 
 
 @query("api_search_union", f"""{_SEARCH}, a AS ({_top('fl', 6).format(q='q')}), n AS (SELECT qid, count(*) AS n FROM a GROUP BY qid)
  SELECT qid, CAST(rk AS INTEGER) AS pos, en, bn, 'learned' AS src, score / 1000 AS score FROM a UNION ALL
  SELECT qid, CAST(coalesce(n, 0) + rk AS INTEGER), word, meaning, CASE WHEN from_fts5 THEN 'db/fts5' ELSE 'db/fuzzy' END, combined FROM rh LEFT JOIN n USING (qid) WHERE rk <= 10""")
 def api_search_union(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.api_search(t.queries(spark), t.few_learned(spark, sf), t.dictionary(spark, sf))
+    return lookup.api_search(t.queries(spark, sf), t.few_learned(spark, sf), t.dictionary(spark, sf))
 
 
 _TRIMMED = "q AS (SELECT qid, regexp_replace(q, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g') AS q FROM (" + t.QUERIES_SQL + "))"
@@ -112,7 +118,7 @@ _LOOKUP = f"WITH {_TRIMMED}, d AS ({t.DICTIONARY_SQL}), l AS ({t.LEARNED_SQL}),
  SELECT qid, CASE WHEN ls < 0 AND ds < 0 THEN q WHEN ls >= ds THEN en ELSE word END AS en, CASE WHEN ls < 0 AND ds < 0 THEN '' WHEN ls >= ds THEN bn ELSE meaning END AS bn,
   CASE WHEN ls < 0 AND ds < 0 THEN 'none' WHEN ls >= ds THEN 'learned' WHEN from_fts5 THEN 'db/fts5' ELSE 'db/fuzzy' END AS src FROM j""")
 def lookup_word_best(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.lookup_word(t.queries(spark), t.few_learned(spark, sf), t.dictionary(spark, sf))
+    return lookup.lookup_word(t.queries(spark, sf), t.few_learned(spark, sf), t.dictionary(spark, sf))
 
 
 def _merged_sql(head: str, k: int, able: str) -> str:
@@ -129,12 +135,12 @@ def _merged_sql(head: str, k: int, able: str) -> str:
 
 @query("search_top10", _merged_sql(_SEARCH, 10, 1))
 def search_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.merged(t.queries(spark).where("q <> ''"), t.few_learned(spark, sf), t.dictionary(spark, sf), 10)
+    return lookup.merged(t.queries(spark, sf).where("q <> ''"), t.few_learned(spark, sf), t.dictionary(spark, sf), 10)
 
 
 @query("candidates_top4", _merged_sql(_LOOKUP, 4, 2))
 def candidates_top4(spark: SparkSession, sf: str) -> DataFrame:
-    q = t.queries(spark).select("qid", tf.trim_word(F.col("q")).alias("q")).where(F.octet_length("q") >= 2)
+    q = t.queries(spark, sf).select("qid", tf.trim_word(F.col("q")).alias("q")).where(F.octet_length("q") >= 2)
     return lookup.merged(q, t.few_learned(spark, sf), t.dictionary(spark, sf), 4)
 
 
@@ -208,7 +214,8 @@ def json_escapes(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "documents").select("doc_id", tf.json_escape_plain(F.col("text")).alias("plain"), tf.json_escape_strict(F.col("text")).alias("strict"))
 
 
-@query("byte_truncation", None)
+# The cut is followed by what ends inside it: the longest beginning of whole characters that fits.
+@query("byte_truncation", """SELECT doc_id, left(text, CAST(coalesce(list_max(list_filter(range(0, 72), lambda k: strlen(left(text, k)) <= 71)), 0) AS BIGINT)) AS kept FROM documents""")
 def byte_truncation(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as copied into a fixed buffer (72 bytes with the closing zero)."""
     return t.table(spark, sf, "documents").select("doc_id", tf.truncate_bytes(F.col("text"), 72).alias("kept"))
