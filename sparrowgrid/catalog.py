@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, geometry, ordered, panel, streams, vision, words
+from .plans import arrays, geometry, ordered, panel, storage, streams, vision, words
 
-FAMILIES = (words, ordered, arrays, geometry, panel, streams, vision)
+FAMILIES = (words, ordered, arrays, geometry, panel, storage, streams, vision)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

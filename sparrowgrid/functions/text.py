@@ -168,6 +168,11 @@ def aksharas(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(AKSHARA), 0)
 
 
+def code_points(raw: Column) -> Column:
+    """UTF-8 bytes as an array of code points; of malformed ones each maximal part is U+FFFD."""
+    return F.transform(F.regexp_extract_all(F.make_valid_utf8(raw.cast("string")), F.lit("(?s)."), 0), F.ascii)
+
+
 def run_width(advances: Column) -> Column:
     return F.aggregate(advances, F.lit(0).cast("long"), lambda a, x: a + x)
 

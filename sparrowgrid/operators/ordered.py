@@ -163,6 +163,27 @@ def taps(rows: DataFrame, window_ms: int = 400, reach: int = 50) -> DataFrame:
     )
 
 
+def releases(strokes: DataFrame, rects: DataFrame, reach_x: int = 28, reach_y: int = 22) -> DataFrame:
+    """``strokes`` (key, seq, press_x, press_y, x, y: where the finger came up) -> key, seq, what, target, tap_x, tap_y.
+
+    A press on a target of ``rects`` (rect, x, y, w, h; few) is its ``button`` if it is
+    released on the same one, else ``none``. Elsewhere a release near its press (under
+    28 and 22 pixels) is a ``tap``, at the place of the press; any other is a ``slide``.
+    """
+    held, under = (
+        rects.select(F.col("rect").alias(name), F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"), F.col("w").alias(f"{name}_w"), F.col("h").alias(f"{name}_h")) for name in ("held", "under")
+    )
+
+    def over(name: str, x: str, y: str) -> Column:
+        return F.col(x).between(F.col(f"{name}_x"), F.col(f"{name}_x") + F.col(f"{name}_w") - 1) & F.col(y).between(F.col(f"{name}_y"), F.col(f"{name}_y") + F.col(f"{name}_h") - 1)
+
+    s = strokes.join(F.broadcast(held), over("held", "press_x", "press_y"), "left").join(F.broadcast(under), over("under", "x", "y"), "left")  # a screen's few targets
+    near = (F.abs(F.col("x") - F.col("press_x")) < reach_x) & (F.abs(F.col("y") - F.col("press_y")) < reach_y)
+    what = F.when(F.col("held") == F.col("under"), "button").when(F.col("held").isNotNull(), "none").when(near, "tap").otherwise("slide")
+    tap = what == "tap"
+    return s.select("key", "seq", what.alias("what"), F.when(what == "button", F.col("held")).alias("target"), F.when(tap, F.col("press_x")).alias("tap_x"), F.when(tap, F.col("press_y")).alias("tap_y"))
+
+
 def drag_steps(rows: DataFrame, start: int = 6, step: int = 24) -> DataFrame:
     """``rows`` (key, stroke, seq, y) -> steps scrolled at each sample of a stroke.
 

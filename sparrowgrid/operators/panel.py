@@ -119,3 +119,18 @@ def commands(lines: DataFrame) -> DataFrame:
         return F.struct(page.alias("page"), top.alias("top"), F.array_append(s["out"], F.struct(page.alias("page"), top.alias("top"))).alias("out"))
 
     return each.select("key", F.explode(F.arrays_zip(F.col("a.seq").alias("seq"), F.aggregate("a", state, step, lambda s: s["out"]).alias("o"))).alias("z")).select("key", "z.seq", "z.o.page", "z.o.top")
+
+
+def error_json(message: Column) -> Column:
+    """The reply to a failed request."""
+    return F.concat(F.lit('{"ok":false,"error":"'), tf.json_escape_plain(message), F.lit('"}'))
+
+
+def candidate_line(place: Column, word: Column, gloss: Column, score: Column) -> Column:
+    """A report's line for one answer of a word."""
+    return F.concat(F.lit("CAND "), place.cast("string"), F.lit(" "), word, F.lit(" -> "), gloss, F.lit(" score="), F.format_string("%.3f", score.cast("double")))
+
+
+def run_line(letters: Column, unread: Column) -> Column:
+    """A report's line for a run of letters that was not read."""
+    return F.concat(F.lit("URUN chars="), letters.cast("string"), F.lit(" unread="), unread.cast("string"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,3 +63,36 @@ def assemble(chunks: DataFrame, expected: DataFrame) -> DataFrame:
         F.bool_or(F.col("status") == "END").alias("ended"),
     )
     return out.select("id", "received", "chunks", (F.col("ended") & F.col("error").isNull()).alias("complete"), "error")
+
+
+def list_json(photos: DataFrame) -> DataFrame:
+    """``photos`` (pos, path, bytes, generation; as many as slots) as one JSON document, in their order."""
+    one = F.concat(F.lit('{"path":"'), F.col("path"), F.lit('","bytes":'), F.col("bytes").cast("string"), F.lit(',"generation":'), F.col("generation").cast("string"), F.lit("}"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", one.alias("row")))), lambda x: x["row"])
+    return photos.agg(F.concat(F.lit('{"count":'), F.count("*").cast("string"), F.lit(',"photos":['), F.array_join(rows, ","), F.lit("]}")).alias("json"))
+
+
+def chained_crc(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (id, seq, data) -> id, chunks, crc: the CRC-32 of the whole, carried on from piece to piece as they stream in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, crc, begun = None, 0, 0, False
+        for b in batches:
+            out: list[tuple[int | None, int, int]] = []
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not begun or k != current:
+                    if begun:
+                        out.append((current, n, crc))
+                    current, n, crc, begun = k, 0, 0, True
+                n, crc = n + 1, zlib.crc32(data or b"", crc)
+            yield _sums(out)
+        if begun:
+            yield _sums([(current, n, crc)])
+
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(n, "id").sortWithinPartitions("id", "seq").select(F.col("id").cast("long").alias("id"), "data")
+    return dealt.mapInArrow(run, "id long, chunks long, crc long")
+
+
+def _sums(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["id", "chunks", "crc"])

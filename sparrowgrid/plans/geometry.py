@@ -204,12 +204,16 @@ def stats_row(spark: SparkSession, sf: str) -> DataFrame:
     return rows.crossJoin(learned).crossJoin(events).select("dictionary_rows", "learned", F.lit(2000).alias("learned_capacity"), "arena_bytes", "pushes", "devices")  # three single rows
 
 
-@query("akshara_segments", None)
+#: Words that exercise conjuncts, signs, marks and plain letters.
+AKSHARA_TEXTS = ["বিজ্ঞান", "ক্ষ", "স্ত্রী", "আমি বাংলায়", "কর্ম", "দুঃখ", "চাঁদ", "রং", "abc 12", "বই"]
+_AKSHARA_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(AKSHARA_TEXTS)) + ") AS t(id, text)"
+
+
+# Character by character: a sign, a mark or a virama joins what is before it, and so does a consonant after a virama.
+@query("akshara_segments", f"""WITH t AS ({_AKSHARA_ROWS}), c AS (SELECT id, i, text[i] AS ch, CASE WHEN i > 1 THEN text[i - 1] END AS before FROM (SELECT id, text, unnest(range(1, CAST(len(list_transform(string_split(text, ''), lambda x: x)) AS BIGINT) + 1)) AS i FROM
+ (SELECT id, text FROM t))), j AS (SELECT id, i, ch, CASE WHEN ch IN ('়', '্') OR unicode(ch) BETWEEN 2494 AND 2508 OR unicode(ch) IN (2519, 2530, 2531) OR unicode(ch) BETWEEN 2433 AND 2435 OR (before = '্' AND unicode(ch) BETWEEN 2453 AND 2545) THEN 0 ELSE 1 END AS new FROM c),
+ g AS (SELECT id, i, ch, sum(new) OVER (PARTITION BY id ORDER BY i) AS g FROM j) SELECT id, CAST(g - 1 AS INTEGER) AS pos, string_agg(ch, '' ORDER BY i) AS akshara FROM g GROUP BY id, g""")
 def akshara_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Orthographic syllables of Bengali test strings."""
     rows = spark.createDataFrame(list(enumerate(AKSHARA_TEXTS)), "id int, text string")
     return rows.select("id", F.posexplode(tf.aksharas(F.col("text"))).alias("pos", "akshara"))
-
-
-#: Words that exercise conjuncts, signs, marks and plain letters.
-AKSHARA_TEXTS = ["বিজ্ঞান", "ক্ষ", "স্ত্রী", "আমি বাংলায়", "কর্ম", "দুঃখ", "চাঁদ", "রং", "abc 12", "বই"]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ring
-from ..streaming import stateful
+from ..streaming import lookup, stateful
 from . import ordered as batch
+from . import words as batch_words
 from . import tables as t
 
 QUERIES, ORACLES = {}, {}
@@ -55,9 +56,9 @@ def stream_upload(spark: SparkSession, sf: str) -> DataFrame:
     return stateful.drain(stateful.run_machine(_stream(spark, pieces), "upload"))
 
 
-@query("stream_history", None)
+@query("stream_history", f"""WITH {batch._PUSH} SELECT key, seq, CAST(least(48, island) AS INTEGER) AS held, en AS "last", ocr FROM i""")
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:
-    """After each push: how many entries are held, and the last; tests compare with the batch history."""
+    """After each push: how many entries are held, and the last."""
     return stateful.drain(stateful.run_machine(_stream(spark, batch.pushes(spark, sf)), "history"))
 
 
@@ -68,3 +69,48 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     n = e.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type").count()
     out = stateful.drain(n.select("event_type", F.col("window.start").alias("hour"), F.col("count").alias("n")))
     return out.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "n")
+
+
+# A single tap fires at its device's next tap, or when time has gone on for 400 ms.
+@query("stream_single_taps", f"""WITH RECURSIVE {batch._TOUCH}, r AS (SELECT key, seq, role FROM ({batch.ORACLES['double_tap_batch']})), o AS (SELECT key, seq, ms, lead(seq) OVER (PARTITION BY key ORDER BY ms, seq) AS later FROM tt)
+ SELECT key, seq, role = 'double' AS double FROM r JOIN o USING (key, seq) WHERE role = 'double' OR (role = 'single' AND (later IS NOT NULL OR ms + 401 < (SELECT max(ms) FROM tt)))""")
+def stream_single_taps(spark: SparkSession, sf: str) -> DataFrame:
+    """Taps as they fire: a pair at its second tap, a single one when 400 ms passed without a partner, by event time."""
+    return stateful.drain(stateful.run_taps(_stream(spark, batch.touches(spark, sf))))
+
+
+@query("stream_stalled", """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id * 70 + 1000 AS ms FROM events), w AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY seq) AS after FROM e),
+ d AS (SELECT *, sum(CASE WHEN after - ms > 5000 OR after IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS broken FROM w)
+ SELECT key, count(*) AS received, 'timeout' AS error FROM d WHERE coalesce(broken, 0) = 0 GROUP BY key HAVING bool_or(after - ms > 5000) OR max(ms) + 5001 < (SELECT max(ms) FROM e)""")
+def stream_stalled(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfers of pieces that never end: each is given up 5 s after its last piece in time, by a timer. (Nothing stands at time zero, where the watermark begins.)"""
+    e = t.table(spark, sf, "events")
+    seq = F.row_number().over(batch.ordered.Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    pieces = e.select(F.col("user_id").alias("key"), seq.alias("seq"), (F.col("event_id") * 70 + 1000).alias("ms"), F.lit("WRITE").alias("status"))
+    return stateful.drain(stateful.run_transfers(_stream(spark, pieces)))
+
+
+@query("stream_answers", batch_words.ORACLES["learned_topk"].replace("rk <= 6", "rk <= 10"))
+def stream_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries that arrive in micro-batches, ranked against the store as it is then."""
+    return lookup.answers_of(_stream(spark, t.queries(spark, sf)), lambda: t.learned(spark, sf), stateful.place(spark)).select("qid", "rk", "en", "bn", F.col("score").cast("int").alias("score"))
+
+
+@query("stream_import", f"{batch_words._ROUTE} SELECT lower(en) AS en, bn FROM routed WHERE outcome = 'added'")
+def stream_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Word lists that land in a folder are imported file by file; what was learned is in the store's file afterwards."""
+    return lookup.imported(_stream(spark, t.import_lines(spark, sf).withColumn("file", F.lit("a"))), t.few_learned(spark, sf), t.dictionary(spark, sf), stateful.place(spark), batch_words.CAPACITY)
+
+
+@query("stream_mailbox", "SELECT user_id % 16 AS slot, max(event_id) AS generation, count(*) - 1 AS replaced FROM events GROUP BY 1")
+def stream_mailbox(spark: SparkSession, sf: str) -> DataFrame:
+    """A single-slot mailbox for each writer: what is put in replaces what was not taken."""
+    e = t.table(spark, sf, "events").select((F.col("user_id") % 16).alias("slot"), F.col("event_id").alias("generation"))
+    return stateful.mailbox(_stream(spark, e), stateful.place(spark))
+
+
+@query("stream_tap_queue", "SELECT user_id AS key, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS waited FROM events")
+def stream_tap_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Taps queue while one request of their device is in flight; each waits for those before it."""
+    e = t.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
+    return stateful.drain(stateful.run_machine(_stream(spark, e), "tap_queue"))

@@ -76,9 +76,15 @@ def clear(spark: SparkSession, path: str) -> int:
     return n
 
 
+def installed(staged: DataFrame, size: Column, crc: Column) -> DataFrame:
+    """``staged`` (content, ...) with received, error and ok: each file against its announced size and CRC."""
+    error = F.when(F.octet_length("content") != size, "size").when(F.crc32("content") != crc, "crc")
+    return staged.withColumns({"received": F.octet_length("content"), "error": error}).withColumn("ok", F.col("error").isNull())
+
+
 def install(staged: DataFrame, size: int, crc: int) -> DataFrame:
-    """``staged`` (content) -> ok and error of a received file against its announced size and CRC."""
-    return staged.select(F.octet_length("content").alias("received"), F.when(F.octet_length("content") != size, "size").when(F.crc32("content") != crc, "crc").alias("error")).withColumn("ok", F.col("error").isNull())
+    """``staged`` (content) -> received, error and ok of one file."""
+    return installed(staged, F.lit(size), F.lit(crc)).select("received", "error", "ok")
 
 
 def hex_dump(pixels: Column, columns: int) -> Column:

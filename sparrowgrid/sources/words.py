@@ -16,9 +16,16 @@ CAPACITY = 2000
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, line) of text files. ``ord`` rises with the line inside a file; a file is read whole by one task to keep that order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
+    """(file, ord, line) of text files; ``ord`` rises with the line inside a file.
+
+    Files are read in splits. A line's place is its split's first byte plus its number
+    within the split, which stays below the split's length; in a file of one split it
+    is the line number.
+    """
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = read.withColumn("n", F.monotonically_increasing_id())
+    first = lines.groupBy("file", "block").agg(F.min("n").alias("first"))  # a row for each split
+    return lines.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("block") + F.col("n") - F.col("first")).alias("ord"), "line")
 
 
 def load_learned(spark: SparkSession, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -42,7 +49,7 @@ def export_learned(store: DataFrame, path: str) -> bool:
     """Writes the store as one ordered TSV file; nothing, and False, if it is empty."""
     if store.isEmpty():
         return False
-    store.orderBy("seq").coalesce(1).select(F.concat_ws("\t", "en", "bn").alias("value")).write.mode("overwrite").text(path)  # a store of at most a few thousand rows
+    store.repartition(1).sortWithinPartitions("seq").select(F.concat_ws("\t", "en", "bn").alias("value")).write.mode("overwrite").text(path)  # a store of at most a few thousand rows
     return True
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as tf
 from ..operators import ingest, lookup
 
 
@@ -29,3 +30,26 @@ def import_files(lines: DataFrame, store: Callable[[], DataFrame], dictionary: D
             learn(rows.where("outcome = 'added'"))
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def answers_of(queries: DataFrame, store: Callable[[], DataFrame], path: str) -> DataFrame:
+    """All answers to the queries that a stream's source holds now, as Parquet."""
+    kept = lambda rows, epoch: rows.write.mode("append").parquet(f"{path}/answers")
+    each = lambda batch, epoch: kept(lookup.top_learned(batch, store(), 10), epoch)
+    queries.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return queries.sparkSession.read.parquet(f"{path}/answers")
+
+
+def imported(lines: DataFrame, learned: DataFrame, dictionary: DataFrame, path: str, capacity: int = 2000) -> DataFrame:
+    """Runs ``import_files`` over what the source holds now, with a store in ``path``; the rows that were learned."""
+    spark = lines.sparkSession
+    learned.select("en", "bn", F.lit(False).alias("new")).write.parquet(f"{path}/store")
+
+    def add(rows: DataFrame) -> None:
+        rows.select(tf.ascii_lower(F.col("en")).alias("en"), "bn", F.lit(True).alias("new")).write.mode("append").parquet(f"{path}/store")
+
+    def now() -> DataFrame:
+        return spark.read.parquet(f"{path}/store").select("en", "bn")
+
+    import_files(lines, now, dictionary, add, f"{path}/state", capacity).awaitTermination()
+    return spark.read.parquet(f"{path}/store").where("new").select("en", "bn")

@@ -8,12 +8,14 @@ are sorted within their key; across batches the order is that of arrival.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ordered import Contact
@@ -87,7 +89,13 @@ def history_step(state: dict, e: dict) -> tuple[dict, dict | None]:
     return {"rows": rows}, {"seq": e["seq"], "held": len(rows), "last": rows[-1]["en"], "ocr": rows[-1]["ocr"]}
 
 
+def queue_step(state: dict, e: dict) -> tuple[dict, dict]:
+    """One request of a device is answered after the other: a tap waits for all that came before it."""
+    return {"sent": state["sent"] + 1}, {"seq": e["seq"], "waited": state["sent"]}
+
+
 MACHINES = {
+    "tap_queue": (lambda: {"sent": 0}, queue_step, ["seq"], "key long, seq long, waited long"),
     "debounce": (lambda: {}, contact_step, ["ms", "seq"], "key long, seq long, state string, down boolean, conf int, press_x int, press_y int"),
     "double_tap": (lambda: {"parked": False, "ms": 0, "x": 0, "y": 0}, tap_step, ["ms", "seq"], "key long, seq long, double boolean"),
     "live_search": (lambda: {"last": None, "ran": None}, search_step, ["ms", "seq"], "key long, seq long, ran boolean"),
@@ -103,9 +111,107 @@ def run_machine(events: DataFrame, name: str) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(Fold(start, step, order, columns), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+class Timed(Fold):
+    """A fold whose state also answers to silence: ``quiet`` makes the row that a key gives when its timer runs out.
+
+    A timer stands at the last event's time plus ``idle_ms``; event time passes with the
+    watermark. Events that come later than that within one batch find the key timed out.
+    """
+
+    def __init__(self, start, step, quiet: Callable[[dict], tuple[dict, dict | None]], idle_ms: int, order: list[str], columns: list[str]):
+        super().__init__(start, step, order, columns)
+        self.quiet, self.idle_ms = quiet, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
+        out = []
+        for event in pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records"):  # a key's part of one micro-batch
+            if state.get("at") is not None and event["ms"] - state["at"] > self.idle_ms:
+                state, row = self.quiet(state)
+                out += [{"key": key[0]} | row] if row else []
+            state, row = self.step(state, event)
+            out += [{"key": key[0]} | row] if row else []
+            state["at"] = int(event["ms"])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(state["at"] + self.idle_ms + 1)
+        self.state.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, row = self.quiet(json.loads(self.state.get()[0]))
+        self.state.update((json.dumps(state | {"at": None}),))
+        yield pd.DataFrame([{"key": key[0]} | row] if row else [], columns=self.columns)
+
+
+def _parked_step(state: dict, e: dict) -> tuple[dict, dict | None]:
+    x, y, parked = int(e["x"]), int(e["y"]), state["parked"]
+    if parked and abs(x - parked[1]) < 50 and abs(y - parked[2]) < 50:
+        return {"parked": None}, {"seq": int(e["seq"]), "double": True}
+    # One that cannot pair fires the tap that was parked, and takes its place.
+    return {"parked": [int(e["seq"]), x, y]}, {"seq": parked[0], "double": False} if parked else None
+
+
+def _parked_quiet(state: dict) -> tuple[dict, dict | None]:
+    parked = state["parked"]
+    return {"parked": None}, {"seq": parked[0], "double": False} if parked else None
+
+
+def _transfer_step(state: dict, e: dict) -> tuple[dict, dict | None]:
+    if state["over"]:
+        return state, None
+    return state | {"received": state["received"] + 1, "over": e["status"] != "WRITE"}, None
+
+
+def _transfer_quiet(state: dict) -> tuple[dict, dict | None]:
+    if state["over"]:
+        return state, None
+    return state | {"over": True}, {"received": state["received"], "error": "timeout"}
+
+
+def _timed(events: DataFrame, machine: Timed, schema: str) -> DataFrame:
+    timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", "0 seconds")
+    return timed.groupBy("key").transformWithStateInPandas(machine, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def run_taps(events: DataFrame, window_ms: int = 400) -> DataFrame:
+    """``events`` (key, seq, ms, x, y) -> key, seq, double: pairs and single taps as they fire. The last single tap of all fires when time goes on."""
+    return _timed(events, Timed(lambda: {"parked": None}, _parked_step, _parked_quiet, window_ms, ["ms", "seq"], ["key", "seq", "double"]), "key long, seq long, double boolean")
+
+
+def run_transfers(pieces: DataFrame, idle_ms: int = 5000) -> DataFrame:
+    """``pieces`` (key, seq, ms, status) -> key, received, error of each transfer that paused for over ``idle_ms`` before its end."""
+    return _timed(pieces, Timed(lambda: {"received": 0, "over": False}, _transfer_step, _transfer_quiet, idle_ms, ["ms", "seq"], ["key", "received", "error"]), "key long, received long, error string")
+
+
+def mailbox(puts: DataFrame, path: str) -> DataFrame:
+    """``puts`` (slot, generation) as a stream -> slot, generation, replaced: the one item that each slot holds at the end of all batches, and how many it pushed out."""
+    spark = puts.sparkSession
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        held = spark.read.parquet(f"{path}/held-{epoch - 1}").select("slot", "generation", F.col("replaced") + 1) if epoch else None
+        new = batch.select("slot", "generation", F.lit(1).cast("long").alias("put"))
+        both = new if held is None else new.union(held)
+        taken = both.groupBy("slot").agg(F.max("generation").alias("generation"), (F.sum("put") - 1).alias("replaced"))
+        taken.write.mode("overwrite").parquet(f"{path}/held-{epoch}")  # a batch that is run again writes the same
+
+    query = puts.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max(p["batchId"] for p in query.recentProgress)
+    return spark.read.parquet(f"{path}/held-{last}")
+
+
 def place(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
