@@ -190,19 +190,18 @@ def drag_steps(rows: DataFrame, start: int = 6, step: int = 24) -> DataFrame:
     Movement is summed from the press; once it has been more than ``start`` away, each
     whole ``step`` (toward zero) scrolls and is taken off, the rest carried on.
     """
-    order = Window.partitionBy("key", "stroke").orderBy("seq")
-    away = F.col("y") - F.first("y").over(order)
-    marked = rows.withColumn("moved", away).withColumn("on", F.max((F.abs(away) > start).cast("int")).over(order) == 1)
-    # The running total is what was scrolled so far plus a rest within a step, so only its whole steps matter.
-    start_state = F.struct(F.lit(0).cast("int").alias("done"), F.array().cast("array<int>").alias("out"))
+    def fold(state: dict, r: tuple) -> tuple:
+        key, stroke, seq, y = r
+        if state.get("stroke", ()) != stroke:
+            state |= {"stroke": stroke, "from": y, "on": False, "done": 0}
+        away = y - state["from"]
+        state["on"] = state["on"] or abs(away) > start
+        rest = away - state["done"] * step
+        whole = (1 if rest > 0 else -1) * (abs(rest) // step) if state["on"] else 0
+        state["done"] += whole
+        return key, stroke, seq, whole
 
-    def fold(s: Column, r: Column) -> Column:
-        rest = r["moved"] - s["done"] * step
-        whole = F.when(r["on"], (F.signum(rest) * F.floor(F.abs(rest) / step)).cast("int")).otherwise(F.lit(0))
-        return F.struct((s["done"] + whole).cast("int").alias("done"), F.array_append(s["out"], whole).alias("out"))
-
-    strokes = marked.groupBy("key", "stroke").agg(F.sort_array(F.collect_list(F.struct("seq", "moved", "on"))).alias("r"))  # one stroke of a finger
-    return strokes.select("key", "stroke", F.explode(F.arrays_zip(F.col("r.seq").alias("seq"), F.aggregate("r", start_state, fold, lambda s: s["out"]).alias("steps"))).alias("z")).select("key", "stroke", "z.seq", "z.steps")
+    return fold_rows(rows.select("key", "stroke", "seq", "y"), ["stroke", "seq"], dict, fold, "key long, stroke long, seq long, steps int")
 
 
 def median_of(values: Column, discard: int = 1) -> Column:
@@ -213,14 +212,13 @@ def median_of(values: Column, discard: int = 1) -> Column:
 
 def type_query(keys: DataFrame, most: int = 24) -> DataFrame:
     """``keys`` (key, seq, char) -> the text after each key: letters are added up to ``most`` characters, "<" takes one off, "!" clears."""
-    each = keys.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "char"))).alias("k"))  # one typing session
-    state = F.struct(F.lit("").alias("q"), F.array().cast("array<string>").alias("out"))
-
-    def fold(s: Column, k: Column) -> Column:
-        q = F.when(k["char"] == "<", F.substring(s["q"], 1, F.greatest(F.length(s["q"]) - 1, F.lit(0)))).when(k["char"] == "!", "").when(F.length(s["q"]) < most, F.concat(s["q"], k["char"])).otherwise(s["q"])
-        return F.struct(q.alias("q"), F.array_append(s["out"], q).alias("out"))
+    def step(state: dict, r: tuple) -> tuple:
+        key, seq, char = r
+        q = state.get("q", "")
+        state["q"] = q[:-1] if char == "<" else "" if char == "!" else q + char if len(q) < most else q
+        return key, seq, state["q"]
 
-    return each.select("key", F.explode(F.arrays_zip(F.col("k.seq").alias("seq"), F.aggregate("k", state, fold, lambda s: s["out"]).alias("q"))).alias("z")).select("key", "z.seq", "z.q")
+    return fold_rows(keys.select("key", "seq", "char"), ["seq"], dict, step, "key long, seq long, q string")
 
 
 def throttle(rows: DataFrame, period_ms: int = 1000) -> DataFrame:

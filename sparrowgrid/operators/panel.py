@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tf
+from .ordered import fold_rows
 
 
 def quotient(a: Column, b: Column) -> Column:
@@ -106,19 +107,15 @@ def commands(lines: DataFrame) -> DataFrame:
     Pages: home, hist, search. "up" and "down" scroll by four, not above the top;
     "hist", "back", "search", "srhome", "h" change the page; others leave all as it is.
     """
-    each = lines.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("a"))  # one panel's session
-    state = F.struct(F.lit("home").alias("page"), F.lit(0).alias("top"), F.array().cast("array<struct<page:string,top:int>>").alias("out"))
-
-    def step(s: Column, a: Column) -> Column:
-        act = a["action"]
-        page = (
-            F.when(act == "hist", "hist").when(act.isin("back", "srhome"), "home").when(act == "search", "search")
-            .when((act == "h") & (s["page"] == "hist"), "home").when(act == "h", "hist").otherwise(s["page"])
-        )
-        top = F.when(act == "up", F.greatest(s["top"] - 4, F.lit(0))).when(act == "down", s["top"] + 4).when(act.isin("search", "clearhist"), 0).otherwise(s["top"])
-        return F.struct(page.alias("page"), top.alias("top"), F.array_append(s["out"], F.struct(page.alias("page"), top.alias("top"))).alias("out"))
-
-    return each.select("key", F.explode(F.arrays_zip(F.col("a.seq").alias("seq"), F.aggregate("a", state, step, lambda s: s["out"]).alias("o"))).alias("z")).select("key", "z.seq", "z.o.page", "z.o.top")
+    def step(state: dict, r: tuple) -> tuple:
+        key, seq, act = r
+        page, top = state.get("page", "home"), state.get("top", 0)
+        page = {"hist": "hist", "back": "home", "srhome": "home", "search": "search", "h": "home" if page == "hist" else "hist"}.get(act, page)
+        top = max(top - 4, 0) if act == "up" else top + 4 if act == "down" else 0 if act in ("search", "clearhist") else top
+        state |= {"page": page, "top": top}
+        return key, seq, page, top
+
+    return fold_rows(lines.select("key", "seq", "action"), ["seq"], dict, step, "key long, seq long, page string, top int")
 
 
 def error_json(message: Column) -> Column:
