@@ -183,3 +183,36 @@ def test_otsu_sorted_matches_a_loop(spark, n):
         if i * (n - i) * (a - b) ** 2 > best:
             best, want = i * (n - i) * (a - b) ** 2, (xs[i - 1] + xs[i]) / 2
     assert one(spark, arrays.otsu_sorted(F.col("x")), x=xs) == pytest.approx(want)
+
+
+def test_larger_stores_are_met_by_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(120)})
+    store = spark.createDataFrame([(i, w, "g") for i, w in enumerate(names + names[:20])], "seq long, en string, bn string")
+    asked = spark.createDataFrame(list(enumerate([*names[::5], "", "abca", "zzz", "abcabcabc"])), "qid long, q string")
+    scanned = {(r.qid, r.seq, r.score) for r in lookup.scan_learned(asked, store).collect()}
+    monkeypatch.setattr(lookup, "SCAN_ROWS", 10)
+    assert {(r.qid, r.seq, r.score) for r in lookup.scan_learned(asked, store).collect()} == scanned and len(scanned) > 500
+    monkeypatch.setattr(lookup, "STORE_ROWS", 10)
+    monkeypatch.setattr(lookup, "is_bounded", lambda *a: False)
+    with pytest.raises(ValueError):
+        lookup.fuzzy_scan(asked, spark.createDataFrame([(1, "a", "m")], "no long, word string, meaning string"))
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 40) for k in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("one\r\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = words.ordered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {n: [r.line for r in sorted((r for r in rows if r.file.endswith(n)), key=lambda r: r.ord)] for n in ("a.txt", "b.txt")}
+    assert by == {"a.txt": lines, "b.txt": ["one\r", "two"]} and len({(r.file, r.ord) for r in rows}) == len(rows)
+
+
+def test_malformed_bytes_are_replaced(spark):
+    assert one(spark, tf.code_points(F.lit(b"a\xffb\xe0\xa6"))) == [97, 0xFFFD, 98, 0xFFFD]
+    assert one(spark, tf.code_points(F.encode(F.lit("ক😀"), "UTF-8"))) == [0x995, 0x1F600]

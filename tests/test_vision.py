@@ -110,3 +110,47 @@ def test_resizing_and_stretching():
     assert ocr.quantised(c)[[0, 128, 255]].tolist() == [-128, -16, 127]
     lut, span = ocr.stretched(np.full((10, 10), 90), c)
     assert span == 0 and (lut == ocr.quantised(c)).all()
+
+
+def test_whole_texts_are_drawn_and_found(spark):
+    """A thousand words take many pages, and a long word several places; every one is found."""
+    words = [f"{'abcdefghij'[: 1 + k % 10]}" for k in range(1000)] + ["x" * 95]
+    pages = vision.drawn(spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None)], "frame long, text string"))
+    rows = pages.collect()
+    assert {r.frame for r in rows} == {1, 2, 3} and all(r.h <= 640 for r in rows) and len([r for r in rows if r.frame == 1]) > 5
+    want = [len(w) for w in words[:-1]] + [40, 40, 15]
+    for detect in (vision.detect, lines.detect):
+        got = sorted(detect(pages).collect(), key=lambda r: (r.page, r.ink_y1, r.ink_x1))
+        assert [r.chars for r in got] == want and {r.frame for r in got} == {1}
+
+
+@pytest.mark.parametrize("specs", [((30, 9, 6), (70, 10, 6), (110, 11, 7), (150, 9, 6)), ((30, 9, 6), (80, 12, 8), (130, 9, 6), (180, 12, 8))])
+def test_lines_of_unequal_x_heights_keep_their_order(specs):
+    gray, letters = np.full((300, 480), 215, np.uint8), []
+    for top, tall, wide in specs:
+        at = 14
+        for k in range(5):
+            letters.append(2 + (k + top // 10) % 4)
+            for _ in range(letters[-1]):
+                gray[top : top + tall, at : at + wide] = 40
+                at += wide + 2
+            at += tall
+    words, _ = lines.detect_lines(gray)
+    assert [w["chars"] for w in words] == letters and len({w["xh_x16"] for w in words}) > 1
+
+
+def test_frames_of_full_size_are_filtered_in_time(spark):
+    """480 x 640 pixels against plain loops at some places."""
+    import time
+
+    from sparrowgrid.operators import arrays
+
+    px = np.random.default_rng(1).integers(0, 256, (640, 480))
+    frames = spark.createDataFrame([(7, px.ravel().tolist()), (8, [1, 2])], "frame long, px array<int>")
+    began = time.time()
+    got = {(r.y, r.x): r.total for r in arrays.box_sums(frames, (640, 480), 15).where("y % 71 = 0 and x % 53 = 0").collect()}
+    low = {(r.y, r.x): (r.least, r.most) for r in arrays.extremes(frames, (640, 480), 3).where("y % 71 = 0 and x % 53 = 0").collect()}
+    assert time.time() - began < 30 and len(got) == len(low) > 80
+    pad, near = np.pad(px, 15, mode="edge"), np.pad(px, 3, mode="edge")
+    for (y, x), total in got.items():
+        assert total == pad[y : y + 31, x : x + 31].sum() and low[y, x] == (near[y : y + 7, x : x + 7].min(), near[y : y + 7, x : x + 7].max())
