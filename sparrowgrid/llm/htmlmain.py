@@ -29,7 +29,7 @@ browsers do for paragraphs, list items and table parts; repeated rows each vote.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -158,45 +158,51 @@ class Page:
         self._settle_noise()
 
     def _read(self, source: str) -> None:
-        stack, open_, at = [0], Counter(), 0
+        stack, at = [0], 0
+        open_, held = defaultdict(int), defaultdict(int)  # how many of each name are open: blocks, and elements inside the block
         inline: list[str] = []
-        held = Counter()
+        links = skipped = 0
         for begin, end, name, closes, attributes in tags(source):
-            if begin > at and not held["skipped"]:
-                self._text(source[at:begin], held["a"])
+            if begin > at and not skipped:
+                self._text(source[at:begin], links)
             at = end
             if not name:
                 continue
-            if not closes:
+            if name in BLOCK:
+                if closes and not open_[name]:
+                    continue
+                self._flush(stack[-1])
+                if inline:
+                    inline, held, links, skipped = [], defaultdict(int), 0, 0
+                if closes:
+                    while (last := self.tag[stack.pop()]) != name:
+                        open_[last] -= 1
+                    open_[name] -= 1
+                    continue
+                while (last := self.tag[stack[-1]]) == "p" or (last in ENDED_BY and name in ENDED_BY[last]):
+                    open_[last] -= 1
+                    stack.pop()
+                if name not in VOID:
+                    stack.append(self._open(stack[-1], name, attributes))
+                    open_[name] += 1
+            elif not closes:
                 if name == "br":
                     self._parts.append(" ")
-                elif name in BLOCK:
-                    self._flush(stack[-1])
-                    inline, held = [], Counter()
-                    self._close_implied(stack, open_, name)
-                    if name not in VOID:
-                        stack.append(self._open(stack[-1], name, attributes))
-                        open_[name] += 1
                 elif name not in VOID and not (name in SKIPPED and attributes.rstrip().endswith("/")):
                     held[name] += 1
-                    held["skipped"] += name in SKIPPED
+                    links += name == "a"
+                    skipped += name in SKIPPED
                     inline.append(name)
-            elif name in BLOCK:
-                if open_[name]:
-                    self._flush(stack[-1])
-                    inline, held = [], Counter()
-                    while (last := self.tag[stack.pop()]) != name:
-                        open_[last] -= 1
-                    open_[name] -= 1
             elif held[name]:
                 while True:
                     last = inline.pop()
                     held[last] -= 1
-                    held["skipped"] -= last in SKIPPED
+                    links -= last == "a"
+                    skipped -= last in SKIPPED
                     if last == name:
                         break
-        if at < len(source) and not held["skipped"]:
-            self._text(source[at:], held["a"])
+        if at < len(source) and not skipped:
+            self._text(source[at:], links)
         self._flush(stack[-1])
 
     def _text(self, raw: str, links: int) -> None:
@@ -212,11 +218,6 @@ class Page:
                 self.blocks.append((text, element, self._linked))
             self._parts, self._linked = [], 0
 
-    def _close_implied(self, stack: list[int], open_: Counter, name: str) -> None:
-        while (tag := self.tag[stack[-1]]) == "p" or name in ENDED_BY.get(tag, ()):
-            open_[tag] -= 1
-            stack.pop()
-
     def _open(self, parent: int, name: str, attributes: str) -> int:
         noise, step = name in BOILERPLATE_TAGS, name
         if "=" in attributes or "hidden" in attributes:
@@ -238,27 +239,35 @@ class Page:
 
     def _settle_noise(self) -> None:
         """Which elements are boilerplate, all told."""
-        n = len(self.tag)
-        size, frames, inside = [0] * n, [False] * n, [False] * n  # inside: in an article
+        if not any(self.own_noise):
+            self.noise = self.own_noise
+            return
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        size, frames, inside = [0] * n, [x in ("article", "main", "h1") for x in tag], [x == "article" for x in tag]  # inside: in an article
         for text, element, _ in self.blocks:
             size[element] += len(text)
         for k in range(n - 1, 0, -1):
-            size[self.parent[k]] += size[k]
-            frames[self.parent[k]] |= frames[k] or self.tag[k] in ("article", "main", "h1")
+            size[parent[k]] += size[k]
+            if frames[k]:
+                frames[parent[k]] = True
         for k in range(1, n):
-            inside[k] = inside[self.parent[k]] or self.tag[k] == "article"
-        clean = [0] * n
-        forgiven = lambda k: (frames[k] and size[k] >= FRAME * size[0]) or (self.tag[k] == "header" and inside[k])
-        self.own_noise = [own and not forgiven(k) for k, own in enumerate(self.own_noise)]
+            if inside[parent[k]]:
+                inside[k] = True
+        holds = [False] * n  # whether one stands below the element itself
+        for k in range(1, n):
+            if frames[k]:
+                holds[parent[k]] = True
         self.noise = list(self.own_noise)
         for k in range(1, n):
-            self.noise[k] = self.noise[k] or self.noise[self.parent[k]]
-        for text, element, _ in self.blocks:
-            clean[0] += 0 if self.noise[element] else len(text)
-        if size[0] and not clean[0]:  # all is boilerplate: a form or a notice that has the most of it frames the page
+            if self.own_noise[k] and ((holds[k] and size[k] >= FRAME * size[0]) or (tag[k] == "header" and inside[k])):
+                self.own_noise[k] = self.noise[k] = False
+            if self.noise[parent[k]]:
+                self.noise[k] = True
+        if self.blocks and all(self.noise[element] for _, element, _ in self.blocks):
+            # All is boilerplate: a form or a notice that has the most of it frames the page.
             for k in range(1, n):
-                own = self.own_noise[k] and not (self.tag[k] not in ("nav", "menu", "footer") and size[k] >= FRAME * size[0])
-                self.noise[k] = own or self.noise[self.parent[k]]
+                own = self.own_noise[k] and not (tag[k] not in ("nav", "menu", "footer") and size[k] >= FRAME * size[0])
+                self.noise[k] = own or self.noise[parent[k]]
 
     def path_of(self, k: int) -> str:
         """The generalised path of an element."""
