@@ -93,14 +93,16 @@ def host_values(marked: DataFrame) -> DataFrame:
     return trust.withColumnRenamed("value", "trust").join(distrust.withColumnRenamed("value", "distrust"), "node")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, most_bytes: int = 32 << 20) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     host, path = parts(F.col("url"))
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
     rule, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     marked = split.select("page_id", "host", "path", "html", node_of(F.col("host")).alias("node"), rule.alias("rule"), verdict.alias("by_rule"))
-    bad = host_values(marked).where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("node", F.lit("block").alias("by_host"))
-    out = marked.join(bad, "node", "left")
+    bad = durable(host_values(marked).where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("node", F.lit("block").alias("by_host")))
+    size = bad.agg(F.coalesce(F.sum(F.octet_length("node") + 24), F.lit(0))).first()[0]
+    # Few blocked hosts go to all pages, which then need no shuffle; more meet them by host, where adaptive execution splits a large one.
+    out = marked.join(F.broadcast(bad) if size <= most_bytes else bad, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 

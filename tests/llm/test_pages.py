@@ -51,6 +51,7 @@ def none(spark):
 
 def test_url_verdicts_match_sql(spark, pages, none):
     got = sorted(map(tuple, urlgraph.judge(pages).collect()), key=str)
+    assert got == sorted(map(tuple, urlgraph.judge(pages, most_bytes=0).collect()), key=str)
     frame = pd.DataFrame([p[:3] for p in PAGES], columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
     con = duckdb.connect()
     con.register("pages", frame)

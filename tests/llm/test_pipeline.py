@@ -35,6 +35,7 @@ def test_filtering_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
 
 def test_stages_take_odd_rows(spark):
