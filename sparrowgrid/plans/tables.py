@@ -97,7 +97,7 @@ SIDE = 8
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, px): pixels in row-major order."""
+    """(frame, px): pixels in row-major order. An embedding of another length than 64 is no frame and is left out, here and in the SQL."""
     e = table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
     px = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.5) * 255).cast("int"))))
     return e.select(F.col("vec_id").alias("frame"), px.alias("px"))
