@@ -33,16 +33,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def hand_over_small(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on tasks get at most ``rows`` rows at once: a batch of whole texts is held several times over, by Spark and by the worker."""
+    before = int(spark.conf.get(BATCH))
+    if not 0 < before <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is computed inside: for rows that each hold a text or its shingles."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH)
+    hand_over_small(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -110,5 +110,7 @@ def shared(docs: DataFrame, value: Any) -> Broadcast:
 
 
 def opened(sent: Broadcast) -> Any:
-    """What ``shared`` sent; called once for each partition."""
-    return pickle.loads(sent.value)
+    """What ``shared`` sent; a worker makes it once and keeps it beside the bytes for its later tasks."""
+    if not hasattr(sent, "opened"):
+        sent.opened = pickle.loads(sent.value)
+    return sent.opened
