@@ -95,8 +95,12 @@ def with_copy_keys(rows: DataFrame) -> DataFrame:
     return simhash.with_fingerprints_of(rows, copy_keys)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the texts with the ``wanted`` keys (fp, distinct): sorted hashes, eight bytes each."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(fp, shingles) of the texts with the ``wanted`` keys (fp, distinct): sorted hashes, eight bytes each.
+
+    Copies are one row before they are shuffled. At most ``most`` keys (of 8 bytes) go to
+    all tasks, so that other texts need not move; more meet the texts by a shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +108,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(sets), pa.binary())], ["fp", "shingles"])
 
     keyed = with_copy_keys(docs.select("text")).select(F.col("__sg_fp").alias("fp"), "text")
-    one = keyed.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    text = F.min("text").alias("text")
+    if wanted.limit(most + 1).count() <= most:
+        one = keyed.join(F.broadcast(wanted), "fp", "left_semi").groupBy("fp").agg(text)
+    else:
+        one = keyed.groupBy("fp").agg(text).join(wanted, "fp", "left_semi")
     return one.mapInArrow(run, "fp long, shingles binary")
 
 
@@ -189,7 +197,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     members = durable(dealt.join(heads, "key"))
     star = members.where("fp <> head").select(*_pair("fp", "head"))
     pairs = durable(star.union(close_prints(nodes)).distinct())
-    sets = durable(shingle_sets(docs, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
+    sets = durable(shingle_sets(docs, durable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())))
     found = durable(similar(pairs, sets))
     root = connected(found).select(F.col("node").alias("fp"), F.col("root").alias("to"))
     known = durable(members.join(root, "fp", "left").select("key", "fp", F.coalesce("to", "fp").alias("r")))

@@ -62,3 +62,10 @@ def test_members_not_like_the_head_meet_the_others(spark):
         words[(37 * i) % 100] = f"x{rng.randrange(10**6)}"
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.doc_id for r in nearcopies.keep_first(docs).collect()) == brute_kept(rows) == [0]
+
+
+def test_sets_are_the_same_by_either_join(spark):
+    docs = spark.createDataFrame([(i, f"some text of words number {i % 7} " + "and more " * (i % 3)) for i in range(60)], SCHEMA)
+    marked = nearcopies.marks(docs).select("fp").distinct()
+    sent, met = (sorted(map(tuple, nearcopies.shingle_sets(docs, marked, most).collect())) for most in (1000, 1))
+    assert sent == met and len(sent) == 21
