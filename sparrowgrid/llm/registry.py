@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe
+from .centroids import ORACLE as CLUSTER_SQL
+from .centroids import centroid_clusters
 from .decontam import decontaminate
 from .htmlmain import html_extraction
 from .kdsearch import ORACLE as SEARCH_SQL
@@ -14,6 +16,7 @@ from .kdsearch import exact_search
 from .kdshard import kd_sharding
 from .langid import language_id
 from .simhash import simhash_dedup
+from .tokencount import token_counts
 from .toxicity import toxicity
 from .urlgraph import ORACLE as URL_SQL
 from .urlgraph import url_filter
@@ -32,8 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kd_sharding": kd_sharding,
         "op9_html_extraction": html_extraction,
         "op10_toxicity": toxicity,
+        "op12_token_counts": token_counts,
+        "op13_centroid_clusters": centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_search": SEARCH_SQL, "op6_url_filter": URL_SQL}
+    return {"op4_exact_search": SEARCH_SQL, "op6_url_filter": URL_SQL, "op13_centroid_clusters": CLUSTER_SQL}
