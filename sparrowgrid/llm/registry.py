@@ -16,6 +16,7 @@ from .kdsearch import exact_search
 from .kdshard import kd_sharding
 from .langid import language_id
 from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .tokencount import token_counts
 from .toxicity import toxicity
 from .urlgraph import ORACLE as URL_SQL
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kd_sharding": kd_sharding,
         "op9_html_extraction": html_extraction,
         "op10_toxicity": toxicity,
+        "op11_spelling_variants": spelling_variants,
         "op12_token_counts": token_counts,
         "op13_centroid_clusters": centroid_clusters,
     }
