@@ -14,7 +14,10 @@ A class counts if all its parts are such names or words of place (``site-header`
 ``comment-list``), so ``has-sidebar`` and ``social-science`` do not. A header inside
 an article belongs to it. Where boilerplate has an article, a main or a top heading
 inside and most of the page's text, or where nothing else has text, it is taken for
-the page's frame (a form around the whole page) and forgiven.
+the page's frame (a form around the whole page) and forgiven; so is what only its
+class or id calls boilerplate, other than comments, where what else the page has is
+next to nothing (a page on cookies in a box of that name). A header beside
+paragraphs is their headline; a button inside a sentence is part of it.
 
 Blocks keep page order and are joined by a line feed; character references are
 decoded, white space (no-break spaces included) becomes one blank, <br> is a blank.
@@ -71,7 +74,11 @@ ENDED_BY = {
 }
 #: Elements whose content is no markup.
 RAW = frozenset("script style noscript template textarea svg math title iframe".split())
+#: Names of boilerplate that are never forgiven by size.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 FRAME = 0.5
+#: Next to nothing: so small a share of a page's text, without a block of so many words, a heading, an article or a main.
+SCRAP, SENTENCE = 0.2, 8
 
 #: A tag whose quoted values hold no angle brackets; others are read by ``_end_of_tag``.
 _PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*)>""")
@@ -91,8 +98,11 @@ def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
         m = _PLAIN_TAG.match(source, begin)
         if m is None:
             if source.startswith("<!--", begin):
-                end = source.find("-->", begin + 4)
-                at = n if end < 0 else end + 3
+                if source.startswith((">", "->"), begin + 4):  # ends at once
+                    at = source.index(">", begin) + 1
+                else:
+                    end = source.find("-->", begin + 4)
+                    at = n if end < 0 else end + 3
                 yield begin, at, "", False, ""
                 continue
             if source.startswith(("<!", "<?"), begin):
@@ -136,13 +146,13 @@ def step_of(name: str, attributes: str) -> str:
     return out
 
 
-def _called_boilerplate(value: str) -> bool:
-    """Whether one of the names in a class or id is boilerplate's."""
+def _called_boilerplate(value: str) -> str:
+    """Whether one of the names in a class or id is boilerplate's: "", "named", or "comment"."""
     for token in value.split():
         parts = [x.lower() for x in _NAME.findall(token)]
         if any(x in BOILERPLATE_NAMES for x in parts) and all(x in BOILERPLATE_NAMES or x in BESIDE_NAMES for x in parts):
-            return True
-    return False
+            return "comment" if any(x in COMMENT_NAMES for x in parts) else "named"
+    return ""
 
 
 class Page:
@@ -150,10 +160,10 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.step, self.path_key = [""], [-1], [""], [hash(())]
-        self.own_noise, self.noise = [False], [False]
+        self.own_noise, self.noise, self.by_name = [False], [False], [False]
         self.blocks: list[tuple[str, int, int]] = []
         self._parts: list[str] = []
-        self._linked = 0
+        self._linked, self._bare = 0, True
         self._read(source)
         self._settle_noise()
 
@@ -161,10 +171,10 @@ class Page:
         stack, at = [0], 0
         open_, held = defaultdict(int), defaultdict(int)  # how many of each name are open: blocks, and elements inside the block
         inline: list[str] = []
-        links = skipped = 0
+        links = skipped = pressed = 0
         for begin, end, name, closes, attributes in tags(source):
             if begin > at and not skipped:
-                self._text(source[at:begin], links)
+                self._text(source[at:begin], links, pressed)
             at = end
             if not name:
                 continue
@@ -173,7 +183,7 @@ class Page:
                     continue
                 self._flush(stack[-1])
                 if inline:
-                    inline, held, links, skipped = [], defaultdict(int), 0, 0
+                    inline, held, links, skipped, pressed = [], defaultdict(int), 0, 0, 0
                 if closes:
                     while (last := self.tag[stack.pop()]) != name:
                         open_[last] -= 1
@@ -191,41 +201,50 @@ class Page:
                 elif name not in VOID and not (name in SKIPPED and attributes.rstrip().endswith("/")):
                     held[name] += 1
                     links += name == "a"
-                    skipped += name in SKIPPED
+                    pressed += name == "button"
+                    skipped += self._hides(name, stack[-1])
                     inline.append(name)
             elif held[name]:
                 while True:
                     last = inline.pop()
                     held[last] -= 1
                     links -= last == "a"
-                    skipped -= last in SKIPPED
+                    pressed -= last == "button"
+                    skipped -= self._hides(last, stack[-1])
                     if last == name:
                         break
         if at < len(source) and not skipped:
-            self._text(source[at:], links)
+            self._text(source[at:], links, pressed)
         self._flush(stack[-1])
 
-    def _text(self, raw: str, links: int) -> None:
+    def _hides(self, name: str, element: int) -> bool:
+        """Whether an inline element's content is left out; a paragraph may name a button."""
+        return name in SKIPPED and not (name == "button" and self.tag[element] == "p")
+
+    def _text(self, raw: str, links: int, pressed: int) -> None:
         text = unescape(raw) if "&" in raw else raw
         self._parts.append(text)
         if links:
             self._linked += len(text)
+        if self._bare and not pressed and not text.isspace():
+            self._bare = False
 
     def _flush(self, element: int) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
-            if text:
+            if text and not self._bare:  # a block of buttons only is none
                 self.blocks.append((text, element, self._linked))
-            self._parts, self._linked = [], 0
+            self._parts, self._linked, self._bare = [], 0, True
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
-        noise, step = name in BOILERPLATE_TAGS, name
+        noise, step, called = name in BOILERPLATE_TAGS, name, ""
         if "=" in attributes or "hidden" in attributes:
             step = step_of(name, attributes)
             for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    noise = noise or (name not in ("article", "main") and _called_boilerplate(value))
+                    if name not in ("article", "main"):
+                        called = max(called, _called_boilerplate(value), key=("", "named", "comment").index)
                 elif key == "role":
                     noise = noise or value.lower() in BOILERPLATE_ROLES
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
@@ -234,7 +253,8 @@ class Page:
         self.parent.append(parent)
         self.step.append(step if name != "html" else "")
         self.path_key.append(self.path_key[parent] if name == "html" else hash((self.path_key[parent], step)))
-        self.own_noise.append(noise and name not in ("html", "body"))
+        self.own_noise.append((noise or called != "") and name not in ("html", "body"))
+        self.by_name.append(called == "named" and not noise)
         return len(self.tag) - 1
 
     def _settle_noise(self) -> None:
@@ -258,16 +278,32 @@ class Page:
             if frames[k]:
                 holds[parent[k]] = True
         self.noise = list(self.own_noise)
+        said = [False] * n  # whether a paragraph stands right below
+        for _, element, _ in self.blocks:
+            if tag[element] == "p":
+                said[parent[element]] = True
+        headed = {parent[element] for _, element, _ in self.blocks if tag[element] in ("h1", "h2")}
         for k in range(1, n):
-            if self.own_noise[k] and ((holds[k] and size[k] >= FRAME * size[0]) or (tag[k] == "header" and inside[k])):
+            headline = tag[k] == "header" and (inside[k] or (k in headed and said[parent[k]] and tag[parent[k]] not in ("", "html", "body")))
+            if self.own_noise[k] and ((holds[k] and size[k] >= FRAME * size[0]) or headline):
                 self.own_noise[k] = self.noise[k] = False
             if self.noise[parent[k]]:
                 self.noise[k] = True
-        if self.blocks and all(self.noise[element] for _, element, _ in self.blocks):
+        clean = [(text, element) for text, element, _ in self.blocks if not self.noise[element]]
+        if self.blocks and not clean:
             # All is boilerplate: a form or a notice that has the most of it frames the page.
-            for k in range(1, n):
-                own = self.own_noise[k] and not (tag[k] not in ("nav", "menu", "footer") and size[k] >= FRAME * size[0])
-                self.noise[k] = own or self.noise[parent[k]]
+            self._forgive([self.own_noise[k] and tag[k] not in ("nav", "menu", "footer") and size[k] >= FRAME * size[0] for k in range(n)])
+        elif sum(len(text) for text, _ in clean) < SCRAP * size[0] and not any(text.count(" ") + 1 >= SENTENCE or tag[k] in HEADINGS or self._framed(k) for text, k in clean):
+            self._forgive([self.by_name[k] and said[k] and size[k] >= FRAME * size[0] for k in range(n)])
+
+    def _framed(self, k: int) -> bool:
+        """Whether an article or main is around an element."""
+        return any(self.tag[x] in ("article", "main") for x in (k, *self._ancestors(k)))
+
+    def _forgive(self, frames: list[bool]) -> None:
+        """Boilerplate anew, but for what is taken for the page's frame."""
+        for k in range(1, len(self.tag)):
+            self.noise[k] = (self.own_noise[k] and not frames[k]) or self.noise[self.parent[k]]
 
     def path_of(self, k: int) -> str:
         """The generalised path of an element."""

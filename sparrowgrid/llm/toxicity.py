@@ -11,9 +11,10 @@ A text is scored by the highest of its windows (``window`` words, every half
 window), so that a long text does not dilute a short insult. The whole text
 counts, at any length.
 
-Edge cases: a null or empty text, or one without words, gets the score of the
-empty bag (the softmax of the bias alone); repeated rows are scored alike; with
-no labelled rows at all, or with one class only, the model is the class share.
+Edge cases: a null or empty text, or one without words, can hold no insult: its
+score is the toxic share of the rows learned from, but at most ``WORDLESS``, whatever
+the softmax's bias. Repeated rows are scored alike. With no labelled rows at all, or
+with one class only, the model is the class share.
 The training rows are a sample bounded by ``per_class`` rows, in the order of a
 hash of doc_id, and ``max_bytes`` of text (see ``sampling.within_bytes``: a long
 text costs its own place only, and both classes keep some).
@@ -34,6 +35,8 @@ from . import textops as tx
 from .sampling import counts_of, least_of_each, opened, share_of, shared, texts_of, train_in_task, within_bytes
 
 NGRAMS = (3, 4, 5)
+#: The most that a text without words can score.
+WORDLESS = 0.25
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
 
@@ -47,8 +50,8 @@ class Settings:
     epochs: int = 8
     batch_bytes: int = 1 << 20
     rate: float = 0.5
-    rare: float = 10.0
-    toxic_weight: float = 10.0
+    rare: float = 100.0
+    toxic_weight: float = 1.0
     seed: int = 7
     folds: int = 5
     held_out_fold: int = 0
@@ -56,11 +59,12 @@ class Settings:
 
 @dataclass
 class Model:
-    """Per bucket the embedding's projection on the softmax's class difference, and its bias."""
+    """Per bucket the embedding's projection on the softmax's class difference, its bias, and the toxic share of what was learned from."""
 
     scalars: np.ndarray
     bias: float
     settings: Settings = field(default_factory=Settings)
+    share: float = 0.0
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(logits, -40, 40)))
@@ -111,7 +115,7 @@ def _windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:
     raw, offsets = tx.buffers(column)
-    out = np.full(len(column), model.probability(np.array([model.bias]))[0])
+    out = np.full(len(column), min(model.share, WORDLESS))
     for i, j in tx.groups(offsets):
         text, starts = tx.padded(raw, offsets, i, j)
         begins, ends = tx.word_spans(text)
@@ -134,7 +138,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(s.buckets), float(np.log(share / (1 - share))), s)
+        return Model(np.zeros(s.buckets), float(np.log(share / (1 - share))), s, share)
     order = np.random.default_rng(s.seed).permutation(len(texts))
     y = y[order]
     raw, offsets = tx.buffers(pa.array([texts[k] for k in order], pa.large_string()))
@@ -165,7 +169,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
             soft -= s.rate * d_soft / np.sqrt(sq_soft)
             sq_bias += d_bias * d_bias
             bias -= s.rate * d_bias / np.sqrt(sq_bias)
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), s)
+    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), s, float(y.mean()))
 
 
 class _Batch:
@@ -235,12 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     some = share_of(marked, "toxic", counts_of(marked, "toxic"), s.per_class)  # a bounded number of ids, so it may be sent to all tasks
     chosen = within_bytes(least_of_each(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "toxic", s.per_class), s.max_bytes)
 
-    def learn(sample: list[dict]) -> tuple[np.ndarray, float]:
+    def learn(sample: list[dict]) -> tuple[np.ndarray, float, float]:
         sample.sort(key=lambda r: (r["doc_id"], r["text"]))
         model = train([r["text"] for r in sample], np.array([r["label"] for r in sample]), s)
-        return model.scalars, model.bias
+        return model.scalars, model.bias, model.share
 
-    return Model(*train_in_task(texts_of(docs, chosen), learn), s)
+    scalars, bias, share = train_in_task(texts_of(docs, chosen), learn)
+    return Model(scalars, bias, s, share)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -31,7 +31,8 @@ from .components import durable
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 DAMPING, TOLERANCE, ROUNDS, THRESHOLD = 0.85, 1e-6, 120, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""<a(?:rea)?\s[^>]*href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: A link's host; one tag is looked at once, up to the next angle bracket, so time is in proportion to the page.
+LINK = r"""<a(?:rea)?\s[^<>]*href\s*=\s*(?:["']\s*)?(?:https?:)?//([^/?#"'\s<>]+)"""
 #: User info and port, which no node's name holds.
 BESIDE_HOST = r"^[^@]*@|:\d*$"
 

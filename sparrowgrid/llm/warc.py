@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .htmlmain import Page
+from .htmlmain import Page, tags
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
 EPOCH = "1970-01-01T00:00:00Z"
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\slang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\s", re.I)
+_LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([\w-]+)""", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_END_TITLE = re.compile(r"</title", re.I)
 MOST_BODY = 256 << 20
 
 
@@ -157,6 +157,25 @@ def _text(content_type: str, body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
+def facts(markup: str) -> tuple[str | None, str | None, int]:
+    """Title, language of the html element, and number of links of a page; None what it lacks. Linear in the page."""
+    title = language = None
+    links = 0
+    for begin, end, name, closes, attributes in tags(markup):
+        if not name:
+            if title is None and _TITLE.match(markup, begin) and (to := markup.find(">", begin, end) + 1):
+                ended = _END_TITLE.search(markup, to, end)
+                if ended:
+                    title = " ".join(unescape(markup[to : ended.start()]).split())
+        elif closes:
+            continue
+        elif name == "html" and language is None and (m := _LANG.search(attributes)):
+            language = m[1]
+        elif name == "a" and attributes:
+            links += 1
+    return title, language, links
+
+
 def derive(source: Record) -> list[Record]:
     """The metadata record of a response, and its conversion record if it holds HTML or text."""
     status, headers, raw, body = http_parts(source.block)
@@ -170,11 +189,12 @@ def derive(source: Record) -> list[Record]:
     if kind in ("text/html", "application/xhtml+xml", ""):
         markup = _text(named.get("content-type", ""), body)
         text = Page(markup).visible_text()
-        if m := _TITLE.search(markup):
-            fields.append(("title", " ".join(unescape(m[1]).split())))
-        if m := _LANG.search(markup):
-            fields.append(("language", m[1]))
-        fields.append(("outlinks", str(len(_LINK.findall(markup)))))
+        title, language, links = facts(markup)
+        if title is not None:
+            fields.append(("title", title))
+        if language is not None:
+            fields.append(("language", language))
+        fields.append(("outlinks", str(links)))
     elif kind.startswith("text/"):
         text = _text(named.get("content-type", ""), body)
     if text is not None:
@@ -231,41 +251,108 @@ def write_warc(made: DataFrame, path: str) -> None:
 
 #: What stands between records.
 BETWEEN = b"\r\n\r\nWARC/"
+_HEAD = re.compile(rb"WARC/\d+\.\d+\r?\n(?:[A-Za-z][\w-]*[ \t]*:[^\n]*\n(?:[ \t][^\n]*\n)*)+\r?\n")
+_LENGTH = re.compile(rb"^content-length[ \t]*:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
+_TYPE = re.compile(rb"^warc-type[ \t]*:", re.I | re.M)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers (map) and block (binary) of every record of the WARC files at ``path``, plain or gzipped.
+    """headers (map), block (binary) and broken of every record of the WARC files at ``path``, plain or gzipped.
 
     Files are read as lines that end where a record does, so a task holds one record
     at a time. A block that holds such an end itself is put together again by its
-    declared length, as far as its split goes.
+    declared length, as far as its split goes. Where something that reads like a
+    record's head (its version, WARC-Type and Content-Length) stands inside a block
+    that the rest of the split cannot fill, the length is held to be wrong: the block
+    ends there, the record is marked ``broken``, and reading starts anew at that head.
+    So one wrong length costs no other record. A head inside a block that does fill
+    its length belongs to the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = b""
+        open_ = Pieces()
         for b in batches:
             for piece in b.column(0):
-                held, done = _gathered(held, piece.as_py())
-                yield from map(_row, done)
-        if held:
-            yield from map(_row, records(held))
+                yield from (_row(r, broken) for r, broken in open_.add(piece.as_py()))
+        yield from (_row(r, broken) for r, broken in open_.rest())
 
     pieces = spark.read.option("lineSep", BETWEEN.decode()).text(path).select(F.col("value").cast("binary").alias("piece"))
-    return pieces.mapInArrow(run, "headers map<string,string>, block binary")
+    return pieces.mapInArrow(run, "headers map<string,string>, block binary, broken boolean")
+
+
+class Pieces:
+    """Pieces of a split that make up records: one waits until its declared length is there."""
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []
+        self.size = self.wanted = 0
+
+    def add(self, piece: bytes) -> Iterator[tuple[Record, bool]]:
+        """The record that ends with ``piece``, if one does."""
+        if self.held:
+            self.held.append(BETWEEN + piece)
+            self.size += len(self.held[-1])
+        else:
+            whole = b"WARC/" + piece.removeprefix(b"WARC/")
+            if (wanted := _wanted(whole)) is None:
+                return
+            self.held, self.size, self.wanted = [whole], len(whole), wanted
+        if self.size >= self.wanted:
+            yield _joined(self.held, self.wanted)
+            self.held = []
+
+    def rest(self) -> Iterator[tuple[Record, bool]]:
+        """What the end of the split leaves open: records that it cannot fill end at the next head."""
+        held, at = self.held, 0
+        left = sum(map(len, held))
+        while at < len(held):
+            wanted, to, size = _wanted(_piece(held, at)), at + 1, len(_piece(held, at))
+            if wanted is None or wanted > left:
+                while to < len(held) and not _starts(_piece(held, to)):
+                    size += len(held[to])
+                    to += 1
+            else:
+                while size < wanted and to < len(held):
+                    size += len(held[to])
+                    to += 1
+            yield _joined([_piece(held, at), *held[at + 1 : to]], wanted)
+            left -= sum(map(len, held[at:to]))
+            at = to
+        self.held = []
+
+
+def _piece(held: list[bytes], k: int) -> bytes:
+    """A piece as the beginning of a record."""
+    return held[k].removeprefix(BETWEEN[:4])
+
+
+def _wanted(whole: bytes) -> int | None:
+    """The bytes of a record that begins so; None if it does not begin like one."""
+    head = _HEAD.match(whole)
+    if not head:
+        return None
+    named = _LENGTH.search(head[0])
+    return head.end() + int(named[1] if named else 0)
+
+
+def _joined(pieces: list[bytes], wanted: int | None) -> tuple[Record, bool]:
+    """A record of all bytes of ``pieces``, and whether its length is wrong."""
+    whole = b"".join(pieces)
+    own = next(records(whole))
+    at = _HEAD.match(whole).end()
+    if wanted is not None and len(whole) >= wanted and not whole[wanted:].strip(b"\r\n"):
+        return own, False
+    own.block = whole[at:]
+    return own, True
 
 
-def _gathered(held: bytes, piece: bytes) -> tuple[bytes, list[Record]]:
-    """What is still open after ``piece``, and the records that end with it."""
-    whole = held + BETWEEN + piece if held else b"WARC/" + piece.removeprefix(b"WARC/")
-    own = next(records(whole), None)
-    size = own.get("Content-Length", "0") if own else "0"
-    if own is None or (size.isdigit() and len(own.block) < int(size)):
-        return (whole, []) if own else (b"", [])
-    return b"", [own]
+def _starts(piece: bytes) -> bool:
+    head = _HEAD.match(piece)
+    return bool(head and _LENGTH.search(head[0]) and _TYPE.search(head[0]))
 
 
-def _row(r: Record) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.headers], pa.map_(pa.string(), pa.string())), pa.array([r.block], pa.binary())], ["headers", "block"])
+def _row(r: Record, broken: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.headers], pa.map_(pa.string(), pa.string())), pa.array([r.block], pa.binary()), pa.array([broken])], ["headers", "block", "broken"])
 
 
 def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

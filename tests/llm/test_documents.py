@@ -55,6 +55,17 @@ def toxic_model():
     return toxicity.train(texts, np.array(y), toxicity.Settings(buckets=1 << 14, epochs=12))
 
 
+@pytest.mark.parametrize("bias", [-3.0, 0.0, 3.0])
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_texts_without_words_are_not_toxic(spark, toxic_model, bias, share):
+    """Whatever the sign of the softmax's bias, and in the pipeline's stage too."""
+    model = toxicity.Model(toxic_model.scalars, bias, toxic_model.settings, share)
+    empty = spark.createDataFrame(rows([None, "", "   ", "?!", "\n\t", "--- ..."]), SCHEMA)
+    got = toxicity.score_documents(empty, model).collect()
+    assert {r.predicted for r in got} == {0} and {r.score for r in got} == {min(share, toxicity.WORDLESS)}
+    assert toxicity.keep_clean(empty, model).count() == 6
+
+
 def test_toxicity_finds_insults_misspellings_and_long_texts(toxic_model):
     rng = random.Random(2)
     clean = [english(rng, 60) for _ in range(40)]

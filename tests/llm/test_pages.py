@@ -164,9 +164,57 @@ def test_votes_match_a_counter(spark):
     assert got == want and len(set(want.values())) > 1
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<body><div class="cookie"><h2>Cookie recipe</h2><p>Mix the flour and the sugar, then bake it all for an hour.</p></div><p>Copyright 2020</p>', "Cookie recipe\nMix the flour and the sugar, then bake it all for an hour."),
+        ('<body><p>x</p><div class="discussion"><h2>Topic</h2><p>topic that is discussed here by all of them at great length</p></div>', "Topic\ntopic that is discussed here by all of them at great length"),
+        ('<body><nav>a b</nav><div class="post"><header><h1>Headline</h1></header><p>Text of the post goes here.</p></div>', "Headline\nText of the post goes here."),
+        ("<p>Press <button>OK</button> now</p><p><button>Share</button></p><button>Go</button>", "Press OK now"),
+        ("<!--><p>Hello", "Hello"),
+        ("<!---><p>Hello", "Hello"),
+        # what stays boilerplate
+        ('<body><div class="wrap"><header><h1>Site</h1></header><div><p>Real text of the page is here.</p></div></div>', "Real text of the page is here."),
+        ('<body><p>Photo of the day</p><div class="comments"><p>' + "I like this photo very much. " * 20 + "</p></div>", "Photo of the day"),
+        ('<body><h2>Photo of the day</h2><div class="related"><p>' + "Another page that is not this one. " * 20 + "</p></div>", "Photo of the day"),
+    ],
+)
+def test_names_of_boilerplate_cost_no_article(html, want):
+    assert htmlmain.Page(html).main_text(None) == want
+
+
+@pytest.mark.parametrize("piece", ["<title>", "<title", "<html ", "<a ", "<p><button>", "<!--", "<header>", "<a href=", "<a href=' "])
+def test_pages_of_one_piece_take_linear_time(spark, piece):
+    page = piece * (400_000 // len(piece))
+    began = time.perf_counter()
+    warc.facts(page)
+    htmlmain.Page(page)
+    assert time.perf_counter() - began < 3
+    one = spark.createDataFrame([("a", page), ("a", "<a href=x" + " " * 200_000)], "node string, html string")
+    began = time.perf_counter()
+    assert urlgraph.host_links(one).count() == 0
+    assert time.perf_counter() - began < 15
+
+
 # warc
 
 
+def test_wrong_lengths_cost_no_other_record(spark, tmp_path):
+    sound = [warc.response(f"u{k}", b"payload %d" % k, str(k)) for k in range(8)]
+
+    def with_length(r, n):
+        return warc.Record([(k, str(n) if k == "Content-Length" else v) for k, v in r.headers], r.block).to_bytes()
+
+    for wrong, n in ((0, 10**9), (3, 10**6), (7, 5000), (4, 3), (5, 0)):
+        (tmp_path / f"{wrong}-{n}.warc").write_bytes(b"".join(with_length(r, n) if k == wrong else r.to_bytes() for k, r in enumerate(sound)))
+        got = warc.read_warc(spark, str(tmp_path / f"{wrong}-{n}.warc")).collect()
+        assert sorted(bytes(r.block) for r in got if not r.broken) == sorted(r.block for k, r in enumerate(sound) if k != wrong)
+        assert [bytes(r.block).rstrip(b"\r\n") for r in got if r.broken] == [sound[wrong].block]
+    made = [with_length(r, 10**9) for r in sound] * 300
+    (tmp_path / "all.warc").write_bytes(b"".join(made))
+    assert warc.read_warc(spark, str(tmp_path / "all.warc")).where("broken").count() == len(made)
+
+
 def test_derivatives_refer_to_their_response(spark, pages, none):
     got = warc.derivatives(pages).collect()
     assert collections.Counter(r.warc_type for r in got) == {"metadata": len(PAGES), "conversion": len(PAGES)}

@@ -1,6 +1,8 @@
 """Learning samples with one text longer than their bound."""
 
+import io
 import os
+import pickle
 import random
 import subprocess
 import sys
@@ -10,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyspark
 import pytest
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import langid, textops, toxicity
+from sparrowgrid.llm import bpe, centroids, decontam, langid, simhash, spelling, textops, tokencount, toxicity, warc
 
 WORDS = {0: "the and of with from this", 1: "le la les avec pour dans"}
 
@@ -87,24 +90,62 @@ def test_training_matches_a_plain_loop():
     assert got.scalars == pytest.approx(table @ (soft[:, 1] - soft[:, 0]), abs=1e-3) and got.bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
 
 
-def test_workers_need_no_copy_of_the_package(tmp_path):
-    """Executors of another folder, with the libraries but without the package."""
-    code = """
-import sys, os
-sys.path.insert(0, sys.argv[1])
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", "").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
-from sparrowgrid.llm import bpe, decontam, langid, simhash, toxicity
-rows = [(i, ("the and of " if i % 2 else "le la les ") * 9 + ("stupid" if i % 5 == 2 else "good"), "en" if i % 2 else "fr", int(i % 5 == 2)) for i in range(60)]
-docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
-assert langid.identify(docs, langid.fit(docs)).where("lang_pred <> 'und'").count() == 60
-assert toxicity.score_documents(docs, toxicity.fit(docs, docs)).count() == 60
-assert decontam.find_leaks(docs, spark.createDataFrame([(1, "the and of the and of the and of the and of")], "item_id long, text string")).count() > 0
-assert bpe.encode_documents(docs, bpe.vocabulary_path()).count() == 60 and simhash.near_duplicates(docs).count() == 60
-print("DONE")
+ALONE = """
+import io, sys, pickle
+import pyarrow as pa
+from pyspark.serializers import CPickleSerializer
+work, sent, batch = (open(p, "rb").read() for p in sys.argv[1:4])
+import pyspark.core.broadcast as b
+values = pickle.loads(sent)
+for k, v in values.items():
+    own = b.Broadcast.__new__(b.Broadcast)
+    own._value, own._jbroadcast, own._sc, own._python_broadcast, own._path = v, None, None, None, None
+    b._broadcastRegistry[k] = own
+f = CPickleSerializer().loads(work)
+f = f[0] if isinstance(f, tuple) else f
+rows = sum(x.num_rows for x in f(iter(pa.ipc.open_stream(batch))))
+assert not any(m.split(".")[0] == "sparrowgrid" and getattr(v, "__file__", None) for m, v in sys.modules.items())
+print("ROWS", rows)
 """
-    root = str(Path(toxicity.__file__).parents[2])
-    (tmp_path / "code.py").write_text(code)
-    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(Path(pyspark.__file__).parent)}
-    done = subprocess.run([sys.executable, str(tmp_path / "code.py"), root, str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
-    assert done.stdout.endswith("DONE\n"), done.stderr[-3000:]
+
+
+def test_workers_need_no_copy_of_the_package(spark, tmp_path, monkeypatch):
+    """Each operator's task function and what is broadcast to it, opened by a plain Python whose path lacks the package."""
+    taken = []
+    kind = type(spark.range(0))
+    whole = kind.mapInArrow
+
+    def watched(self, func, schema, *more, **named):
+        taken.append((self.limit(5), func))
+        return whole(self, func, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    rows = [(i, ("the and of " if i % 2 else "le la les ") * 9 + ("stupid" if i % 5 == 2 else "good"), "en" if i % 2 else "fr", int(i % 5 == 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    langid.identify(docs, langid.fit(docs))
+    toxicity.score_documents(docs, toxicity.fit(docs, docs))
+    decontam.find_leaks(docs, spark.createDataFrame([(1, "the and of the and of the and of the and of")], "item_id long, text string"))
+    bpe.encode_documents(docs, bpe.vocabulary_path())
+    simhash.near_duplicates(docs)
+    tokencount.count_tokens(docs, tokencount.vocabulary_path())
+    spelling.variants(docs)
+    centroids.cluster(vectors, k=2, rounds=1, dim=2)
+    warc.derivatives(spark.createDataFrame([(1, "http://a", "<p>x")], "page_id long, url string, html string"))
+    assert len(taken) >= 10
+    (tmp_path / "alone.py").write_text(ALONE)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(Path(pyspark.__file__).parent.parent)}
+    for k, (some, func) in enumerate(taken):
+        sent = spark.sparkContext._pickled_broadcast_vars
+        sent.clear()
+        work = CloudPickleSerializer().dumps(func)
+        values = {b._jbroadcast.id(): b.value for b in sent}
+        sent.clear()
+        rows, sink = some.toArrow(), io.BytesIO()
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_table(rows)
+        for name, data in (("work", work), ("sent", pickle.dumps(values)), ("batch", sink.getvalue())):
+            (tmp_path / f"{name}{k}").write_bytes(data)
+    for k in range(len(taken)):
+        done = subprocess.run([sys.executable, "alone.py", f"work{k}", f"sent{k}", f"batch{k}"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=100)
+        assert done.stdout.startswith("ROWS"), (k, done.stderr[-3000:])
