@@ -50,8 +50,8 @@ class Settings:
     epochs: int = 8
     batch_bytes: int = 1 << 20
     rate: float = 0.5
-    rare: float = 100.0
-    toxic_weight: float = 1.0
+    rare: float = 30.0
+    toxic_weight: float = 2.0
     seed: int = 7
     folds: int = 5
     held_out_fold: int = 0
