@@ -31,6 +31,15 @@ def byte_string(s: Column) -> Column:
     return F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
 
 
+def letter_runs(s: Column | str, n: int) -> Column:
+    """All runs of n letters, in order. Letters are split once and laid beside each other, so time is in proportion to the text."""
+    letters = F.filter(F.split(s, ""), lambda x: x != "")
+    out = letters
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(letters, F.lit(k + 1), F.length(s)), lambda a, b: F.concat(a, b))
+    return F.array_compact(out)
+
+
 def byte_levenshtein(a: Column, b: Column) -> Column:
     """Edit distance over bytes; 99 if a side has more than 24 bytes."""
     long = (F.octet_length(a) > MAX_EDIT_BYTES) | (F.octet_length(b) > MAX_EDIT_BYTES)

@@ -15,14 +15,19 @@ from .lookup import bounded
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """(ord, en, bn) of every data line: blank lines and a leading header go, a byte order mark is stripped."""
-    some = lines.select("ord", tf.trim_space(F.col("line")).alias("line")).where("line <> ''")
-    fields = some.select("ord", tf.split_fields(tf.strip_bom(F.col("line"))).alias("f"))
+    """(ord, en, bn) of every data line: blank lines and a leading header go, a byte order mark is stripped.
+
+    With a column ``file`` each file has a header of its own; file names are as many
+    as the files of one import.
+    """
+    of = ["file"] if "file" in lines.columns else []
+    some = lines.select(*of, "ord", tf.trim_space(F.col("line")).alias("line")).where("line <> ''")
+    fields = some.select(*of, "ord", tf.split_fields(tf.strip_bom(F.col("line"))).alias("f"))
     en, bn = tf.import_pair(F.col("f"))
-    rows = fields.select("ord", en.alias("en"), bn.alias("bn"))
-    first = F.broadcast(some.agg(F.min("ord").alias("__first")))  # one row
+    rows = fields.select(*of, "ord", en.alias("en"), bn.alias("bn"))
+    first = F.broadcast(some.groupBy(*of).agg(F.min("ord").alias("__first")))  # one row a file
     header = (F.col("ord") == F.col("__first")) & tf.ascii_lower(F.col("en")).isin(*tf.HEADER_WORDS)
-    return rows.join(first, F.lit(True)).where(~header).select("ord", "en", "bn")
+    return rows.join(first, of or F.lit(True)).where(~header).select("ord", "en", "bn")
 
 
 def route(rows: DataFrame, learned: DataFrame, dictionary: DataFrame, capacity: int = 2000) -> DataFrame:

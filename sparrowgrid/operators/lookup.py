@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tf
+from .simjoin import most_similar
 
 STORE_ROWS, STORE_BYTES, SCAN_ROWS = 200_000, 32 << 20, 2_000
 
@@ -47,13 +48,30 @@ def scan_learned(queries: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def meetings(queries: DataFrame, words: DataFrame) -> DataFrame:
-    """``queries`` (ql) and ``words`` (en), both distinct -> pairs of which one begins with or holds the other, or that are two edits apart at most."""
-    spans = lambda c, first: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(c, F.lit(1), n) if first else n)
-    heads = queries.select("ql", F.explode(F.array_distinct(spans("ql", True))).alias("en"))
-    holds = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("en") + 1), lambda at: F.transform(F.sequence(F.lit(0), F.length("en") - at + 1), lambda n: F.substring("en", at, n)))))
-    inside = words.select("en", F.explode(holds).alias("ql"))
-    near = close_words(queries.select(F.col("ql").alias("a")), words.select(F.col("en").alias("b"))).select(F.col("a").alias("ql"), F.col("b").alias("en"))
-    return heads.join(words, "en").select("ql", "en").union(inside.join(queries, "ql").select("ql", "en")).union(near).distinct()
+    """``queries`` (ql) and ``words`` (en), both distinct -> pairs of which one begins with or holds the other, or that are two edits apart at most.
+
+    Work grows with the letters of both sides, not with their pairs or squares: a
+    query's beginnings are taken at the lengths that words have; a query inside a
+    word is met by its rarest run of three letters (or by itself, if shorter); edits
+    are looked for between words short enough to score by them.
+    """
+    lengths = sorted(r[0] for r in words.select(F.length("en").alias("n")).distinct().collect() if r[0] is not None)  # few: n lengths take n * n / 2 letters
+    if not lengths:
+        return queries.select("ql", F.lit("").alias("en")).limit(0)
+    at = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("ql"))
+    heads = queries.select("ql", F.explode(F.transform(at, lambda n: F.substring("ql", F.lit(1), n))).alias("en")).join(words, "en").select("ql", "en")
+    empty = words.join(F.broadcast(queries.where("ql = ''").limit(1)), F.lit(True)).select("ql", "en")  # one row at most
+
+    able = queries.where((F.length("ql") > 0) & (F.length("ql") <= lengths[-1]))
+    held = words.select("en", F.explode(F.array_distinct(F.flatten(F.array(*(tf.letter_runs("en", n) for n in (1, 2, 3)))))).alias("gram"))
+    often = held.where("length(gram) = 3").groupBy("gram").agg(F.count("*").alias("df"))
+    asked = able.where("length(ql) >= 3").select("ql", F.explode(F.array_distinct(tf.letter_runs("ql", 3))).alias("gram"))
+    rarest = asked.join(often, "gram").groupBy("ql").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inside = rarest.unionByName(able.where("length(ql) < 3").select("ql", F.col("ql").alias("gram"))).join(held, "gram").where(F.contains("en", "ql")).select("ql", "en")
+
+    short = lambda df, c, name: df.where(F.octet_length(c) <= tf.MAX_EDIT_BYTES).select(F.col(c).alias(name))
+    near = close_words(short(queries, "ql", "a"), short(words, "en", "b")).select(F.col("a").alias("ql"), F.col("b").alias("en"))
+    return heads.union(empty).union(inside).union(near).distinct()
 
 
 def top_learned(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
@@ -84,23 +102,14 @@ def fts_bm25(queries: DataFrame, dictionary: DataFrame, k1: float = 1.2, b: floa
     return q.join(tf_, "t").join(df, "t").join(length, "no").join(F.broadcast(whole), F.lit(True)).groupBy("qid", "no").agg(F.sum(part).alias("bm25"))
 
 
-def fuzzy_scan(queries: DataFrame, dictionary: DataFrame, floor: float = 0.5, most: int = 50) -> DataFrame:
-    """(qid, no, fuzzy): dictionary words at least ``floor`` similar, at most ``most`` for each query.
+def fuzzy_scan(queries: DataFrame, dictionary: DataFrame, floor: float = 0.5, most: int | None = 50) -> DataFrame:
+    """(qid, no, fuzzy): dictionary words at least ``floor`` similar, the best ``most`` for each query, or all of them.
 
-    A scan, as the name says: each query meets every word of a bounded dictionary, in
-    its own task. Words of half their letters have no key in common, so a larger
-    dictionary is refused rather than multiplied with all queries by a shuffle.
+    A similarity join (see ``simjoin``): no dictionary is too large for it.
     """
-    words = dictionary.select("no", "word")
-    if not is_bounded(words):
-        raise ValueError(f"a fuzzy scan takes a dictionary of at most {STORE_ROWS} rows and {STORE_BYTES} bytes")
-    # Lengths alone rule most words out before any distance is computed.
-    q = queries.select("qid", tf.ascii_lower(F.col("q")).alias("ql"))
-    longer, shorter = F.greatest(F.octet_length("ql"), F.octet_length("word")), F.least(F.octet_length("ql"), F.octet_length("word"))
-    pairs = q.join(F.broadcast(words), shorter >= longer * floor - 1e-9)
-    kept = pairs.withColumn("fuzzy", tf.similarity(F.col("ql"), tf.ascii_lower(F.col("word")))).where(F.col("fuzzy") >= floor)
-    order = Window.partitionBy("qid").orderBy(F.desc("fuzzy"), "no")
-    return kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("qid", "no", "fuzzy")
+    asked = queries.select("qid", tf.ascii_lower(F.col("q")).alias("q"))
+    words = dictionary.select("no", tf.ascii_lower(F.col("word")).alias("word"))
+    return most_similar(asked, words, floor, most).select("qid", "no", F.col("similarity").alias("fuzzy"))
 
 
 def hybrid(queries: DataFrame, dictionary: DataFrame, floor: float = 0.5, most: int = 50, weight: float = 0.5) -> DataFrame:

@@ -42,7 +42,7 @@ class Fold(StatefulProcessor):
             if row is not None:
                 out.append({"key": key[0]} | row)
         self.state.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield pd.DataFrame(out, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
@@ -94,7 +94,46 @@ def queue_step(state: dict, e: dict) -> tuple[dict, dict]:
     return {"sent": state["sent"] + 1}, {"seq": e["seq"], "waited": state["sent"]}
 
 
+def reader_step(state: dict, e: dict) -> tuple[dict, dict]:
+    """Taps and replies of one screen, with one request in flight.
+
+    A tap on a box that is read, queued or in flight changes nothing; others wait in
+    the queue. With nothing in flight the whole queue is sent, in ascending order.
+    Each reply reads the first box in flight; after the last one the next queue is
+    sent. A new capture forgets all.
+    """
+    read, queue, flight = state["read"], state["queue"], state["flight"]
+    box, what, told = int(e["box"]), e["kind"], None
+    if what == "capture":
+        read, queue, flight, told = [], [], [], "captured"
+    elif what == "tap":
+        told = "read" if box in read else "pending" if box in queue or box in flight else "queued"
+        queue = [*queue, box] if told == "queued" else queue
+    else:
+        told = "answered" if flight else "stray"
+        box = flight[0] if flight else None
+        read, flight = (read + flight[:1] if flight else read), flight[1:]
+    sent = None
+    if queue and not flight:
+        flight, queue = sorted(queue), []
+        sent = " ".join(map(str, flight))
+    row = {"seq": e["seq"], "told": told, "box": box if told != "captured" else None, "sent": sent, "queued": len(queue), "flying": len(flight)}
+    return {"read": read, "queue": queue, "flight": flight}, row
+
+
+def slot_step(state: dict, e: dict) -> tuple[dict, dict]:
+    """A single-slot mailbox: what is put pushes out what nobody took; a take empties the slot and writes to the next place of a ring of four."""
+    held, n = state["held"], state["taken"]
+    if e["kind"] == "put":
+        return state | {"held": int(e["generation"])}, {"seq": e["seq"], "told": "put" if held is None else "replaced", "generation": held, "place": None}
+    if held is None:
+        return state, {"seq": e["seq"], "told": "idle", "generation": None, "place": None}
+    return {"held": None, "taken": n + 1}, {"seq": e["seq"], "told": "taken", "generation": held, "place": n % 4}
+
+
 MACHINES = {
+    "reader": (lambda: {"read": [], "queue": [], "flight": []}, reader_step, ["seq"], "key long, seq long, told string, box int, sent string, queued int, flying int"),
+    "slot": (lambda: {"held": None, "taken": 0}, slot_step, ["seq"], "key long, seq long, told string, generation long, place int"),
     "tap_queue": (lambda: {"sent": 0}, queue_step, ["seq"], "key long, seq long, waited long"),
     "debounce": (lambda: {}, contact_step, ["ms", "seq"], "key long, seq long, state string, down boolean, conf int, press_x int, press_y int"),
     "double_tap": (lambda: {"parked": False, "ms": 0, "x": 0, "y": 0}, tap_step, ["ms", "seq"], "key long, seq long, double boolean"),

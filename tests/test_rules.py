@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as tf
-from sparrowgrid.operators import arrays, decode, geometry, ingest, lookup, ordered, ring
+from sparrowgrid.operators import arrays, decode, geometry, ingest, lookup, ordered, ring, simjoin
 from sparrowgrid.plans import ordered as plans
 from sparrowgrid.plans import streams
 from sparrowgrid.sources import frames, words
@@ -193,10 +193,36 @@ def test_larger_stores_are_met_by_keys(spark, monkeypatch):
     scanned = {(r.qid, r.seq, r.score) for r in lookup.scan_learned(asked, store).collect()}
     monkeypatch.setattr(lookup, "SCAN_ROWS", 10)
     assert {(r.qid, r.seq, r.score) for r in lookup.scan_learned(asked, store).collect()} == scanned and len(scanned) > 500
-    monkeypatch.setattr(lookup, "STORE_ROWS", 10)
-    monkeypatch.setattr(lookup, "is_bounded", lambda *a: False)
+    assert lookup.scan_learned(asked, store.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "ab" * 500_000), (2, "abcabca"), (3, "c" * 1_000_000), (4, "é")], "qid long, q string")
+    few = spark.createDataFrame([(1, "ab", ""), (2, "abab", ""), (3, "ba", ""), (4, "xabcabcax", ""), (5, "c" * 900_000, "")] + [(10 + k, f"w{k}", "") for k in range(20)], "seq long, en string, bn string")
+    assert {(r.qid, r.seq) for r in lookup.scan_learned(long, few).where("seq < 10").collect()} == {(2, 1), (2, 4), (4, 1), (4, 3)}  # a query of a megabyte is too long for its beginnings to score
+
+
+@pytest.mark.parametrize(("floor", "k", "first", "small"), [(0.3, None, None, True), (0.5, 5, 0.8, False), (0.65, None, None, True)])
+def test_similar_words_are_those_of_all_pairs(spark, monkeypatch, floor, k, first, small):
+    """Against every pair measured; sent to all tasks or dealt by gram; words of no, equal, odd and many bytes."""
+    if not small:
+        monkeypatch.setattr(simjoin, "INDEX_ROWS", 0)
+    rng = random.Random(floor)
+    word = lambda: "".join(rng.choice(["a", "b", "c", "é", "অ"]) for _ in range(rng.randint(0, 9)))
+    names = [word() for _ in range(90)] + ["a" * 45, "ab" * 29 + "c", "x", None, "", ""]
+    asked = [word() for _ in range(50)] + ["a" * 40, "ab" * 30, None, "", "same", "same"]
+    words_ = spark.createDataFrame(list(enumerate(names)), "no long, word string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, q string")
+    pairs = queries.where("q is not null").crossJoin(words_.where("word is not null")).withColumn("s", tf.similarity(F.col("q"), F.col("word"))).where(F.col("s") >= floor)
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r.qid, []).append((-r.s, r.no))
+    want = {(q, no, -s) for q, own in by.items() for s, no in sorted(own)[:k]}
+    got = simjoin.most_similar(queries, words_, floor, k, first).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert simjoin.most_similar(queries, words_.limit(0), floor, k, first).count() == 0
+
+
+def test_a_floor_of_nothing_is_refused(spark):
     with pytest.raises(ValueError):
-        lookup.fuzzy_scan(asked, spark.createDataFrame([(1, "a", "m")], "no long, word string, meaning string"))
+        simjoin.most_similar(spark.createDataFrame([(1, "a")], "qid long, q string"), spark.createDataFrame([(1, "a")], "no long, word string"), 0.0, None)
 
 
 def test_lines_keep_their_order_over_splits(spark, tmp_path):

@@ -154,3 +154,15 @@ def test_frames_of_full_size_are_filtered_in_time(spark):
     pad, near = np.pad(px, 15, mode="edge"), np.pad(px, 3, mode="edge")
     for (y, x), total in got.items():
         assert total == pad[y : y + 31, x : x + 31].sum() and low[y, x] == (near[y : y + 7, x : x + 7].min(), near[y : y + 7, x : x + 7].max())
+
+
+def test_lines_are_ordered_by_steps_rounded_half_to_even():
+    """Bases 2.5 and 3.5 steps down go to steps 2 and 4; within a step words go along the line, whatever their own height."""
+    assert [lines.line_key(b * 7.0, 10.0) for b in (0.5, 1.5, 2.5, 3.5, 2.49, 2.51, -0.5)] == [0, 2, 2, 4, 2, 3, 0]
+    assert lines.line_key(2.5, 1.0) == 2  # a step is at least a pixel
+    page = np.full((90, 200), 215, dtype=np.uint8)
+    for at, y in ((120, 22), (20, 20), (70, 21), (20, 60), (120, 61)):  # two lines, words a pixel up or down
+        for k in range(4):
+            page[y : y + 9, at + 8 * k : at + 8 * k + 6] = 40
+    found, _ = lines.detect_lines(page)
+    assert [(o["ink_x1"], o["ink_y1"]) for o in found] == [(20, 20), (70, 21), (120, 22), (20, 60), (120, 61)]
