@@ -178,6 +178,27 @@ def extremes(frames: DataFrame, shape: tuple[int, int], radius: int) -> DataFram
     return over_frames(frames, shape, "frame long, y int, x int, least int, most int", f)
 
 
+def _shares(n: int, parts: int) -> np.ndarray:
+    """parts x n: how much of each of n pixels lies in each of ``parts`` equal stretches, in units of 1 / parts."""
+    begin, end = np.arange(n) * parts, np.arange(1, n + 1) * parts
+    low, high = np.arange(parts) * n, np.arange(1, parts + 1) * n
+    return np.clip(np.minimum(end, high[:, None]) - np.maximum(begin, low[:, None]), 0, None)
+
+
+def area_scaled(frames: DataFrame, shape: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """frame, y, x, area: frames at any ``size`` (rows, columns), each pixel the mean of the area it covers, borders by their share; whole part.
+
+    The shares are separable, so a frame is two small products of whole numbers.
+    """
+    (h, w), (rows, columns) = shape, size
+    down, across = _shares(h, rows), _shares(w, columns)
+
+    def f(frame: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+        return _by_pixel(frame, ((down @ pixels.astype(np.int64) @ across.T) // (h * w)).astype(np.int32))
+
+    return over_frames(frames, shape, "frame long, y int, x int, area int", f)
+
+
 def binned(pixels: DataFrame, factor: int) -> DataFrame:
     """Blocks of factor x factor pixels: their average (whole part) and their greatest."""
     block = pixels.groupBy("frame", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"))

@@ -112,6 +112,14 @@ def downscale_area(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.binned(t.pixels(spark, sf), 2).select("frame", "y", "x", "area")
 
 
+@query("downscale_any_area", f"""{_PX}, r AS (SELECT unnest(range(7)) AS ry), c AS (SELECT unnest(range(5)) AS rx),
+ o AS (SELECT *, greatest(0, least((y + 1) * 7, (ry + 1) * 8) - greatest(y * 7, ry * 8)) * greatest(0, least((x + 1) * 5, (rx + 1) * 8) - greatest(x * 5, rx * 8)) AS part FROM px, r, c)
+ SELECT frame, CAST(ry AS INTEGER) AS y, CAST(rx AS INTEGER) AS x, CAST(sum(v * part) // 64 AS INTEGER) AS area FROM o WHERE part > 0 GROUP BY frame, ry, rx""")
+def downscale_any_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of 8 x 8 as 7 x 5: borders that fall inside a pixel count by their share."""
+    return arrays.area_scaled(t.frames(spark, sf), (t.SIDE, t.SIDE), (7, 5))
+
+
 @query("maxpool", f"{_PX} SELECT frame, CAST(y // 4 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, max(v) AS most FROM px GROUP BY frame, y // 4, x // 4")
 def maxpool(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.binned(t.pixels(spark, sf), 4).select("frame", "y", "x", "most")

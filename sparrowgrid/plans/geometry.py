@@ -217,3 +217,11 @@ def akshara_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Orthographic syllables of Bengali test strings."""
     rows = spark.createDataFrame(list(enumerate(AKSHARA_TEXTS)), "id int, text string")
     return rows.select("id", F.posexplode(tf.aksharas(F.col("text"))).alias("pos", "akshara"))
+
+
+@query("akshara_lines", f"""WITH t AS (SELECT ord AS id, line AS text FROM ({t.IMPORT_SQL})), c AS (SELECT id, i, text[i] AS ch, CASE WHEN i > 1 THEN text[i - 1] END AS before FROM (SELECT id, text, unnest(range(1, CAST(len(list_transform(string_split(text, ''), lambda x: x)) AS BIGINT) + 1)) AS i FROM
+ (SELECT id, text FROM t))), j AS (SELECT id, i, ch, CASE WHEN ch IN ('়', '্') OR unicode(ch) BETWEEN 2494 AND 2508 OR unicode(ch) IN (2519, 2530, 2531) OR unicode(ch) BETWEEN 2433 AND 2435 OR (before = '্' AND unicode(ch) BETWEEN 2453 AND 2545) THEN 0 ELSE 1 END AS new FROM c),
+ g AS (SELECT id, i, ch, sum(new) OVER (PARTITION BY id ORDER BY i) AS g FROM j) SELECT id, CAST(g - 1 AS INTEGER) AS pos, string_agg(ch, '' ORDER BY i) AS akshara FROM g GROUP BY id, g""")
+def akshara_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orthographic syllables of every line of the word lists made of ``part``."""
+    return t.import_lines(spark, sf).select(F.col("ord").alias("id"), F.posexplode(tf.aksharas(F.col("line"))).alias("pos", "akshara"))

@@ -53,17 +53,14 @@ def learned_append(spark: SparkSession, sf: str) -> DataFrame:
 @query("learned_then_found", f"""WITH s AS ({t.FEW_LEARNED_SQL}), n AS (SELECT p_type AS en, min(p_partkey) AS k FROM part GROUP BY p_type)
  SELECT lower(en) AS en, 'taught' AS bn, CAST(1025 AS INTEGER) AS score FROM n WHERE lower(en) NOT IN (SELECT en FROM s)""")
 def learned_then_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Words taught one after the other are found by the next query, the store being read anew."""
+    """Words taught one after the other, decided in one plan, are found by the next query, the store being read anew."""
     from ..operators import lookup
 
     path = place(spark)
     words.export_learned(t.few_learned(spark, sf), path)
-    new = [r[0] for r in t.table(spark, sf, "part").select("p_type").distinct().limit(100).orderBy("p_type").collect()]  # six kinds
-    for en in new:
-        row = words.learn(words.load_learned(spark, path), en, "taught")
-        if row is not None:
-            words.append_learned(row, path)
-    asked = spark.createDataFrame(list(enumerate(new)), "qid int, q string")
+    kinds = t.table(spark, sf, "part").groupBy(F.col("p_type").alias("en")).agg(F.min("p_partkey").alias("ord"))
+    words.append_learned(words.learn_all(words.load_learned(spark, path), kinds.withColumn("bn", F.lit("taught"))), path)
+    asked = kinds.select(F.col("ord").alias("qid"), F.col("en").alias("q"))
     return lookup.top_learned(asked, words.load_learned(spark, path), 1).select("en", "bn", F.col("score").cast("int").alias("score"))
 
 

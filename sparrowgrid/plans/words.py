@@ -96,6 +96,18 @@ def fuzzy_scan(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.fuzzy_scan(t.queries(spark, sf), t.dictionary(spark, sf)).select("qid", "no", F.round("fuzzy", 6).alias("fuzzy"))
 
 
+_VOCABULARY = "SELECT w AS word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 20"
+
+
+@query("fuzzy_vocabulary", f"""WITH q AS ({t.QUERIES_SQL}), d AS ({_VOCABULARY}), f AS (SELECT qid, word, 1.0 - levenshtein(ql, word) / greatest(strlen(ql), strlen(word)) AS fuzzy FROM (SELECT qid, lower(q) AS ql FROM q), d
+  WHERE 2 * least(strlen(ql), strlen(word)) >= greatest(strlen(ql), strlen(word))) SELECT qid, word, round(fuzzy, 6) AS fuzzy FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fuzzy DESC, word) AS n FROM f WHERE fuzzy >= 0.5) WHERE n <= 50""")
+def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of all conversations against the vocabulary of ``documents`` (words of at least 20 texts), which grows with them."""
+    said = t.table(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("word"), "doc_id").distinct()
+    vocabulary = said.groupBy("word").agg(F.count("*").alias("n")).where("n >= 20").select("word", F.col("word").alias("no"))
+    return lookup.fuzzy_scan(t.queries(spark, sf), vocabulary).select("qid", F.col("no").alias("word"), F.round("fuzzy", 6).alias("fuzzy"))
+
+
 @query("hybrid_full_outer", f"{_SEARCH} SELECT qid, no, word, meaning, bm25, fuzzy, combined, from_fts5, CAST(rk AS INTEGER) AS rk FROM rh")
 def hybrid_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.ranked_hybrid(t.queries(spark, sf), t.dictionary(spark, sf))

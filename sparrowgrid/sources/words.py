@@ -28,16 +28,17 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("block") + F.col("n") - F.col("first")).alias("ord"), "line")
 
 
-def load_learned(spark: SparkSession, path: str, capacity: int = CAPACITY) -> DataFrame:
+def load_learned(spark: SparkSession, path: str, capacity: int | None = None) -> DataFrame:
     """``path``: TSV lines word<TAB>gloss -> seq, en (lower case), bn.
 
     Lines are trimmed; blank ones and those without a tab after the first character
-    are skipped; nothing is freed of duplicates; the first ``capacity`` rows stay.
+    are skipped; nothing is freed of duplicates. All rows, or the first ``capacity``
+    of them (the device has room for CAPACITY).
     """
     lines = ordered_lines(spark, path).select("file", "ord", tf.trim_space(F.col("line")).alias("line"))
     at = F.instr("line", "\t")
     rows = lines.where(at > 1).select("file", F.col("ord").alias("seq"), tf.ascii_lower(F.substring("line", F.lit(1), at - 1)).alias("en"), F.substring("line", at + 1, F.length("line")).alias("bn"))
-    return rows.orderBy("file", "seq").limit(capacity).select("seq", "en", "bn")
+    return (rows if capacity is None else rows.orderBy("file", "seq").limit(capacity)).select("seq", "en", "bn")
 
 
 def append_learned(rows: DataFrame, path: str) -> None:
@@ -61,6 +62,20 @@ def learn(store: DataFrame, en: str, bn: str) -> DataFrame | None:
     return store.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("seq")).select("seq", F.lit(en.lower()).alias("en"), F.lit(bn).alias("bn"))
 
 
+def learn_all(store: DataFrame, taught: DataFrame) -> DataFrame:
+    """``taught`` (ord: unique, en, bn), one after the other -> ord, en, bn of the rows to add: all but those whose word's FIRST row has this gloss by then.
+
+    A word's first row is the store's, else its first taught pair, so one plan
+    decides for all; both are small rows by word, whatever repeats.
+    """
+    pairs = taught.select("ord", tf.ascii_lower(F.col("en")).alias("en"), "bn")
+    known = store.groupBy("en").agg(F.min_by("bn", "seq").alias("__known"), F.lit(True).alias("__in"))
+    first = pairs.groupBy("en").agg(F.min(F.struct("ord", "bn")).alias("__first"))
+    found = pairs.join(first, "en").join(known, "en", "left")
+    new = F.when(F.col("__in"), ~F.col("bn").eqNullSafe(F.col("__known"))).otherwise((F.col("ord") == F.col("__first.ord")) | ~F.col("bn").eqNullSafe(F.col("__first.bn")))
+    return found.where(new).select("ord", "en", "bn")
+
+
 class SqliteSource(DataSource):
     """``spark.read.format("sqlite")``: options ``path``, ``table`` (or ``query``), ``partitions``, split by rowid.
 
