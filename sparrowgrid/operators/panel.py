@@ -118,6 +118,61 @@ def commands(lines: DataFrame) -> DataFrame:
     return fold_rows(lines.select("key", "seq", "action"), ["seq"], dict, step, "key long, seq long, page string, top int")
 
 
+#: What an action sets, as the pages of the panel read it; what stands in no entry stays. "bottom": the list follows its end; a number: it moves by so many rows.
+ACTIONS: dict[str, dict] = {
+    "capture": {"shot": True, "top": "bottom"},
+    "search": {"img": False, "hist": False, "search": True, "kb": True},
+    "srhome": {"search": False, "kb": True},
+    "kb": {"kb": True},
+    "clear": {"shot": False, "fresh": -1, "top": "bottom"},
+    "cl": {"shot": False, "fresh": -1, "top": "bottom"},
+    "hist": {"img": False, "hist": True, "top": "bottom"},
+    "back": {"img": False, "hist": False, "top": "bottom"},
+    "h": {"img": False, "hist": "toggle", "top": "bottom"},
+    "clearhist": {"shot": False, "fresh": -1, "n": 0, "last": None, "top": 0},
+    "up": {"top": -4},
+    "down": {"top": 4},
+    "new": {"top": "bottom"},
+    "snap": {"hist": False},
+    "img": {"hist": False, "img": True},
+    "readall": {"hist": False, "img": True},
+}
+START = {"img": False, "hist": False, "search": False, "kb": False, "shot": False, "n": 0, "fresh": -1, "top": 0, "last": None}
+#: Entries that a history holds.
+MOST_HELD = 48
+
+
+def reduced(lines: DataFrame, fit: int = 8) -> DataFrame:
+    """``lines`` (key, seq, action, word) -> the state of each device's panel after every action: known, img, hist, search, kb, shot, n, fresh, top.
+
+    ``capture`` adds the word to the history, unless it is the last one there. The
+    list shows a band over the entries (of one day), of which ``fit`` rows are seen at
+    once; after each known action its place is brought back between top and bottom.
+    An unknown action changes nothing, a failed snap is not modelled.
+    """
+
+    def step(state: dict, r: tuple) -> tuple:
+        key, seq, act, word = r
+        s, known = state or dict(START), act in ACTIONS
+        if known:
+            change = dict(ACTIONS[act])
+            move = change.pop("top", None)
+            if act == "capture":
+                change |= {"n": s["n"] if s["n"] and s["last"] == word else min(s["n"] + 1, MOST_HELD), "last": word}
+                change["fresh"] = change["n"] - 1
+            if change.get("hist") == "toggle":
+                change["hist"] = not s["hist"]
+            s |= change
+            most = max(0, s["n"] + (s["n"] > 0) - fit)
+            top = most if move == "bottom" else 0 if act == "clearhist" else s["top"] + (move or 0)
+            s["top"] = min(max(top, 0), most)
+        state |= s
+        return (key, seq, known, *(s[k] for k in ("img", "hist", "search", "kb", "shot", "n", "fresh", "top")))
+
+    schema = "key long, seq long, known boolean, img boolean, hist boolean, search boolean, kb boolean, shot boolean, n int, fresh int, top int"
+    return fold_rows(lines.select("key", "seq", "action", "word"), ["seq"], dict, step, schema)
+
+
 def error_json(message: Column) -> Column:
     """The reply to a failed request."""
     return F.concat(F.lit('{"ok":false,"error":"'), tf.json_escape_plain(message), F.lit('"}'))

@@ -99,6 +99,30 @@ def panel_commands(spark: SparkSession, sf: str) -> DataFrame:
     return panel.commands(o.touches(spark, sf).select("key", "seq", act.alias("action")))
 
 
+_ACTS = ["up", "down", "capture", "hist", "back", "search", "h", "clearhist", "x", "srhome", "kb", "clear", "new", "snap", "img", "readall", "capture", "cl", "capture"]
+
+
+def _set(column: str, otherwise: str, **values: str) -> str:
+    return "CASE " + " ".join(f"WHEN act IN ({acts}) THEN {value}" for value, acts in values.items()) + f" ELSE {otherwise} END AS {column}"
+
+
+# The state after each action, each column by the actions that set it.
+@query("panel_state", f"""WITH RECURSIVE {o._TOUCH}, a AS (SELECT key, seq, CASE id % {len(_ACTS)} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ACTS))} END AS act, 'w' || id % 5 AS word FROM tt),
+ f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS act, false AS img, false AS hist, false AS search, false AS kb, false AS shot, 0 AS n, -1 AS fresh, 0 AS top, CAST(NULL AS VARCHAR) AS last FROM a
+ UNION ALL SELECT key, seq, act, img, hist, search, kb, shot, n, fresh, CASE WHEN act = 'x' THEN top ELSE CAST(least(greatest(CASE WHEN act IN ('capture', 'clear', 'cl', 'hist', 'back', 'h', 'new') THEN n + 1 WHEN act = 'clearhist' THEN 0 WHEN act = 'up' THEN top - 4 WHEN act = 'down' THEN top + 4 ELSE top END, 0), greatest(0, n + CASE WHEN n > 0 THEN 1 ELSE 0 END - 8)) AS INTEGER) END, last
+ FROM (SELECT key, seq, act, img, hist, search, kb, shot, top, last, n, CASE WHEN act = 'capture' THEN n - 1 WHEN act IN ('clear', 'cl', 'clearhist') THEN -1 ELSE fresh END AS fresh FROM (SELECT a.key, a.seq, a.act, top, fresh,
+  {_set("img", "img", false="'search', 'hist', 'back', 'h'", true="'img', 'readall'")}, CASE WHEN act = 'h' THEN NOT hist WHEN act = 'hist' THEN true WHEN act IN ('search', 'back', 'snap', 'img', 'readall') THEN false ELSE hist END AS hist,
+  {_set("search", "search", true="'search'", false="'srhome'")}, {_set("kb", "kb", true="'search', 'srhome', 'kb'")}, {_set("shot", "shot", true="'capture'", false="'clear', 'cl', 'clearhist'")},
+  CASE WHEN act = 'clearhist' THEN 0 WHEN act = 'capture' AND NOT (n > 0 AND last = word) THEN CAST(least(n + 1, 48) AS INTEGER) ELSE n END AS n, CASE WHEN act = 'clearhist' THEN NULL WHEN act = 'capture' THEN word ELSE last END AS last
+  FROM (SELECT f.* EXCLUDE (act, seq), a.act, a.seq, a.word FROM f JOIN a ON a.key = f.key AND a.seq = f.seq + 1) a)))
+ SELECT key, seq, act <> 'x' AS known, img, hist, search, kb, shot, CAST(n AS INTEGER) AS n, CAST(fresh AS INTEGER) AS fresh, CAST(top AS INTEGER) AS top FROM f WHERE seq > 0""")
+def panel_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole reducer: pages, keyboard, picture, history and place of the list after every action of each user's panel."""
+    act = F.element_at(F.array(*map(F.lit, _ACTS)), (F.col("id") % len(_ACTS) + 1).cast("int"))
+    word = F.concat(F.lit("w"), (F.col("id") % 5).cast("string"))
+    return panel.reduced(o.touches(spark, sf).select("key", "seq", act.alias("action"), word.alias("word")))
+
+
 @query("online_translations", """WITH r AS (SELECT p_size AS qid, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' শব্দ' || p_partkey % 13 || ' ' END AS text FROM part),
  f AS (SELECT qid, trim(text) AS text, min(pos) AS pos FROM r WHERE regexp_matches(text, '[ঀ-৿]') GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS rk FROM f)
  SELECT qid, CAST(rk AS INTEGER) AS rk, text FROM n WHERE rk <= 8""")
