@@ -44,14 +44,14 @@ _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x1
 class Settings:
     buckets: int = 1 << 18
     dim: int = 8
-    window: int = 4
+    window: int = 2
     per_class: int = 2500
     max_bytes: int = 14 << 20
     epochs: int = 8
     batch_bytes: int = 1 << 20
     rate: float = 0.5
-    rare: float = 30.0
-    toxic_weight: float = 2.0
+    rare: float = 10.0
+    toxic_weight: float = 1.0
     seed: int = 7
     folds: int = 5
     held_out_fold: int = 0
