@@ -1,6 +1,7 @@
 """Toxicity, language, fingerprints, leaks, tokens, shards: edge cases, and brute force where there is one."""
 
 import collections
+import dataclasses
 import math
 import random
 import re
@@ -74,8 +75,10 @@ def test_toxicity_finds_insults_misspellings_and_long_texts(toxic_model):
     assert (toxicity.scores(pa.array(clean), toxic_model) < 0.5).mean() > 0.95
 
 
-def test_toxicity_score_is_that_of_the_best_window(toxic_model):
-    """Against a plain loop over words, members and windows."""
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7])
+def test_toxicity_score_is_that_of_the_best_window(toxic_model, size):
+    """Against a plain loop over words, members and windows of any size, each half a window on."""
+    toxic_model = toxicity.Model(toxic_model.scalars, toxic_model.bias, dataclasses.replace(toxic_model.settings, window=size))
     text = "The moron IS in, the of and-to Éa"
     padded, starts = textops.padded(*textops.buffers(pa.array([text])), 0, 1)
     begins, ends = textops.word_spans(padded)
@@ -84,7 +87,11 @@ def test_toxicity_score_is_that_of_the_best_window(toxic_model):
         for i, k in zip(w, b):
             member[int(i)].append(float(toxic_model.scalars[k]))
     value = [np.mean(member[i]) for i in range(len(begins))]
-    windows = [value[k : k + 4] for k in range(0, max(1, len(value) - 2), 2)]
+    step = max(1, size // 2)
+    begin = [0]
+    while begin[-1] + size < len(value):
+        begin.append(begin[-1] + step)
+    windows = [value[k : k + size] for k in begin]
     want = max(np.mean(w) for w in windows) + toxic_model.bias
     assert toxicity.scores(pa.array([text]), toxic_model)[0] == pytest.approx(1 / (1 + np.exp(-want)), rel=1e-5)
 
