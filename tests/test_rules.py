@@ -5,6 +5,7 @@ import random
 import sqlite3
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +221,23 @@ def test_similar_words_are_those_of_all_pairs(spark, monkeypatch, floor, k, firs
     assert simjoin.most_similar(queries, words_.limit(0), floor, k, first).count() == 0
 
 
+def test_the_best_words_are_found_in_blocks_and_shards(spark, monkeypatch):
+    """Short, wide and long bit vectors, and a table for the longest; ties over several shards go by number."""
+    rng = random.Random(5)
+    bytes_ = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    words_ = sorted((bytes_(rng.randint(0, 90)) for _ in range(60)), key=len)
+    ends = np.cumsum([0, *map(len, words_)])
+    for query in (b"", bytes_(1), bytes_(16), bytes_(17), bytes_(40), bytes_(64), bytes_(65), bytes_(80)):
+        got = simjoin.distances(np.frombuffer(query, np.uint8), np.frombuffer(b"".join(words_), np.uint8), ends[:-1], np.diff(ends))
+        assert got.tolist() == [edit_distance(query, w) for w in words_]
+    monkeypatch.setattr(simjoin, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simjoin, "BLOCK_ROWS", 7)
+    names = spark.createDataFrame([(k, f"ab{k % 3}") for k in range(200)], "no long, word string")
+    asked = spark.createDataFrame([(k, f"ab{k}") for k in range(20)], "qid long, q string")
+    best = {(r.qid, r.no) for r in simjoin.most_similar(asked, names, 0.5, 4).collect()}
+    assert {no for q, no in best if q == 1} == {1, 4, 7, 10} and {no for q, no in best if q == 9} == {0, 1, 2, 3} and len(best) == 80
+
+
 def test_a_floor_of_nothing_is_refused(spark):
     with pytest.raises(ValueError):
         simjoin.most_similar(spark.createDataFrame([(1, "a")], "qid long, q string"), spark.createDataFrame([(1, "a")], "no long, word string"), 0.0, None)
