@@ -191,7 +191,7 @@ def crc32_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("chunk_assembly", """WITH b AS (SELECT doc_id AS id, strlen(text) AS real FROM documents), e AS (SELECT id, real, real + CASE WHEN id % 7 = 0 THEN 5 WHEN id % 11 = 0 THEN -5 ELSE 0 END AS size, greatest(1, CAST(ceil(real / 1024) AS BIGINT)) AS chunks FROM b)
- SELECT id, CAST(real AS BIGINT) AS received, chunks, CASE WHEN id % 13 = 0 THEN 'aborted' WHEN real > size THEN 'overflow' WHEN real < size THEN 'short' END AS error, NOT (id % 13 = 0) AND real = size AS complete FROM e""")
+ SELECT id, CAST(real AS BIGINT) AS received, chunks, CASE WHEN 1024 * (chunks - 1) > size THEN 'overflow' WHEN id % 13 = 0 THEN 'aborted' WHEN real > size THEN 'overflow' WHEN real < size THEN 'short' END AS error, NOT (id % 13 = 0) AND real = size AS complete FROM e""")
 def chunk_assembly(spark: SparkSession, sf: str) -> DataFrame:
     docs = t.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     chunks = ring.pieces(docs)
