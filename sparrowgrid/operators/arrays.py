@@ -79,19 +79,20 @@ def otsu_bins(hist: DataFrame, by: list[str]) -> DataFrame:
 
 def otsu_sorted(values: Column) -> Column:
     """Otsu's threshold between two neighbours of the sorted values (their middle); the first maximum; of one value itself."""
+    # What a step needs of the whole travels in its state: a lambda reads an outer expression anew for each value.
     s = F.sort_array(values)
-    n = F.size(s)
+    first = F.element_at(s, 1).cast("double")
     total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("left"), F.lit(-1.0).alias("best"), F.element_at(s, 1).cast("double").alias("t"))
+    start = F.struct(F.lit(0).alias("i"), F.size(values).alias("n"), total.alias("total"), F.lit(0.0).alias("left"), first.alias("before"), F.lit(-1.0).alias("best"), first.alias("t"))
 
     def step(a: Column, x: Column) -> Column:
-        i = a["i"]
-        before = F.try_element_at(s, F.greatest(i, F.lit(1)))
-        left = F.when(i > 0, a["left"] + before).otherwise(a["left"])
-        gap = left / i - (total - left) / (n - i)
+        i, n = a["i"], a["n"]
+        left = F.when(i > 0, a["left"] + a["before"]).otherwise(a["left"])
+        gap = left / i - (a["total"] - left) / (n - i)
         v = i.cast("double") * (n - i) * gap * gap
         better = (i > 0) & (v > a["best"])
-        return F.struct((i + 1).alias("i"), left.alias("left"), F.when(better, v).otherwise(a["best"]).alias("best"), F.when(better, (before + x) * 0.5).otherwise(a["t"]).alias("t"))
+        best, t = F.when(better, v).otherwise(a["best"]), F.when(better, (a["before"] + x) * 0.5).otherwise(a["t"])
+        return F.struct((i + 1).alias("i"), n.alias("n"), a["total"].alias("total"), left.alias("left"), x.cast("double").alias("before"), best.alias("best"), t.alias("t"))
 
     return F.aggregate(s, start, step, lambda a: a["t"])
 

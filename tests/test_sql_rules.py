@@ -1,9 +1,13 @@
 """Queries against their SQL on rows that the test tables lack at small sizes."""
 
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowgrid import catalog
+from sparrowgrid.operators import arrays
 
 
 def agrees(spark, folder, name, **tables):
@@ -35,3 +39,12 @@ def test_an_overflow_before_the_abort_is_the_first_error(spark, tmp_path, name):
     rows = [(143 * 2, "x" * 1026), (143 * 3, "x" * 1030), (143 * 4, "x" * 900), (143 * 5, "x" * 4097), (11, "x" * 1026), (13, "x" * 1026), (7, ""), (1, "y")]
     want = agrees(spark, tmp_path, name, documents=(rows, "doc_id long, text string"))
     assert sum("overflow" in r for r in want) == 3 and sum("aborted" in r for r in want) == 3
+
+
+def test_otsu_takes_time_in_proportion_to_its_values(spark):
+    """Each step once read the sorted values and their total anew."""
+    values = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.when(k <= 5000, k / 1e6).otherwise(k / 1e6 + 1))
+    begin = time.monotonic()
+    got = spark.range(1).select(arrays.otsu_sorted(F.when(F.col("id") >= 0, values))).first()[0]
+    assert abs(got - 0.5050005) < 1e-9
+    assert time.monotonic() - begin < 15
