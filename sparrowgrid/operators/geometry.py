@@ -139,13 +139,14 @@ def cluster_words(clustered: DataFrame, xh: float, default: float = 0.40, low: f
     tau is Otsu's threshold of the gaps (in x-heights) if there are four at least, it lies
     within bounds, both sides are there, the wide gaps' mean is 1.8 times the
     narrow ones' (0.05 at least) and none of the wide is under 0.3; else the default.
+    Sums are taken in ascending order, so that no order of rows decides.
     """
     from .arrays import otsu_sorted
 
     order = Window.partitionBy("frame").orderBy("cluster")
     c = clustered.groupBy("frame", "cluster").agg(F.min("u1").alias("u1"), F.max("u2").alias("u2"))
     g = c.withColumn("gap", (F.lead("u1").over(order) - F.col("u2") - 1) / xh)
-    each = g.groupBy("frame").agg(F.collect_list("gap").alias("gaps")).where("size(gaps) >= 4").withColumn("t", otsu_sorted(F.col("gaps")))
+    each = g.groupBy("frame").agg(F.sort_array(F.collect_list("gap")).alias("gaps")).where("size(gaps) >= 4").withColumn("t", otsu_sorted(F.col("gaps")))
     lo, hi = F.filter("gaps", lambda x: x <= F.col("t")), F.filter("gaps", lambda x: x > F.col("t"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     good = (F.size(lo) > 0) & (F.size(hi) > 0) & F.col("t").between(low, high) & (mean(hi) >= 1.8 * F.greatest(mean(lo), F.lit(0.05))) & (F.array_min(hi) >= 0.3)

@@ -119,11 +119,16 @@ def interval_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.clusters(_letters(spark, sf), 20.0)
 
 
+#: A list's sum in its order, so that both sides round alike.
+_SUM = "list_reduce(list_prepend(CAST(0 AS DOUBLE), {x}), lambda a, x: a + x)"
+
+
 @query("cluster_words", f"""WITH {_CLUSTER}, c AS (SELECT frame, cluster, min(u1) AS u1, max(u2) AS u2 FROM cl GROUP BY ALL), g AS (SELECT *, (lead(u1) OVER (PARTITION BY frame ORDER BY cluster) - u2 - 1) / 20.0 AS gap FROM c),
- s AS (SELECT *, row_number() OVER w AS i, lag(gap) OVER w AS before, count(*) OVER (PARTITION BY frame) AS n, sum(gap) OVER (PARTITION BY frame) AS total, sum(gap) OVER (PARTITION BY frame ORDER BY gap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft FROM g WHERE gap IS NOT NULL WINDOW w AS (PARTITION BY frame ORDER BY gap)),
- o AS (SELECT frame, arg_max((before + gap) * 0.5, round((i - 1) * (n - i + 1) * pow(lft / (i - 1) - (total - lft) / (n - i + 1), 2), 9)) AS t FROM s WHERE i > 1 AND n >= 4 GROUP BY frame),
- q AS (SELECT frame, t, avg(gap) FILTER (gap <= t) AS lo, avg(gap) FILTER (gap > t) AS hi, min(gap) FILTER (gap > t) AS least FROM g JOIN o USING (frame) WHERE gap IS NOT NULL GROUP BY ALL),
- ta AS (SELECT frame, t FROM q WHERE lo IS NOT NULL AND hi IS NOT NULL AND t BETWEEN 0.28 AND 0.75 AND hi >= 1.8 * greatest(lo, 0.05) AND least >= 0.3),
+ s AS (SELECT frame, list_sort(list(gap)) AS gs FROM g WHERE gap IS NOT NULL GROUP BY frame HAVING count(*) >= 4), k AS (SELECT frame, gs, unnest(range(1, len(gs))) AS i FROM s),
+ d AS (SELECT frame, gs, i, {_SUM.format(x='gs[1:i]')} / i - ({_SUM.format(x='gs')} - {_SUM.format(x='gs[1:i]')}) / (len(gs) - i) AS d FROM k),
+ o AS (SELECT frame, gs, (gs[i] + gs[i + 1]) * 0.5 AS t, row_number() OVER (PARTITION BY frame ORDER BY CAST(i AS DOUBLE) * (len(gs) - i) * d * d DESC, i) AS n FROM d),
+ q AS (SELECT frame, t, list_filter(gs, lambda x: x <= t) AS lo, list_filter(gs, lambda x: x > t) AS hi FROM o WHERE n = 1),
+ ta AS (SELECT frame, t FROM q WHERE len(lo) > 0 AND len(hi) > 0 AND t BETWEEN 0.28 AND 0.75 AND {_SUM.format(x='hi')} / len(hi) >= 1.8 * greatest({_SUM.format(x='lo')} / len(lo), 0.05) AND hi[1] >= 0.3),
  w AS (SELECT g.*, coalesce(t, 0.4) AS tau, lag(gap) OVER (PARTITION BY frame ORDER BY cluster) AS pg FROM g LEFT JOIN ta USING (frame))
  SELECT frame, cluster, round(gap, 6) AS gap, round(tau, 6) AS tau, CAST(sum(CASE WHEN pg >= tau THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY cluster) AS INTEGER) AS word FROM w""")
 def cluster_words(spark: SparkSession, sf: str) -> DataFrame:
