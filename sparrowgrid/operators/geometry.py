@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CELL = 64
+#: Boxes widened by their reach lie in fewer of these.
+WIDE_CELL = 128
 REACH = 22
 
 
@@ -31,17 +33,18 @@ def box_at(points: DataFrame, boxes: DataFrame, reach: int = REACH) -> DataFrame
     The smallest box around the point (tilted ones by their quad), of equals the
     first; else the nearest centre closer than ``reach``; else null.
     """
-    b = boxes.select("*", F.explode(cells(F.col("x1") - reach, F.col("x2") + reach)).alias("cx")).select("*", F.explode(cells(F.col("y1") - reach, F.col("y2") + reach)).alias("cy"))
-    p = points.select("*", F.floor(F.col("px") / CELL).alias("cx"), F.floor(F.col("py") / CELL).alias("cy"))
-    near = p.join(b, ["frame", "cx", "cy"])
+    quad = F.when(F.col("geom"), F.col("quad")).alias("quad")
+    wide = boxes.select("frame", "box", "x1", "y1", "x2", "y2", "geom", quad, F.explode(cells(F.col("x1") - reach, F.col("x2") + reach, WIDE_CELL)).alias("cx"))
+    b = wide.select("*", F.explode(cells(F.col("y1") - reach, F.col("y2") + reach, WIDE_CELL)).alias("cy"))
+    p = points.select("frame", "pid", "px", "py", F.floor(F.col("px") / WIDE_CELL).alias("cx"), F.floor(F.col("py") / WIDE_CELL).alias("cy"))
+    near = p.join(b, ["frame", "cx", "cy"], "left")  # a point lies in one cell: what it meets there is all, and is grouped where it lies
     inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2")) & (~F.col("geom") | in_quad(F.col("quad"), F.col("px"), F.col("py")))
     area = (F.col("x2") - F.col("x1") + 1).cast("long") * (F.col("y2") - F.col("y1") + 1)
     dx, dy = F.floor((F.col("x1") + F.col("x2")) / 2) - F.col("px"), F.floor((F.col("y1") + F.col("y2")) / 2) - F.col("py")
     away = dx * dx + dy * dy
-    rated = near.select("frame", "pid", "box", F.when(inside, area).alias("area"), F.when(away < reach * reach, away).alias("away"))
-    best = rated.groupBy("frame", "pid").agg(F.min(F.when(F.col("area").isNotNull(), F.struct("area", "box"))).alias("a"), F.min(F.when(F.col("away").isNotNull(), F.struct("away", "box"))).alias("d"))
-    out = points.select("frame", "pid").join(best, ["frame", "pid"], "left")
-    return out.select("frame", "pid", F.coalesce("a.box", "d.box").alias("box"), F.when(F.col("a").isNotNull(), "inside").when(F.col("d").isNotNull(), "near").otherwise("none").alias("how"))
+    rated = near.select("frame", "cx", "cy", "pid", "px", "py", "box", F.when(inside, area).alias("area"), F.when(away < reach * reach, away).alias("away"))
+    best = rated.groupBy("frame", "cx", "cy", "pid", "px", "py").agg(F.min(F.when(F.col("area").isNotNull(), F.struct("area", "box"))).alias("a"), F.min(F.when(F.col("away").isNotNull(), F.struct("away", "box"))).alias("d"))
+    return best.select("frame", "pid", F.coalesce("a.box", "d.box").alias("box"), F.when(F.col("a").isNotNull(), "inside").when(F.col("d").isNotNull(), "near").otherwise("none").alias("how"))
 
 
 def first_box(points: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Queries against their SQL on rows that the test tables lack at small sizes."""
 
+import os
 import time
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid import catalog
-from sparrowgrid.operators import arrays
+from sparrowgrid.operators import arrays, geometry
+from sparrowgrid.plans import streams
 
 
 def agrees(spark, folder, name, **tables):
@@ -48,3 +51,26 @@ def test_otsu_takes_time_in_proportion_to_its_values(spark):
     got = spark.range(1).select(arrays.otsu_sorted(F.when(F.col("id") >= 0, values))).first()[0]
     assert abs(got - 0.5050005) < 1e-9
     assert time.monotonic() - begin < 15
+
+
+def test_points_are_dealt_once_and_not_joined_again(spark):
+    """Two exchanges: the points, and the boxes by their cells; the best box is taken where they meet."""
+    points = spark.createDataFrame([(1, 1, 5, 5), (1, 2, 300, 5), (2, 3, 5, 5)], "frame long, pid long, px int, py int")
+    boxes = spark.createDataFrame([(1, k, 0, 0, x, 10, False, None) for k, x in enumerate((150, 20, 20))], "frame long, box int, x1 int, y1 int, x2 int, y2 int, geom boolean, quad array<int>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = geometry.box_at(points, boxes)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, "inside"), (1, 2, None, "none"), (2, 3, None, "none")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_word_lists_land_in_their_order(spark, tmp_path):
+    """By time, which is what the stream follows."""
+    lines = spark.range(1000).repartition(7).select(F.col("id").alias("ord"), F.format_string("%04d", "id").alias("line"))
+    streams._land(lines, str(tmp_path / "lists"), 5)
+    files = sorted(Path(tmp_path, "lists").glob("*.txt"), key=os.path.getmtime)
+    assert len({os.stat(f).st_mtime_ns // 1_000_000 for f in files}) == len(files) == 5
+    assert "".join(f.read_text() for f in files).split() == [f"{k:04d}" for k in range(1000)]
