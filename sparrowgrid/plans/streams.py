@@ -179,12 +179,18 @@ def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", "status", "w", "h", "got", F.sha2("pixels", 256).alias("digest"))
 
 
+def _land(lines: DataFrame, path: str, lists: int) -> None:
+    """``lines`` (ord, line) as text files that land one after the other: a list's time says which came first, and tasks that write at once end in any order."""
+    cuts = [float("-inf"), *lines.approxQuantile("ord", [k / lists for k in range(1, lists)], 0.01), float("inf")]
+    for a, b in zip(cuts, cuts[1:]):
+        lines.where((F.col("ord") > a) & (F.col("ord") <= b)).coalesce(1).sortWithinPartitions("ord").select("line").write.mode("append").text(path)
+
+
 @query("stream_import_text", batch_words._ROUTE + " SELECT lower(en) AS en, bn FROM routed WHERE outcome = 'added'")
 def stream_import_text(spark: SparkSession, sf: str) -> DataFrame:
     """Word lists as text files that land in a folder, a few at a time; each batch sees what the ones before it taught."""
     path = stateful.place(spark)
-    lines = t.import_lines(spark, sf)
-    lines.repartitionByRange(5, "ord").sortWithinPartitions("ord").select("line").write.text(f"{path}/lists")
+    _land(t.import_lines(spark, sf), f"{path}/lists", 5)
     return lookup.import_text(spark, f"{path}/lists", t.few_learned(spark, sf), t.dictionary(spark, sf), path, batch_words.CAPACITY, files_per_batch=2)
 
 
