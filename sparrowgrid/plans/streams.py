@@ -175,8 +175,8 @@ def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
     last = F.ceil(F.col("h") * 16 / transfers.BLOCK)
     late = F.when((F.col("seq") == last) & (F.col("key") % 13 == 0), 6000).otherwise(0)
     blocks = transfers.sent(frames).where((F.col("seq") < last) | (F.col("key") % 11 != 0)).withColumn("ms", F.col("key") * 70000 + 1000 + F.col("seq") * 10 + late)
-    out = stateful.drain(transfers.run_frames(_stream(spark, blocks)))
-    return out.select("key", "status", "w", "h", "got", F.sha2("pixels", 256).alias("digest"))
+    out = transfers.run_frames(_stream(spark, blocks))
+    return stateful.drain(out.select("key", "status", "w", "h", "got", F.sha2("pixels", 256).alias("digest")))
 
 
 def _land(lines: DataFrame, path: str, lists: int) -> None:

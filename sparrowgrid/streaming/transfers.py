@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,17 +16,25 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 BLOCK, IDLE_MS = 1024, 5000
 MOST_WIDTH, MOST_HEIGHT = 480, 640
+COLUMNS = ["key", "seq", "ms", "w", "h", "crc", "data"]
+#: Keys of the state. A shard's part of a micro-batch is in memory at once; more shards make it smaller and cost more calls.
+SHARDS = 4096
 SCHEMA = "key long, status string, w int, h int, got long, pixels binary"
 
 
 class Frames(StatefulProcessor):
-    """One transfer for each key: a head (seq 0: w, h, crc), then blocks of BLOCK bytes, the last one shorter.
+    """Transfers, each a head (seq 0: w, h, crc), then blocks of BLOCK bytes, the last one shorter. A key of the state is a shard, which holds many of them.
 
     The head's size must be in range ("usage"). A block of another size ends the
     transfer ("short"), as do more than ``idle`` ms without one ("timeout", by the next
     block or by a timer) and a wrong CRC after the last ("crc"); else the frame is "ok".
-    The first outcome stays; later blocks are ignored. Blocks wait in a list state, so a
-    micro-batch adds its own and rewrites none; they go when the outcome is told.
+    The first outcome stays; later blocks are ignored.
+
+    A call of the state costs as much as reading many blocks, so the transfers of a shard
+    share theirs: ``open`` holds the heads of those under way, ``over`` the keys of those
+    that ended, and one timer stands for the first that is due. Blocks wait in ``parts``,
+    one part for each micro-batch and transfer under way, so a micro-batch adds its own and
+    rewrites none; they go when the outcome is told.
     """
 
     def __init__(self, idle: int = IDLE_MS):
@@ -31,67 +42,90 @@ class Frames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "value string")
-        self.blocks = handle.getListState("blocks", "data binary")
+        self.open = handle.getValueState("open", "value string")
+        self.over = handle.getListState("over", "keys binary")
+        self.parts = handle.getMapState("parts", "transfer long, part int", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = json.loads(self.head.get()[0]) if self.head.exists() else {"status": None, "want": None, "got": 0, "sum": 0, "at": None}
-        new: list[bytes] = []
-        told = s["status"]
-        for e in pd.concat(list(rows)).sort_values("seq", kind="stable").to_dict("records"):
+        due, heads = self._held()
+        over = {k for (keys,) in self.over.get() for k in array("q", keys)}
+        events = pd.concat(list(rows)).sort_values(["key", "seq"], kind="stable")
+        told = []
+        for transfer, blocks in groupby(zip(*(events[c].tolist() for c in COLUMNS)), itemgetter(0)):
+            if transfer in over:
+                continue
+            s = heads.setdefault(transfer, {"status": None, "want": None, "got": 0, "sum": 0, "at": None, "parts": 0})
+            new = self._fold(s, blocks)
             if s["status"]:
-                break
-            if s["at"] is not None and e["ms"] - s["at"] > self.idle:
+                told.append(self._told(transfer, heads.pop(transfer), new))
+            elif new:
+                self.parts.updateValue((transfer, s["parts"]), (b"".join(new),))
+                s["parts"] += 1
+        yield from self._keep(due, heads, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, heads = self._held()
+        now = timerValues.getCurrentWatermarkInMs()
+        quiet = [k for k, s in heads.items() if self._due(s) <= now]
+        told = [self._told(k, heads.pop(k) | {"status": "timeout"}, []) for k in quiet]
+        yield from self._keep(None, heads, told)  # Spark deletes the timer that fired
+
+    def _fold(self, s: dict, blocks: Iterable[tuple]) -> list[bytes]:
+        """Carries ``s`` over a transfer's next blocks, up to its end; gives the pixels that came."""
+        new: list[bytes] = []
+        for _, _, ms, w, h, crc, data in blocks:
+            if s["at"] is not None and ms - s["at"] > self.idle:
                 s["status"] = "timeout"
             elif s["want"] is None:
-                s |= {"w": int(e["w"]), "h": int(e["h"]), "crc": int(e["crc"]), "want": int(e["w"]) * int(e["h"])}
+                s |= {"w": int(w), "h": int(h), "crc": int(crc), "want": int(w) * int(h)}
                 if not (0 < s["w"] <= MOST_WIDTH and 0 < s["h"] <= MOST_HEIGHT):
                     s["status"] = "usage"
-            elif len(e["data"]) != min(BLOCK, s["want"] - s["got"]):
+            elif len(data) != min(BLOCK, s["want"] - s["got"]):
                 s["status"] = "short"
             else:
-                new.append(bytes(e["data"]))
-                s |= {"got": s["got"] + len(new[-1]), "sum": zlib.crc32(new[-1], s["sum"])}
+                new.append(bytes(data))
+                s |= {"got": s["got"] + len(data), "sum": zlib.crc32(data, s["sum"])}
                 if s["got"] == s["want"]:
                     s["status"] = "ok" if s["sum"] == s["crc"] else "crc"
-            s["at"] = int(e["ms"])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not s["status"]:
-            if new:
-                self.blocks.appendList([(b,) for b in new])
-            self.handle.registerTimer(s["at"] + self.idle + 1)
-        self.head.update((json.dumps(s),))
-        yield self._told(key, s, new) if s["status"] and not told else self._none()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = json.loads(self.head.get()[0])
-        if s["status"]:
-            yield self._none()
-            return
-        s["status"] = "timeout"
-        self.head.update((json.dumps(s),))
-        yield self._told(key, s, [])
-
-    def _told(self, key, s: dict, new: list[bytes]) -> pd.DataFrame:
-        held = [bytes(b[0]) for b in self.blocks.get()] if self.blocks.exists() else []
-        self.blocks.clear()
-        pixels = b"".join(held + new) if s["status"] == "ok" else None
-        row = {"key": key[0], "status": s["status"], "w": s.get("w"), "h": s.get("h"), "got": s["got"], "pixels": pixels}
-        return pd.DataFrame([row], columns=list(row), dtype=object)
-
-    @staticmethod
-    def _none() -> pd.DataFrame:
-        return pd.DataFrame([], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")], dtype=object)
+            s["at"] = int(ms)
+            if s["status"]:
+                break
+        return new
+
+    def _due(self, s: dict) -> int:
+        return s["at"] + self.idle + 1
+
+    def _held(self) -> tuple[int | None, dict[int, dict]]:
+        """When the shard's timer stands, and the transfers under way."""
+        due, heads = json.loads((self.open.get() or ("[null, []]",))[0])
+        return due, dict(heads)
+
+    def _keep(self, due: int | None, heads: dict[int, dict], told: list[dict]) -> Iterator[pd.DataFrame]:
+        first = min(map(self._due, heads.values()), default=None)
+        if due is not None and due != first:
+            self.handle.deleteTimer(due)
+        if first is not None and due != first:
+            self.handle.registerTimer(first)
+        self.open.update((json.dumps([first, list(heads.items())]),))
+        if told:
+            self.over.appendValue((array("q", [row["key"] for row in told]).tobytes(),))
+            yield pd.DataFrame(told, dtype=object)
+
+    def _told(self, transfer: int, s: dict, new: list[bytes]) -> dict:
+        pixels = b"".join([self.parts.getValue((transfer, n))[0] for n in range(s["parts"])] + new) if s["status"] == "ok" else None
+        for n in range(s["parts"]):
+            self.parts.removeKey((transfer, n))
+        return {"key": transfer, "status": s["status"], "w": s.get("w"), "h": s.get("h"), "got": s["got"], "pixels": pixels}
 
     def close(self) -> None:
         pass
 
 
-def run_frames(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def run_frames(events: DataFrame, idle_ms: int = IDLE_MS, shards: int = SHARDS) -> DataFrame:
     """``events`` (key, seq, ms, w, h, crc, data) as a stream -> one row for each transfer that ended: key, status, w, h, got, pixels."""
-    timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", "0 seconds")
-    return timed.groupBy("key").transformWithStateInPandas(Frames(idle_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    timed = events.select(shard, *COLUMNS, F.timestamp_millis("ms").alias("at")).withWatermark("at", "0 seconds")
+    return timed.groupBy("shard").transformWithStateInPandas(Frames(idle_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def sent(frames: DataFrame, block: int = BLOCK) -> DataFrame:

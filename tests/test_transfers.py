@@ -74,6 +74,44 @@ def test_frames_over_several_batches(spark, tmp_path):
     assert got[3] == ("ok", 2080, px[3]) and got[6] == ("short", 0, None)
 
 
+BLOCKS = "key long, seq int, ms long, w int, h int, crc long, data binary"
+
+
+def test_frames_that_share_a_shard(spark, tmp_path):
+    """One timer, one list of ended transfers and one of heads stand for many transfers; each still has its own outcome."""
+    px = {k: bytes((k * 17 + i) % 256 for i in range(16 * 160)) for k in range(1, 7)}  # three blocks each, the last of 512 bytes
+    head = {k: (16, 160, zlib.crc32(v) + (k == 6)) for k, v in px.items()}
+    at = {  # (batch, ms) of the head and the blocks
+        1: [(0, 1000), (0, 1010), (1, 5000), (2, 9500)],  # whole, over three batches
+        2: [(0, 1100), (0, 1110)],  # silent: told by the timer
+        3: [(0, 1200), (1, 3900)],  # silent too, due later
+        4: [(0, 1300), (1, 5500), (2, 9800)],  # under way at the end
+        5: [(0, 1000), (0, 1010), (1, 7000), (1, 7010)],  # a pause, told by the next block
+        6: [(0, 1000), (0, 1010), (0, 1020), (0, 1030), (1, 8950), (2, 9600)],  # a wrong CRC; what comes later is ignored
+    }
+    rows = [(b, (k, n, ms, *head[k], None if n == 0 else px[k][1024 * (n - 1) : 1024 * n])) for k, places in at.items() for n, (b, ms) in enumerate(places)]
+    for b in range(3):
+        spark.createDataFrame([r for x, r in rows if x == b], BLOCKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    want = {1: ("ok", 2560, px[1]), 2: ("timeout", 1024, None), 3: ("timeout", 1024, None), 5: ("timeout", 1024, None), 6: ("crc", 2560, None)}
+    for shards in (1, transfers.SHARDS):
+        out = stateful.drain(transfers.run_frames(stateful.follow(spark, str(tmp_path / "in"), 1), idle_ms=5000, shards=shards), str(tmp_path / f"out{shards}")).collect()
+        assert len(out) == 5
+        assert {r.key: (r.status, r.got, r.pixels and bytes(r.pixels)) for r in out} == want
+
+
+def test_the_state_of_frames_is_one_of_shards(spark, tmp_path):
+    """Calls of the state grow with shards, not with transfers: 300 that ended leave no row of their own."""
+    px = {k: bytes([k % 256]) * 16 for k in range(300)}
+    frames = spark.createDataFrame([(k, 16, 1, zlib.crc32(v), v) for k, v in px.items()], "key long, w int, h int, crc long, pixels binary")
+    transfers.sent(frames).withColumn("ms", 1000 + F.col("seq") * 10).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = transfers.run_frames(stateful.follow(spark, str(tmp_path / "in")), shards=5)
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2 * 5
+    assert {r.key: (r.status, bytes(r.pixels)) for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == {k: ("ok", v) for k, v in px.items()}
+
+
 def test_text_lists_of_several_files_and_a_replayed_batch(spark, tmp_path):
     lists = tmp_path / "lists"
     lists.mkdir()
