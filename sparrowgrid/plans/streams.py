@@ -54,7 +54,7 @@ def stream_upload(spark: SparkSession, sf: str) -> DataFrame:
     n = F.max("seq").over(batch.ordered.Window.partitionBy("id"))
     status = F.when(F.col("seq") == n, F.when(F.col("id") % 13 == 0, "ABORTED").otherwise("END")).otherwise("WRITE")
     pieces = ring.pieces(docs).withColumn("status", status).join(size, "id").select(F.col("id").alias("key"), F.col("seq").cast("long").alias("seq"), "status", F.octet_length("data").alias("size"), "expected")
-    return stateful.drain(stateful.run_machine(_stream(spark, pieces), "upload"))
+    return stateful.drain(stateful.run_machine(_stream(spark, pieces), "upload", stateful.SHARDS))
 
 
 @query("stream_history", f"""WITH {batch._PUSH} SELECT key, seq, CAST(least(48, island) AS INTEGER) AS held, en AS "last", ocr FROM i""")

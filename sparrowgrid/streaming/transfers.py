@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .stateful import SHARDS, shard
+
 BLOCK, IDLE_MS = 1024, 5000
 MOST_WIDTH, MOST_HEIGHT = 480, 640
 COLUMNS = ["key", "seq", "ms", "w", "h", "crc", "data"]
-#: Keys of the state. A shard's part of a micro-batch is in memory at once; more shards make it smaller and cost more calls.
-SHARDS = 4096
 SCHEMA = "key long, status string, w int, h int, got long, pixels binary"
 
 
@@ -123,8 +123,7 @@ class Frames(StatefulProcessor):
 
 def run_frames(events: DataFrame, idle_ms: int = IDLE_MS, shards: int = SHARDS) -> DataFrame:
     """``events`` (key, seq, ms, w, h, crc, data) as a stream -> one row for each transfer that ended: key, status, w, h, got, pixels."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    timed = events.select(shard, *COLUMNS, F.timestamp_millis("ms").alias("at")).withWatermark("at", "0 seconds")
+    timed = events.select(shard(shards), *COLUMNS, F.timestamp_millis("ms").alias("at")).withWatermark("at", "0 seconds")
     return timed.groupBy("shard").transformWithStateInPandas(Frames(idle_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

@@ -112,6 +112,18 @@ def test_the_state_of_frames_is_one_of_shards(spark, tmp_path):
     assert {r.key: (r.status, bytes(r.pixels)) for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == {k: ("ok", v) for k, v in px.items()}
 
 
+def test_uploads_that_share_a_shard(spark, tmp_path):
+    """The upload machine over two batches gives by shards what it gives by keys; its state's calls are a shard's."""
+    rows = [(k, n, "ABORTED" if k % 5 == 0 and n == 3 else "END" if n == 3 else "WRITE", 10, 30 + 10 * (k % 3)) for k in range(12) for n in range(4)]
+    for b in range(2):
+        part = [r for r in rows if r[1] // 2 == b]
+        spark.createDataFrame(part, "key long, seq long, status string, size int, expected int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    runs = [stateful.drain(stateful.run_machine(stateful.follow(spark, str(tmp_path / "in"), 1), "upload", shards), str(tmp_path / f"out{shards}")).collect() for shards in (None, 3)]
+    assert len(runs[1]) == 12 and sorted(map(tuple, runs[0])) == sorted(map(tuple, runs[1]))
+    assert {r.key: (r.received, r.error, r.complete) for r in runs[1]}[1] == (40, None, True)
+
+
 def test_text_lists_of_several_files_and_a_replayed_batch(spark, tmp_path):
     lists = tmp_path / "lists"
     lists.mkdir()
