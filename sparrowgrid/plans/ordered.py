@@ -190,12 +190,19 @@ def crc32_check(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("size"), F.crc32("html").alias("crc"))
 
 
+def transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as one transfer in pieces, whatever its id: transfer, id, expected, seq, status, data. Some declare a wrong size, some are aborted with their last piece."""
+    n, k = F.octet_length("text"), F.col("doc_id")
+    size = n + F.when(k % 7 == 0, 5).when(k % 11 == 0, -5).otherwise(0)
+    last = F.greatest(F.ceil(n / 1024), F.lit(1)) - 1
+    end = F.when(k % 13 == 0, "ABORTED").when(k % 13 != 0, "END")
+    own = F.struct(F.monotonically_increasing_id().alias("transfer"), k.alias("id"), size.alias("expected"), last.alias("last"), end.alias("end"))
+    chunks = ring.pieces(t.table(spark, sf, "documents").select(own.alias("id"), "text")).select("id.*", "seq", "data")
+    status = F.when(F.col("seq") == F.col("last"), F.col("end")).otherwise("WRITE")
+    return chunks.select("transfer", "id", "expected", "seq", status.alias("status"), "data")
+
+
 @query("chunk_assembly", """WITH b AS (SELECT doc_id AS id, strlen(text) AS real FROM documents), e AS (SELECT id, real, real + CASE WHEN id % 7 = 0 THEN 5 WHEN id % 11 = 0 THEN -5 ELSE 0 END AS size, greatest(1, CAST(ceil(real / 1024) AS BIGINT)) AS chunks FROM b)
  SELECT id, CAST(real AS BIGINT) AS received, chunks, CASE WHEN 1024 * (chunks - 1) > size THEN 'overflow' WHEN id % 13 = 0 THEN 'aborted' WHEN real > size THEN 'overflow' WHEN real < size THEN 'short' END AS error, NOT (id % 13 = 0) AND real = size AS complete FROM e""")
 def chunk_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunks = ring.pieces(docs)
-    last = ordered.Window.partitionBy("id")
-    status = F.when(F.col("seq") == F.max("seq").over(last), F.when(F.col("id") % 13 == 0, "ABORTED").otherwise("END")).otherwise("WRITE")
-    expected = docs.select("id", (F.octet_length("text") + F.when(F.col("id") % 7 == 0, 5).when(F.col("id") % 11 == 0, -5).otherwise(0)).alias("size"))
-    return ring.assemble(chunks.withColumn("status", status), expected)
+    return ring.assemble(transfers(spark, sf))
