@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ring
 from ..sources import photos
 from ..streaming import lookup, stateful, transfers
 from . import ordered as batch
@@ -25,9 +24,9 @@ def query(name: str, sql: str | None):
     return add
 
 
-def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _stream(spark: SparkSession, rows: DataFrame, path: str | None = None) -> DataFrame:
     """The twin's input, written to a folder and followed."""
-    path = stateful.place(spark) + "/in"
+    path = path or stateful.place(spark) + "/in"
     rows.write.parquet(path)
     return stateful.follow(spark, path)
 
@@ -49,12 +48,13 @@ def stream_live_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_upload", f"SELECT id AS key, received, error, complete FROM ({batch.ORACLES['chunk_assembly']})")
 def stream_upload(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    size = docs.select("id", (F.octet_length("text") + F.when(F.col("id") % 7 == 0, 5).when(F.col("id") % 11 == 0, -5).otherwise(0)).alias("expected"))
-    n = F.max("seq").over(batch.ordered.Window.partitionBy("id"))
-    status = F.when(F.col("seq") == n, F.when(F.col("id") % 13 == 0, "ABORTED").otherwise("END")).otherwise("WRITE")
-    pieces = ring.pieces(docs).withColumn("status", status).join(size, "id").select(F.col("id").alias("key"), F.col("seq").cast("long").alias("seq"), "status", F.octet_length("data").alias("size"), "expected")
-    return stateful.drain(stateful.run_machine(_stream(spark, pieces), "upload", stateful.SHARDS))
+    """Transfers have their own numbers, which meet the ids again afterwards: ids may repeat."""
+    pieces = batch.transfers(spark, sf).select(F.col("transfer").alias("key"), "id", F.col("seq").cast("long").alias("seq"), F.coalesce("status", F.lit("END")).alias("status"), F.octet_length("data").alias("size"), "expected")
+    path = stateful.place(spark) + "/in"
+    stream = _stream(spark, pieces, path)
+    done = stateful.drain(stateful.run_machine(stream.drop("id"), "upload", stateful.SHARDS))
+    ids = spark.read.parquet(path).where("seq = 0").select("key", "id")
+    return done.join(ids, "key").select(F.col("id").alias("key"), "received", "error", F.when(F.col("id").isNotNull(), F.col("complete")).alias("complete"))
 
 
 @query("stream_history", f"""WITH {batch._PUSH} SELECT key, seq, CAST(least(48, island) AS INTEGER) AS held, en AS "last", ocr FROM i""")
