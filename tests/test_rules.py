@@ -6,6 +6,7 @@ import sqlite3
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from sparrowgrid.functions import text as tf
 from sparrowgrid.operators import arrays, decode, geometry, ingest, lookup, ordered, ring, simjoin
 from sparrowgrid.plans import ordered as plans
 from sparrowgrid.plans import streams
+from sparrowgrid.plans import words as plans_words
 from sparrowgrid.sources import frames, words
 
 SF = "/root/testdata/sf0.001"
@@ -238,6 +240,37 @@ def test_the_best_words_are_found_in_blocks_and_shards(spark, monkeypatch):
     assert {no for q, no in best if q == 1} == {1, 4, 7, 10} and {no for q, no in best if q == 9} == {0, 1, 2, 3} and len(best) == 80
 
 
+def test_the_best_words_need_few_distances(monkeypatch):
+    """An edit more at a time: far fewer than all words are measured, by tables of bytes' places or without."""
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(6, 19))) for _ in range(60)]
+    words_ = sorted({"".join(c if rng.random() < 0.85 else rng.choice("xyz") for c in s) for s in stems for _ in range(100)} | {"é" * 20, "z" * 70, "", "x"})
+    asked = [*rng.sample(words_, 12), "", "q", "é" * 19, "z" * 66, words_[50] * 5, "ethanol" * 4]
+    measured = []
+    edits = simjoin.Words.edits
+    monkeypatch.setattr(simjoin.Words, "edits", lambda self, texts, rows, many, at: measured.append(len(at)) or edits(self, texts, rows, many, at))
+    b = lambda rows: pa.array([w.encode() for w in rows], pa.binary())
+    want = []
+    for i, q in enumerate(asked):
+        q_, n = np.frombuffer(q.encode(), np.uint8), [w.encode() for w in words_]
+        rated = sorted((-(1.0 - edit_distance(q_.tobytes(), w) / max(len(q_), len(w), 1)), j) for j, w in enumerate(n) if 2 * min(len(q_), len(w)) >= max(len(q_), len(w)))
+        want += [(i, j, -s) for s, j in rated[:30] if s <= -0.5]
+    for room in (simjoin.TABLE_BYTES, 0):
+        monkeypatch.setattr(simjoin, "TABLE_BYTES", room)
+        got = sorted(zip(*(c.tolist() for c in simjoin.best_of(b(asked), b(words_), 0.5, 30)), strict=True))
+        assert got == sorted(want) and sum(measured) < len(asked) * len(words_) // 4
+        measured.clear()
+
+
+def test_words_of_documents_count_an_id_once(spark):
+    rows = [(1, "a b a"), (1, "b c"), (2, "A d"), (3, None), (None, "a"), (None, "a e")]
+    got = {(r.word, r.n) for r in plans_words.words_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {("a", 3), ("b", 1), ("c", 1), ("d", 1), ("e", 1)}
+    alone = plans_words.words_of(spark.createDataFrame(rows[2:5], "doc_id long, text string"))
+    assert alone._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # counts by word only
+    assert {(r.word, r.n) for r in alone.collect()} == {("a", 2), ("d", 1)}
+
+
 def test_a_floor_of_nothing_is_refused(spark):
     with pytest.raises(ValueError):
         simjoin.most_similar(spark.createDataFrame([(1, "a")], "qid long, q string"), spark.createDataFrame([(1, "a")], "no long, word string"), 0.0, None)
